@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table ``table`` below ``sf_dir``, read by Spark (any Hadoop path)."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the driver's folder is not theirs.
+
+    On machines that hold the package elsewhere, ship it with ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts, visible to driver and executors.
 
