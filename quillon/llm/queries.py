@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import chat
 from quillon.llm.embed_dedup import near_duplicates
+from quillon.llm.langid import predict_languages
+from quillon.llm.mixing import mixing_rates
 from quillon.llm.ngram_join import jaccard_components
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import secret_digests
 from quillon.llm.tokenio import read_documents, write_token_files
 from quillon.llm.toxicity import toxicity_scores
-from quillon.session import load
+from quillon.llm.webp import media_digests, media_table
+from quillon.session import load, stage
 
 
 def vocabulary(name: str) -> str:
@@ -26,11 +30,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(load(spark, sf_dir, "documents"))
 
 
+def op2_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_documents(files)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(load(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -39,6 +51,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(stage(media_table(load(spark, sf_dir, "documents"))))
+
+
+def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(load(spark, sf_dir, "conversations"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "embeddings"))
 
@@ -49,10 +69,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_mixing_rates": op2_mixing_rates,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_lossless_webp": op8_lossless_webp,
+    "op9_chat_perspectives": op9_chat_perspectives,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_perspectives": chat.ORACLE}
