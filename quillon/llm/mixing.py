@@ -77,7 +77,7 @@ def posteriors(docs: DataFrame, priors: list[float], ratios: list[list[float]])
     return out.drop("_z")
 
 
-def solve(members: DataFrame, targets: dict[str, float], budget: float, floor: float, steps: int = 40, close: float = 1e-7) -> Column:
+def solve(members: DataFrame, targets: dict[str, float], budget: float, floor: float, steps: int = 40, close: float = 1e-6) -> Column:
     """The rate as an expression of p_<domain>, by projected gradient with Barzilai-Borwein steps."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("tokens")
@@ -96,6 +96,8 @@ def solve(members: DataFrame, targets: dict[str, float], budget: float, floor: f
             break
         if last is not None:
             y = [a - b for a, b in zip(gap, last)]
+            if max(map(abs, y)) < close:
+                break  # the floor keeps the rest of the gap
             curve = sum(y[i] * gram[i][j] * y[j] for i in range(len(p)) for j in range(len(p)))
             if curve <= 1e-18:
                 break

@@ -157,24 +157,42 @@ def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05, id_col: str =
     false-discovery rate ``rate``. A null or empty text has none. Rows that
     repeat an id are scanned each. Other columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("id"), *_found(F.col(text_col)))
+    found = stage(found.withColumn("row", F.monotonically_increasing_id()))
+    out = found.join(_extra(found, alpha, rate), "row", "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("row"),
+        F.size("assign").cast("long").alias("n_assign"),
+        F.size("access").cast("long").alias("n_access"),
+        F.size("hex").cast("long").alias("n_hex"),
+        F.array_sort(F.concat("assign", "access", "hex"), _by_start).alias("base"),
+        F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:int>>")).alias("extra"),
+    )
+
+
+def _found(column: Column) -> list[Column]:
+    """Spans of the base patterns, and the battery's candidates, of a text column."""
+    text = F.coalesce(column, F.lit(""))
     kind = lambda arr, k: F.transform(arr, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind")))
     assign = F.filter(_matches(text, ASSIGN, r"(?i:password|passwd|secret|token|api_?key)"), lambda m: F.length(F.regexp_extract(m["value"], "^" + ASSIGN, 1)) >= 6)
     access = F.filter(_matches(text, ACCESS), lambda m: F.length(m["value"]) >= 20)
-    found = docs.select(
-        F.col(id_col).alias("id"),
+    return [
         kind(assign, 0).alias("assign"),
         kind(access, 1).alias("access"),
         kind(_matches(text, HEX), 2).alias("hex"),
         F.filter(_matches(text, RANDOM), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")).alias("tokens"),
-    )
-    found = stage(found.withColumn("row", F.monotonically_increasing_id()))
+    ]
+
+
+def _extra(found: DataFrame, alpha: float, rate: float) -> DataFrame:
+    """(row, extra): the candidates of ``found(row, tokens)`` that the battery reports."""
     tests = found.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("m")).withColumn("b", _battery(F.col("m.value")))
     tests = _tests(tests).select("row", "m.start", "m.end", F.col("b.enc").alias("enc"), _length_class().alias("len"), "p_rand", F.floor(-F.log10(F.greatest("p_text", F.lit(1e-12))) * CELL).cast("int").alias("cell"))
     tests = stage(tests)
     # Benjamini and Hochberg on classes of p-values: the largest p with m p <= rate k.
     cells = tests.groupBy("enc", "len", "cell").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the classes
-    cuts = []
+    chosen = F.lit(False)
     for key in sorted({(r["enc"], r["len"]) for r in cells}):
         mine = sorted(((r["cell"], r["n"]) for r in cells if (r["enc"], r["len"]) == key), reverse=True)
         total, k, cut = sum(n for _, n in mine), 0, None
@@ -183,22 +201,36 @@ def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05, id_col: str =
             if 10 ** (-c / CELL) * total <= rate * k:
                 cut = c
         if cut is not None:
-            cuts.append((*key, cut))
-    chosen = F.lit(False)
-    for enc, length, cut in cuts:
-        chosen = chosen | ((F.col("enc") == enc) & (F.col("len") == length) & (F.col("cell") >= cut))
+            chosen = chosen | ((F.col("enc") == key[0]) & (F.col("len") == key[1]) & (F.col("cell") >= cut))
     extra = tests.where(chosen & (F.col("p_rand") >= alpha / 3)).select("row", F.struct("start", "end", F.lit(3).alias("kind")).alias("s"))
-    extra = extra.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra"))
-    out = found.join(extra, "row", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("row"),
-        F.size("assign").cast("long").alias("n_assign"),
-        F.size("access").cast("long").alias("n_access"),
-        F.size("hex").cast("long").alias("n_hex"),
-        F.array_sort(F.concat("assign", "access", "hex"), _by_start).alias("base"),
-        F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:int>>")).alias("extra"),
+    return extra.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", alpha: float = 0.01, rate: float = 0.05) -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced by ``mark``; all rows and columns stay.
+
+    Spans that overlap or touch become one mark. ``n_chars``, where there is such a
+    column, becomes the length of a changed text. Null texts stay null.
+    """
+    suspect = F.coalesce(F.col("text").rlike("|".join((ASSIGN, ACCESS, HEX, RANDOM))), F.lit(False))
+    rest = docs.where(~suspect)
+    hit = docs.where(suspect).select(F.struct(*docs.columns).alias("_q_doc"), *_found(F.col("text")))
+    hit = stage(hit.withColumn("row", F.monotonically_increasing_id()))
+    hit = hit.join(_extra(hit, alpha, rate), "row", "left")
+    spans = F.array_sort(F.concat("assign", "access", "hex", F.coalesce("extra", F.array().cast("array<struct<start:int,end:int,kind:int>>"))), _by_start)
+    text = F.col("_q_doc.text")
+    # (at, out): text is written up to `at`; a span that begins at or before it only moves it on.
+    cut = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.when((s["start"] > a["at"]) | (a["out"] == ""), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
+        ),
     )
+    hit = hit.withColumn("cut", cut).withColumn("new", F.concat(F.col("cut.out"), F.substring(text, F.col("cut.at") + 1, F.length(text))))
+    new = {"text": F.col("new"), "n_chars": F.when(F.col("new") != text, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_q_doc.n_chars")) if "n_chars" in docs.columns else None}
+    return rest.unionByName(hit.select(*[new[c].alias(c) if c in new else F.col("_q_doc")[c].alias(c) for c in docs.columns]))
 
 
 def _by_start(a: Column, b: Column) -> Column:
