@@ -46,6 +46,7 @@ def stage(df: DataFrame) -> DataFrame:
     before, and Python work is not repeated by each consumer.
     """
     spark = df.sparkSession
+    share_code(spark)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
