@@ -15,8 +15,9 @@ similarity of their sets reaches a threshold. The stages:
     (histogram) filters go first, and each pair is verified once on the whole
     sets. Documents that link share a component, so their other pairs need no
     comparison: a group of n near copies costs about n pairs, not n squared.
-4.  Then every pair of a bucket that still spans two components is compared, so
-    no link between components is lost. No candidate is capped.
+4.  Then, in buckets that still span components, the documents outside the
+    centre's component are compared with all the others, in blocks, so no link
+    between components is lost. No candidate is capped.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from quillon.session import shuffle_partitions, stage
 SKETCH_BITS = 21
 SLICES = 16
 BINS = 64
+BLOCK = 1024
+SMALL = 16  # documents of a bucket that is compared pair by pair
 TOKEN_BYTES = 5
 
 
@@ -158,9 +161,13 @@ def _deal(reps: DataFrame, parts: int) -> DataFrame:
     return reps.select("id", "n", "prefix").mapInArrow(deal, "part int, blob binary")
 
 
-def _buckets(dealt: DataFrame) -> DataFrame:
-    """Rows of tokens that two or more representatives hold in their prefixes."""
-    schema = "token long, id long, n int, pos int, c_id long, c_n int, c_pos int"
+def _buckets(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of tokens that two or more representatives of compatible lengths hold in their prefixes.
+
+    A row stays if its neighbour by length in the bucket passes the length filter;
+    if that one does not, none does.
+    """
+    schema = "token long, id long, n int, pos int, c_id long, c_n int, c_pos int, size int"
 
     def meet(table: pa.Table) -> pa.Table:
         cols = [[], [], [], []]
@@ -172,6 +179,11 @@ def _buckets(dealt: DataFrame) -> DataFrame:
             cols[2].append(np.frombuffer(raw, "<i4", k, 16 * k))
             cols[3].append(np.frombuffer(raw, "<i4", k, 20 * k))
         token, ids, n, pos = (np.concatenate(c) for c in cols)
+        order = np.lexsort((n, token))
+        t, m = token[order], n[order].astype(np.int64)
+        near = (t[1:] == t[:-1]) & (m[:-1] * den >= m[1:] * num)
+        order = order[np.concatenate([near, [False]]) | np.concatenate([[False], near])] if len(t) else order
+        token, ids, n, pos = token[order], ids[order], n[order], pos[order]
         order = np.lexsort((mix(ids.astype(U64)), token))
         token = token[order]
         new = np.diff(token, prepend=-1) != 0
@@ -180,7 +192,7 @@ def _buckets(dealt: DataFrame) -> DataFrame:
         keep = np.repeat(runs > 1, runs)
         centre = order[np.repeat(first, runs)][keep]
         order = order[keep]
-        return pa.table({"token": token[keep], "id": ids[order], "n": n[order], "pos": pos[order], "c_id": ids[centre], "c_n": n[centre], "c_pos": pos[centre]})
+        return pa.table({"token": token[keep], "id": ids[order], "n": n[order], "pos": pos[order], "c_id": ids[centre], "c_n": n[centre], "c_pos": pos[centre], "size": pa.array(np.repeat(runs, runs)[keep], pa.int32())})
 
     return dealt.groupBy("part").applyInArrow(meet, schema)
 
@@ -231,6 +243,70 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: Fraction, size: int) ->
     return wide.mapInArrow(compare, "u long, v long")
 
 
+def _across(group: DataFrame, sets: DataFrame, threshold: Fraction, size: int) -> DataFrame:
+    """Links between components within each group of (main, id, comp, out).
+
+    Every pair of a group that spans two components, with one end or both ``out``,
+    is compared: overlaps are counted through an inverted index of the group's
+    shingles. A large group is cut into blocks, and each pair of blocks is a task's
+    work. Only a spanning forest over the components is returned.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    parts = group.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = (
+        group.join(parts, "main")
+        .withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("main", "id", "comp", "out", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comp, out, own = (np.asarray(table.column(c)) for c in ("id", "comp", "out", "own"))
+        same_block = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        texts = [zstandard.decompress(x.as_py()).decode() for x in table.column("packed")]
+        got = []
+        for at in range(0, len(texts), 64):
+            got += shingles(pa.array(texts[at : at + 64], pa.large_string()), size)
+        n = np.array([len(h) for h in got])
+        flat, owner = np.concatenate(got), np.repeat(np.arange(len(got)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        runs = np.diff(np.append(first, len(flat)))
+        key = np.empty(len(flat), np.int64)
+        key[order] = np.repeat(np.arange(len(first)), runs)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        u, v = [], []
+        for k in np.flatnonzero(out).tolist():
+            mine = key[starts[k] : starts[k + 1]]
+            mine = mine[runs[mine] > 1]
+            if not len(mine):
+                continue
+            size_, at = runs[mine], first[mine]
+            places = np.repeat(at - np.concatenate([[0], np.cumsum(size_)[:-1]]), size_) + np.arange(size_.sum())
+            both = np.bincount(owner[places], minlength=len(n))
+            good = (den * both >= num * (n + n[k] - both)) & (comp != comp[k]) & (same_block | (own != own[k]))
+            for j in np.flatnonzero(good).tolist():
+                u.append(k)
+                v.append(j)
+        parent = {int(c): int(c) for c in comp}
+        edges = []
+        for a, b in zip(u, v):
+            roots = []
+            for x in (int(comp[a]), int(comp[b])):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                roots.append(x)
+            if roots[0] != roots[1]:
+                parent[max(roots)] = min(roots)
+                edges.append((int(ids[a]), int(ids[b])))
+        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+
+    wide = dealt.join(sets.select("id", "packed"), "id")
+    return wide.groupBy("main", "lo", "hi").applyInArrow(compare, "u long, v long")
+
+
 def _labelled(rows: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
     known = comps.select(F.col("id").alias(column), F.col("component").alias(f"_{name}"))
     return rows.join(known, column, "left").withColumn(name, F.coalesce(f"_{name}", column)).drop(f"_{name}")
@@ -255,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = table.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
     member = stage(table.select("id", "n", "fp").join(classes, "fp", "left").select("id", F.col("n").cast("long").alias("n"), F.coalesce("rep", "id").alias("rep")))
     reps = table.where("n > 0").join(classes.select("fp", F.col("rep").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp"])
-    buckets = stage(_buckets(_deal(reps, shuffle_partitions(spark))))
+    buckets = stage(_buckets(_deal(reps, shuffle_partitions(spark)), num, den))
 
     rows = buckets.where((F.col("id") != F.col("c_id")) & _may_link(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos"), num, den))
     star = stage(rows.groupBy(F.col("c_id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("shared")))
@@ -273,22 +349,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = stage(links.unionByName(verify(rest, sets, limit, size)))
     comps = components(links)
 
-    # Buckets that still span components: all their pairs across them, found from
-    # the rows outside the centre's component, which are few beside the bucket.
-    tried = tried.unionByName(rest)
-    known = _labelled(_labelled(buckets.select("token", "id", "n", "pos", "c_id"), comps, "id", "comp"), comps, "c_id", "main")
+    # Buckets that still span components: their documents outside the centre's
+    # component meet all of the bucket. Small buckets give pairs, a bounded number
+    # for each row; large ones are compared as one group for each such component.
+    known = _labelled(_labelled(buckets.select("token", "id", "n", "pos", "c_id", "size"), comps, "id", "comp"), comps, "c_id", "main")
     outside = stage(known.where("comp <> main"))
-    far = outside.select("token", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("pos").alias("o_pos"), F.col("comp").alias("o_comp"))
-    inside = known.join(outside.select("token").distinct(), "token", "left_semi")
-    across = far.join(inside, "token").where(
+    few = outside.where(F.col("size") <= SMALL).select("token", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("pos").alias("o_pos"), F.col("comp").alias("o_comp"))
+    across = few.join(known.where(F.col("size") <= SMALL), "token").where(
         (F.col("comp") != F.col("o_comp"))
         & ((F.col("comp") == F.col("main")) | (F.col("o_id") < F.col("id")))
         & _may_link(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos"), num, den)
     )
     pairs = across.select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct()
-    done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    done = tried.unionByName(rest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = stage(pairs.join(done, ["u", "v"], "left_anti"))
-    links = stage(links.unionByName(verify(pairs, sets, limit, size)))
+    many = outside.where(F.col("size") > SMALL)
+    inside = known.where((F.col("comp") == F.col("main")) & (F.col("size") > SMALL)).join(many.select("token").distinct(), "token", "left_semi")
+    group = many.select("main", "id", "comp", F.lit(True).alias("out")).unionByName(inside.select("main", "id", "comp", F.lit(False).alias("out"))).distinct()
+    links = stage(links.unionByName(verify(pairs, sets, limit, size)).unionByName(_across(stage(group), sets, limit, size)))
     comps = components(links)
 
     found = _labelled(member, comps, "rep", "component_id")
