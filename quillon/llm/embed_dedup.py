@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.session import stage
+from quillon.session import shuffle_partitions, stage
 
 TABLES = 8
 ROTATIONS = 3
 BLOCK = 1024
+SMALL = 64  # classes of a bucket that shares a group with others
 SEED = 20
 
 
@@ -132,46 +133,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         table.where("fp IS NOT NULL").join(classes.select("fp", F.col("rep").alias("id"), "size"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "size", "vec", "codes")
     )
     rows = stage(_bucket_rows(reps))
-    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Small buckets share groups, so that a task handles many of them at once;
+    # a large bucket has groups of its own, one for each pair of its blocks.
+    chunks = 4 * shuffle_partitions(vectors.sparkSession)
+    large = F.col("n") > SMALL
     dealt = (
         rows.join(full, "bucket")
+        .withColumn("gk", F.when(large, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("bucket"), F.lit(chunks))))
+        .withColumn("parts", F.when(large, F.ceil(F.col("n") / block)).otherwise(1).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("gk", "bucket", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        bucket, lo, hi = (group.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
-        own, ids, sizes = (np.asarray(group.column(c)) for c in ("own", "id", "size"))
+        small = group.column("gk")[0].as_py() < 0
+        same_block = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        bucket, own, ids, sizes = (np.asarray(group.column(c)) for c in ("bucket", "own", "id", "size"))
         raw, coded = group.column("vec").to_pylist(), group.column("codes").to_pylist()
         dims = np.array([len(r) for r in raw])
-        counts, edges = {}, []
+        counts, edges = {}, [np.zeros((2, 0), np.int64)]
         for dim in np.unique(dims):
             rows_ = np.flatnonzero(dims == dim)
+            if small:
+                rows_ = rows_[np.argsort(bucket[rows_], kind="stable")]
             x = np.frombuffer(b"".join(raw[k] for k in rows_), "<f8").reshape(len(rows_), -1)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             c = np.frombuffer(b"".join(coded[k] for k in rows_), "<i8").reshape(len(rows_), TABLES, -1)
-            i, j = own[rows_], ids[rows_]
-            for a0 in range(0, len(rows_), 512):
-                a, b = np.nonzero(x[a0 : a0 + 512] @ x.T >= threshold)
-                a += a0
-                keep = (a < b) & ((i[a] != i[b]) | (lo == hi))
-                a, b = a[keep], b[keep]
-                t_own = bucket >> 56
-                for t in range(t_own + 1):  # the first bucket that both share counts
-                    same = c[a, t][:, :, None] == c[b, t][:, None, :]
-                    if t < t_own:
-                        keep = ~same.any(axis=(1, 2))
-                    else:
-                        least = np.where(same, c[a, t][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-                        keep = ((t << 56) ^ least) == bucket
-                    a, b = a[keep], b[keep]
-                s = sizes[rows_]
+            at, j, s = bucket[rows_], ids[rows_], sizes[rows_]
+            for a, b in _run_pairs(at, x, threshold) if small else _block_pairs(own[rows_], same_block, x, threshold):
+                a, b = _first_meeting(a, b, at, c)
                 for p, q in ((a, b), (b, a)):
-                    for k, v in enumerate(np.bincount(p, weights=s[q], minlength=len(rows_))):
-                        if v:
-                            counts[int(j[k])] = counts.get(int(j[k]), 0) + int(v)
+                    near = np.bincount(p, weights=s[q], minlength=len(rows_))
+                    for k in np.flatnonzero(near).tolist():
+                        counts[int(j[k])] = counts.get(int(j[k]), 0) + int(near[k])
                 edges.append(np.stack([j[a], j[b]]))
         u, v = np.concatenate(edges, axis=1)
         tree = _forest(u, v)
@@ -181,7 +178,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             "to": pa.array([*[None] * len(counts), *[e[1] for e in tree]], pa.int64()),
         })
 
-    found = stage(dealt.join(reps, "id").groupBy("bucket", "lo", "hi").applyInArrow(compare, "id long, near long, to long"))
+    found = stage(dealt.join(reps, "id").groupBy("gk", "lo", "hi").applyInArrow(compare, "id long, near long, to long"))
     comps = components(found.where("to IS NOT NULL").select(F.col("id").alias("u"), F.col("to").alias("v")))
     near = found.where("to IS NULL").groupBy("id").agg(F.sum("near").alias("near"))
     known = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
@@ -195,6 +192,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
 
 
+def _run_pairs(bucket: np.ndarray, x: np.ndarray, threshold: float):
+    """Pairs of rows of one bucket with a cosine at the threshold or above; rows come sorted by bucket."""
+    first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(first, len(bucket)))
+    for m in np.unique(runs[runs > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        starts = first[runs == m]
+        step = max(1, 100_000 // len(i))
+        for k in range(0, len(starts), step):
+            a, b = ((starts[k : k + step, None] + r).ravel() for r in (i, j))
+            good = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+            yield a[good], b[good]
+
+
+def _block_pairs(own: np.ndarray, same_block: bool, x: np.ndarray, threshold: float):
+    """As _run_pairs() within one block (or across two) of one bucket."""
+    for at in range(0, len(x), 512):
+        a, b = np.nonzero(x[at : at + 512] @ x.T >= threshold)
+        a += at
+        keep = (a < b) & ((own[a] != own[b]) | same_block)
+        yield a[keep], b[keep]
+
+
+def _first_meeting(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs for which their bucket is the first that both share."""
+    for t in range(c.shape[1]):
+        mine = bucket[a] >> 56
+        same = c[a, t][:, :, None] == c[b, t][:, None, :]
+        least = np.where(same, c[a, t][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)) if len(a) else mine
+        keep = np.where(mine > t, ~same.any(axis=(1, 2)), (mine < t) | (((t << 56) ^ least) == bucket[a]))
+        a, b = a[keep], b[keep]
+    return a, b
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest: as many as ids, whatever the number of pairs."""
     parent: dict[int, int] = {}
