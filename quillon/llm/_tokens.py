@@ -76,20 +76,33 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """A text's chunks as keys of ``known``, or None if it must be encoded whole."""
-        if not text or _MARK in text or "\x00" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return None  # other or repeated white space
+        if _MARK in text:
+            return None
         if not self.spaced:
-            return text.split()
+            return text.replace("\n", " ").split(" ")  # empty ones have no ids
         chunks = text.replace("\n", " \n").split(" ")
+        if "" in chunks or "\n" in chunks or "\x00" in text:
+            return None  # white space in a row or at an end
         chunks[0] = "\x00" + chunks[0]
         return chunks
 
+    def _edge(self, key: str) -> bool:
+        """Whether a chunk begins or ends with other white space, which may join the space beside it."""
+        return self.spaced and (key[-1].isspace() or key[key[0] in "\x00\n"].isspace())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _HELD:
             self.known.clear()
         known = self.known
+        known[""] = b""
         split = [self._chunks(text) for text in texts]
         fresh = {c for chunks in split if chunks is not None for c in chunks if c not in known}
         if fresh:
-            self._learn(list(fresh))
-        return [self._plain(text).tobytes() if chunks is None else b"".join(map(known.__getitem__, chunks)) for text, chunks in zip(texts, split)]
+            self._learn([c for c in fresh if not self._edge(c)])
+        out = []
+        for text, chunks in zip(texts, split):
+            try:
+                out.append(self._plain(text).tobytes() if chunks is None else b"".join(map(known.__getitem__, chunks)))
+            except KeyError:  # an edge chunk
+                out.append(self._plain(text).tobytes())
+        return out
