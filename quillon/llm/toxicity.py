@@ -116,7 +116,7 @@ def choose_terms(texts: list[str], labels: np.ndarray, most: int = 4000, least:
     n1 = max(1, int(labels.sum()))
     n0 = max(1, len(labels) - n1)
     p1, p0 = (ones + 0.5) / (n1 + 1), (n - ones + 0.5) / (n0 + 1)
-    gain = np.where((ones >= least) & (p1 > 3 * p0), ones * np.log(p1 / p0), -1.0)
+    gain = np.where((ones >= least) & (p1 > 2 * p0), ones * np.log(p1 / p0), -1.0)
     best = np.argsort(-gain, kind="stable")[:most]
     return np.sort(h[best[gain[best] > 0]])
 
