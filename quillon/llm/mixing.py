@@ -7,8 +7,8 @@ its posterior of each domain. Every document then gets a rate, not below a floor
 
     minimise  sum_k (sum_d rate_d tokens_d p_dk - target_k)^2   over  rate_d >= floor
 
-by projected gradient from rate 1, in the metric of tokens. A step is one
-aggregation of as many sums as there are domains; a document's rate follows from
+by scaled projected gradient from equal rates, in the metric of tokens. A step is one
+aggregation of a few sums for each pair of domains; a document's rate follows from
 its posteriors and the few numbers of each step, so nothing is kept per document
 between steps and nothing but those sums reaches the driver.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def posteriors(docs: DataFrame, priors: list[float], ratios: list[list[float]])
     tokens = F.size("_b").cast("double")
     logits = [F.lit(priors[0])]
     for prior, ratio in zip(priors[1:], ratios):
-        table = F.array(*map(F.lit, ratio))
+        table = F.split(F.lit(",".join(f"{x:.7g}" for x in ratio)), ",").cast("array<double>")  # folded to one constant
         total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b))
         logits.append(F.lit(prior) + total / F.sqrt(F.greatest(tokens, F.lit(1.0))))
     out = with_b.withColumn("tokens", F.size("_b").cast("long")).withColumn("_z", F.array(*logits)).drop("_b")
@@ -77,34 +78,63 @@ def posteriors(docs: DataFrame, priors: list[float], ratios: list[list[float]])
     return out.drop("_z")
 
 
-def solve(members: DataFrame, targets: dict[str, float], budget: float, floor: float, steps: int = 40, close: float = 1e-6) -> Column:
-    """The rate as an expression of p_<domain>, by projected gradient with Barzilai-Borwein steps."""
+def solve(members: DataFrame, targets: dict[str, float], budget: float, floor: float, steps: int = 20, close: float = 1e-6) -> Column:
+    """The rate as an expression of p_<domain>, by scaled projected gradient.
+
+    The gradient in a document's rate is p_d . gap. Each step scales the gap by the
+    inverse Gram matrix of the posteriors of documents off the floor (a matrix as
+    wide as there are domains, from the same aggregation), then projects on
+    rate >= floor. A step that does not bring the totals closer is tried again at
+    half its length.
+    """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("tokens")
-    first = members.agg(F.sum("tokens").alias("w"), *(F.sum(n * a * b).alias(f"m{i}{j}") for i, a in enumerate(p) for j, b in enumerate(p))).first()
-    whole = first["w"]
+    whole = members.agg(F.sum("tokens")).first()[0]
     if not whole:
         return F.lit(1.0)
-    gram = [[first[f"m{i}{j}"] / whole for j in range(len(p))] for i in range(len(p))]
     scale = sum(targets.values())
-    goal = [targets.get(d, 0.0) / scale * budget for d in DOMAINS]
-    rate, last, move = F.lit(1.0), None, 1.0
+    goal = np.array([targets.get(d, 0.0) / scale * budget for d in DOMAINS])
+    start = budget if budget > floor else floor + 0.1
+    cells = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
+
+    def look(moves: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        rate = _rate(p, moves, floor, start)
+        free = F.when(rate > floor, n).otherwise(0)
+        row = members.withColumn("_r", rate).agg(*(F.sum(n * F.col("_r") * a) for a in p), *(F.sum(free * p[i] * p[j]) for i, j in cells)).first()
+        gram = np.zeros((len(p), len(p)))
+        for k, (i, j) in enumerate(cells):
+            gram[i, j] = gram[j, i] = row[len(p) + k] / whole
+        return np.array(row[: len(p)], float) / whole - goal, gram
+
+    moves: list[float] = []
+    gap, gram = look(moves)
+    length = 1.0
     for _ in range(steps):
-        sums = members.agg(*(F.sum(n * rate * a).alias(d) for d, a in zip(DOMAINS, p))).first()
-        gap = [sums[d] / whole - g for d, g in zip(DOMAINS, goal)]
-        if max(map(abs, gap)) < close:
+        if np.abs(gap).max() < close or length < 1e-3:
             break
-        if last is not None:
-            y = [a - b for a, b in zip(gap, last)]
-            if max(map(abs, y)) < close:
-                break  # the floor keeps the rest of the gap
-            curve = sum(y[i] * gram[i][j] * y[j] for i in range(len(p)) for j in range(len(p)))
-            if curve <= 1e-18:
-                break
-            move = sum(v * v for v in y) / curve
-        last = gap
-        rate = F.greatest(F.lit(float(floor)), rate - sum((a * F.lit(move * g) for a, g in zip(p, gap)), F.lit(0.0)))
-    return rate
+        step = length * np.linalg.solve(gram + 1e-6 * np.eye(len(p)), gap)
+        tried = moves + [float(x) for x in step]
+        new_gap, new_gram = look(tried)
+        if np.linalg.norm(new_gap) < np.linalg.norm(gap) * (1 - 1e-6):
+            moves, gap, gram, length = tried, new_gap, new_gram, 1.0
+        else:
+            length /= 2
+    return _rate(p, moves, floor, start)
+
+
+def _rate(p: list[Column], moves: list[float], floor: float, start: float) -> Column:
+    """The rate after the moves (one number a step and domain), folded over one constant array.
+
+    The expression has one form for any number of steps, so its generated code is
+    compiled once.
+    """
+    if not moves:
+        return F.lit(float(start))
+    table = F.split(F.lit(",".join(map(repr, moves))), ",").cast("array<double>")
+    width = len(p)
+    steps = F.sequence(F.lit(0), F.lit(len(moves) // width - 1))
+    step = lambda r, i: F.greatest(F.lit(float(floor)), r - sum((a * F.get(table, i * width + k) for k, a in enumerate(p)), F.lit(0.0)))
+    return F.aggregate(steps, F.lit(float(start)), step)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, floor: float = 0.0, sample: int = 3000) -> DataFrame:
