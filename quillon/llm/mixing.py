@@ -158,9 +158,10 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budg
     A row appears floor(rate + u) times, u uniform in [0, 1) by a hash of the
     doc_id and text, so the expected number is the rate; with a floor of 1 none goes.
     """
-    scored = posteriors(docs, *classifier(docs, labels, sample))
-    members = stage(scored.select("tokens", *(f"p_{d}" for d in DOMAINS)))
-    rate = solve(members, targets, budget, floor)
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.floor(rate + u).cast("int")
-    return scored.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    given = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))
+    # Written, so that the posteriors are made once: the optimizer would push the
+    # filter on the number of copies through them and make them again for each use.
+    scored = stage(posteriors(given, *classifier(docs, labels, sample)).drop("text"))
+    rate = solve(scored.drop("_doc"), targets, budget, floor)
+    u = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return scored.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.floor(rate + u).cast("int")))).select("_doc.*")
