@@ -58,7 +58,7 @@ def kendall(df: DataFrame, row: str, x: str, y: str) -> DataFrame:
     tx = cells.groupBy("x").agg(F.sum("n").alias("k")).agg(pairs(F.col("k")).alias("tx"))
     ty = cells.groupBy("y").agg(F.sum("n").alias("k")).agg(pairs(F.col("k")).alias("ty"))
     one = s.join(total).join(tx).join(ty)
-    return one.select((F.col("s") / F.sqrt((F.col("t") - F.col("tx")) * (F.col("t") - F.col("ty")))).alias("tau"))
+    return one.select(F.try_divide(F.col("s"), F.sqrt((F.col("t") - F.col("tx")) * (F.col("t") - F.col("ty")))).alias("tau"))
 
 
 def covariance_correlations(df: DataFrame, columns: list[str]) -> DataFrame:

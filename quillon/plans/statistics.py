@@ -255,7 +255,7 @@ def co1_p(spark, d):
 
 @query("co2_kendall", """WITH c AS (SELECT p_size AS x, floor(p_retailprice / 50) AS y, count(*) AS n FROM part GROUP BY 1, 2),
     s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y) * a.n * b.n) AS s FROM c a JOIN c b ON a.x < b.x), t AS (SELECT sum(n) * (sum(n) - 1) / 2 AS t FROM c), tx AS (SELECT sum(k * (k - 1) / 2) AS v FROM (SELECT sum(n) AS k FROM c GROUP BY x)), ty AS (SELECT sum(k * (k - 1) / 2) AS v FROM (SELECT sum(n) AS k FROM c GROUP BY y))
-    SELECT round(s / sqrt((t - tx.v) * (t - ty.v)), 6) AS tau FROM s, t, tx, ty""")
+    SELECT round(s / nullif(sqrt((t - tx.v) * (t - ty.v)), 0), 6) AS tau FROM s, t, tx, ty""")
 def co2(spark, d):
     p = load(spark, d, "part").select("p_partkey", "p_size", F.floor(F.col("p_retailprice") / 50).alias("y"))
     return S.kendall(p, "p_partkey", "p_size", "y").select(F.round("tau", 6).alias("tau"))
