@@ -65,7 +65,7 @@ def covariance_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete covariances over the standard deviations of each column's own values (not those of the pair)."""
     pairs = list(combinations(columns, 2))
     row = df.agg(*(F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"c{i}") / (F.col(f"s_{a}") * F.col(f"s_{b}"))).alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("s")).select("s.*")
+    return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.col(f"c{i}"), F.col(f"s_{a}") * F.col(f"s_{b}")).alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("s")).select("s.*")
 
 
 def partial_correlation(df: DataFrame, x: str, y: str, adjust_for: list[str], method: str = "pearson", min_n: int = 5) -> DataFrame:
@@ -172,7 +172,7 @@ def roc_points(df: DataFrame, score: str, observed: Column, by: list[str] = ())
     w = Window.partitionBy(*by)
     run = w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = cells.withColumn("tp", F.sum("p").over(run)).withColumn("fp", F.sum("q").over(run)).withColumn("np", F.sum("p").over(w)).withColumn("nq", F.sum("q").over(w))
-    return out.select(*by, F.col(score).alias("threshold"), "tp", "fp", (F.col("np") - F.col("tp")).alias("fn"), (F.col("nq") - F.col("fp")).alias("tn"), (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nq")).alias("fpr"))
+    return out.select(*by, F.col(score).alias("threshold"), "tp", "fp", (F.col("np") - F.col("tp")).alias("fn"), (F.col("nq") - F.col("fp")).alias("tn"), F.try_divide("tp", "np").alias("tpr"), F.try_divide("fp", "nq").alias("fpr"))
 
 
 def roc_points_with_interval(df: DataFrame, score: str, observed: Column, alpha: float = 0.05) -> DataFrame:
@@ -205,12 +205,12 @@ def auc(df: DataFrame, score: str, observed: Column, by: list[str] = ()) -> Data
     run = w.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     c = cells.withColumn("np", F.sum("p").over(w)).withColumn("nq", F.sum("q").over(w))
     c = c.withColumn("below", F.sum("q").over(run) - F.col("q") / 2).withColumn("above", F.col("np") - F.sum("p").over(run) + F.col("p") / 2)
-    v10, v01 = F.col("below") / F.col("nq"), F.col("above") / F.col("np")
+    v10, v01 = F.try_divide("below", "nq"), F.try_divide("above", "np")
     s = c.groupBy(*by).agg(
         F.sum(F.col("p") * v10).alias("s10"), F.sum(F.col("p") * v10 * v10).alias("q10"), F.sum(F.col("q") * v01).alias("s01"), F.sum(F.col("q") * v01 * v01).alias("q01"), F.first("np").alias("n_pos"), F.first("nq").alias("n_neg")
     )
-    var = lambda q, t, n: (F.col(q) - F.col(t) ** 2 / F.col(n)) / (F.col(n) - 1)
-    return s.select(*by, "n_pos", "n_neg", (F.col("s10") / F.col("n_pos")).alias("auc"), (var("q10", "s10", "n_pos") / F.col("n_pos") + var("q01", "s01", "n_neg") / F.col("n_neg")).alias("variance"))
+    var = lambda q, t, n: F.try_divide(F.try_divide(F.col(q) - F.try_divide(F.col(t) ** 2, F.col(n)), F.col(n) - 1), F.col(n))
+    return s.select(*by, "n_pos", "n_neg", F.try_divide("s10", "n_pos").alias("auc"), (var("q10", "s10", "n_pos") + var("q01", "s01", "n_neg")).alias("variance"))
 
 
 def auc_interval(areas: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -227,7 +227,7 @@ def delong_test(df: DataFrame, row: str, score_a: str, score_b: str, observed: C
     comp = lambda s: F.when(F.col("_o"), (F.col(f"all_{s}") - F.col(f"own_{s}")) / other).otherwise(1 - (F.col(f"all_{s}") - F.col(f"own_{s}")) / other)
     v = r.withColumn("va", comp("a")).withColumn("vb", comp("b")).groupBy("_o").agg(F.avg("va").alias("ma"), F.avg("vb").alias("mb"), ((F.var_samp("va") + F.var_samp("vb") - 2 * F.covar_samp("va", "vb")) / F.count(F.lit(1))).alias("v"))
     s = v.agg(F.max(F.when(F.col("_o"), F.col("ma"))).alias("auc_a"), F.max(F.when(F.col("_o"), F.col("mb"))).alias("auc_b"), F.sum("v").alias("variance"))
-    s = s.withColumn("z", (F.col("auc_a") - F.col("auc_b")) / F.sqrt("variance"))
+    s = s.withColumn("z", F.try_divide(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")))
     return s.withColumn("p", 2 * normal_cdf_col(-F.abs("z")))
 
 

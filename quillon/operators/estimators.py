@@ -69,7 +69,7 @@ def log_rank(df: DataFrame, duration: str, event: Column, arm: Column) -> DataFr
     e = F.col("d") * F.col("n1") / F.col("n")
     v = F.when(F.col("n") > 1, F.col("d") * (F.col("n1") / F.col("n")) * (1 - F.col("n1") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     s = c.agg(F.sum("d1").alias("observed"), F.sum(e).alias("expected"), F.sum(v).alias("variance"))
-    return s.withColumn("z", (F.col("observed") - F.col("expected")) / F.sqrt("variance"))
+    return s.withColumn("z", F.try_divide(F.col("observed") - F.col("expected"), F.sqrt("variance")))
 
 
 # --- quantiles
@@ -116,7 +116,7 @@ def bin_edges(df: DataFrame, value: str) -> DataFrame:
     """Freedman and Diaconis: width 2 IQR / n^(1/3) and the edges."""
     s = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     s = s.withColumn("width", 2 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / F.pow("n", F.lit(1 / 3)))
-    return s.select("width", F.ceil((F.col("hi") - F.col("lo")) / F.col("width")).alias("bins"), "lo", "hi")
+    return s.select("width", F.ceil(F.try_divide(F.col("hi") - F.col("lo"), F.col("width"))).alias("bins"), "lo", "hi")
 
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -152,11 +152,11 @@ def compare_distributions(a: DataFrame, b: DataFrame, key: str, n: str) -> DataF
     side = lambda x, s: x.groupBy(key).agg(F.sum(n).cast("double").alias(s))
     j = side(a, "x").join(side(b, "y"), key, "full_outer").na.fill(0.0, ["x", "y"])
     whole = Window.partitionBy()
-    j = j.withColumn("p", F.col("x") / F.sum("x").over(whole)).withColumn("q", F.col("y") / F.sum("y").over(whole)).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    j = j.withColumn("p", F.coalesce(F.try_divide(F.col("x"), F.sum("x").over(whole)), F.lit(0.0))).withColumn("q", F.coalesce(F.try_divide(F.col("y"), F.sum("y").over(whole)), F.lit(0.0))).withColumn("m", (F.col("p") + F.col("q")) / 2)
     xlog = lambda u, v: F.when(u > 0, u * F.ln(u / v)).otherwise(0.0)
     kl = F.sum(F.when(F.col("q") > 0, xlog(F.col("p"), F.col("q"))))
     jsd = F.sum((xlog(F.col("p"), F.col("m")) + xlog(F.col("q"), F.col("m"))) / 2)
-    mh = 2 * F.sum(F.col("p") * F.col("q")) / (F.sum(F.col("p") ** 2) + F.sum(F.col("q") ** 2))
+    mh = F.try_divide(2 * F.sum(F.col("p") * F.col("q")), F.sum(F.col("p") ** 2) + F.sum(F.col("q") ** 2))
     return j.agg(kl.alias("kl"), jsd.alias("jsd"), mh.alias("morisita_horn"))
 
 

@@ -14,6 +14,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _nz(c: Column) -> Column:
+    """A divisor: null where it is zero, so that the quotient is null."""
+    return F.nullif(c, F.lit(0))
+
+
 def fisher_exact(a, b, c, d, alternative: str = "two-sided") -> Column:
     """Fisher's exact p of a 2x2 table, row by row and inside the JVM.
 
@@ -87,7 +92,7 @@ def adjust(df: DataFrame, p: str, method: str = "holm", within: list[str] = (),
 
 def wilson(x, n, alpha: float = 0.05) -> tuple[Column, Column]:
     z = z_value(alpha)
-    x, n = _c(x), _c(n)
+    x, n = _c(x), _nz(_c(n))
     p, n2 = x / n, 1 + z * z / n
     mid, half = (p + z * z / (2 * n)) / n2, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / n2
     return mid - half, mid + half
@@ -102,8 +107,8 @@ def agresti_coull(x, n, alpha: float = 0.05) -> tuple[Column, Column]:
 
 
 def wald(x, n, alpha: float = 0.05) -> tuple[Column, Column]:
-    p = _c(x) / _c(n)
-    half = z_value(alpha) * F.sqrt(p * (1 - p) / _c(n))
+    p = _c(x) / _nz(_c(n))
+    half = z_value(alpha) * F.sqrt(p * (1 - p) / _nz(_c(n)))
     return p - half, p + half
 
 
@@ -122,10 +127,11 @@ def risk_ratio(x1, n1, x2, n2, alpha: float = 0.05, adjusted: bool = False) -> t
     """Ratio of x1/n1 to x2/n2, its log-normal interval (Katz; ``adjusted`` adds 0.5 to all) and two-sided p."""
     x1, n1, x2, n2 = (_c(x).cast("double") for x in (x1, n1, x2, n2))
     k = 0.5 if adjusted else 0.0
-    rr = (x1 + k) / (n1 + k) / ((x2 + k) / (n2 + k))
-    se = F.sqrt(1 / (x1 + k) - 1 / (n1 + k) + 1 / (x2 + k) - 1 / (n2 + k))
+    x1, n1, x2, n2 = (_nz(v + k) for v in (x1, n1, x2, n2))
+    rr = x1 / n1 / (x2 / n2)
+    se = F.sqrt(1 / x1 - 1 / n1 + 1 / x2 - 1 / n2)
     z = z_value(alpha)
-    return rr, F.exp(F.ln(rr) - z * se), F.exp(F.ln(rr) + z * se), 2 * normal_cdf_col(-F.abs(F.ln(rr) / se))
+    return rr, F.exp(F.ln(rr) - z * se), F.exp(F.ln(rr) + z * se), 2 * normal_cdf_col(-F.abs(F.ln(rr) / _nz(se)))
 
 
 def proportions_p(x1, n1, x2, n2, ratio: float = 1.0) -> Column:
@@ -134,7 +140,7 @@ def proportions_p(x1, n1, x2, n2, ratio: float = 1.0) -> Column:
     a, b, c = (n1 + n2) * ratio, -(n1 * ratio + x1 + n2 + x2 * ratio), x1 + x2
     p2 = (-b - F.sqrt(b * b - 4 * a * c)) / (2 * a)
     p1 = ratio * p2
-    z2 = (x1 - n1 * p1) ** 2 / (n1 * p1 * (1 - p1)) + (x2 - n2 * p2) ** 2 / (n2 * p2 * (1 - p2))
+    z2 = (x1 - n1 * p1) ** 2 / _nz(n1 * p1 * (1 - p1)) + (x2 - n2 * p2) ** 2 / _nz(n2 * p2 * (1 - p2))
     return chi2_sf_col(z2, F.lit(1))
 
 
@@ -175,14 +181,15 @@ def t_test(df: DataFrame, value: str, group: Column, by: list[str] = (), welch:
     g = df.withColumn("_g", group).where(F.col(value).isNotNull() & F.col("_g").isNotNull())
     side = lambda f, name: [f(F.when(F.col("_g"), F.col(value))).alias(name + "1"), f(F.when(~F.col("_g"), F.col(value))).alias(name + "0")]
     s = g.groupBy(*by).agg(*side(F.avg, "m"), *side(F.var_samp, "v"), *side(F.count, "n"))
-    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    n1, n0 = _nz(F.col("n1")), _nz(F.col("n0"))
+    a, b = F.col("v1") / n1, F.col("v0") / n0
     if welch:
-        se, dof = F.sqrt(a + b), (a + b) ** 2 / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))
+        se, dof = F.sqrt(a + b), (a + b) ** 2 / _nz(a * a / _nz(n1 - 1) + b * b / _nz(n0 - 1))
     else:
         dof = (F.col("n1") + F.col("n0") - 2).cast("double")
-        pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / dof
-        se = F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n0")))
-    s = s.withColumn("diff", F.col("m1") - F.col("m0")).withColumn("dof", dof).withColumn("t", F.col("diff") / se)
+        pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / _nz(dof)
+        se = F.sqrt(pooled * (1 / n1 + 1 / n0))
+    s = s.withColumn("diff", F.col("m1") - F.col("m0")).withColumn("dof", dof).withColumn("t", F.col("diff") / _nz(se))
     return s.withColumn("p", t_p_col("t", "dof")).select(*by, "diff", "t", "dof", "p")
 
 
@@ -194,7 +201,7 @@ def rank_sum(df: DataFrame, value: str, group: Column, by: list[str] = ()) -> Da
     cells = cells.withColumn("_r", F.sum("_n").over(w) - (F.col("_n") - 1) / 2)
     s = cells.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_k")).alias("w"), F.sum("_k").alias("n1"), (F.sum("_n") - F.sum("_k")).alias("n0"))
     mean = F.col("n1") * (F.col("n1") + F.col("n0") + 1) / 2
-    s = s.withColumn("z", (F.col("w") - mean) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12))
+    s = s.withColumn("z", (F.col("w") - mean) / _nz(F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)))
     return s.withColumn("p", 2 * normal_cdf_col(-F.abs("z"))).select(*by, "w", "z", "p")
 
 
@@ -204,9 +211,9 @@ def chi2_clusters(counts: DataFrame, cluster: str, condition: str, n: str, least
     grid = cells.select(cluster).distinct().join(cells.groupBy(condition).agg(F.sum("o").alias("c")))
     full = grid.join(cells, [cluster, condition], "left").na.fill(0, ["o"])
     full = full.withColumn("r", F.sum("o").over(Window.partitionBy(cluster))).withColumn("t", F.sum("c").over(Window.partitionBy(cluster)))
-    e = F.col("r") * F.col("c") / F.col("t")
-    rest = (F.col("t") - F.col("r")) * F.col("c") / F.col("t")
-    s = full.groupBy(cluster).agg(F.sum((F.col("o") - e) ** 2 / e + (F.col("c") - F.col("o") - rest) ** 2 / rest).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.first("r").alias("total"))
+    e = F.col("r") * F.col("c") / _nz(F.col("t"))
+    rest = (F.col("t") - F.col("r")) * F.col("c") / _nz(F.col("t"))
+    s = full.groupBy(cluster).agg(F.sum((F.col("o") - e) ** 2 / _nz(e) + (F.col("c") - F.col("o") - rest) ** 2 / _nz(rest)).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"), F.first("r").alias("total"))
     s = s.withColumn("p", F.when(F.col("total") > least, chi2_sf_col("chi2", "dof")))
     return adjust(adjust(s, "p", "holm", name="holm"), "p", "fdr_bh", name="fdr")
 
