@@ -2,15 +2,18 @@
 
 The decoder reads every feature of the format: simple and normal prefix codes,
 meta prefix groups, back-references, colour cache, and the predictor,
-cross-colour, subtract-green and palette transforms. Codes of one length, as the
-encoder writes for payloads, are read as arrays; everything else goes pixel by
-pixel. Pixels are (height, width, 4) arrays in the order red, green, blue, alpha.
+cross-colour, subtract-green and palette transforms; entropy-coded pixels are read
+one by one through tables. The encoder finds back-references and cache hits by
+sorting and packs bits as arrays. Payloads are stored with Huffman codes, a colour
+cache, back-references and the transform that leaves the least entropy.
+Pixels are (height, width, 4) arrays in the order red, green, blue, alpha.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -35,15 +38,18 @@ NEAR = (
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+_BYTE = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.int64)
+REVERSED = (_BYTE[:, None] + (_BYTE << 8)).ravel()  # of 16 bits
 MOST_ROWS = 16384
+_WINDOW = 1 << 14  # bytes of a stream whose bits are laid out at a time
+_HASH = 0x1E35A7BD
 
 
 class _Bits:
     """Bits of a stream, low bit of each byte first."""
 
     def __init__(self, raw: bytes, at: int = 0):
-        self.raw, self.at, self.value, self.start, self.have = raw, 8 * at, 0, 0, 0
+        self.raw, self.at = raw, 8 * at
 
     def read(self, n: int) -> int:
         if not n:
@@ -55,74 +61,104 @@ class _Bits:
         self.at += n
         return out
 
+    def peek(self) -> int:
+        first = self.at >> 3
+        if first > len(self.raw):
+            raise ValueError("the stream ends early")
+        return int.from_bytes(self.raw[first : first + 3], "little") >> (self.at & 7)
+
+    def windows(self) -> tuple[memoryview, int, int]:
+        """(the 25 or more bits from each bit on, first bit, last bit at which to begin) near ``at``; zeros follow the end."""
+        first = self.at >> 3
+        raw = np.frombuffer(self.raw, np.uint8, min(_WINDOW + 24, max(0, len(self.raw) - first)), min(first, len(self.raw)))
+        part = np.zeros(len(raw) + 24, np.uint32)
+        part[: len(raw)] = raw
+        word = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16 | part[3:] << 24
+        return memoryview((word[:, None] >> np.arange(8, dtype=np.uint32)).ravel()), 8 * first, 8 * min(_WINDOW, len(raw))
+
 
 class _Writer:
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.values, self.sizes, self.parts = [], [], []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Fields of at most 63 bits each."""
+        self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+        self.values, self.sizes = [], []
+        self.parts.append((values, sizes))
 
     def raw(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
+        self.put_all(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        value, size = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        end = np.cumsum(size)
+        at = end - size
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        total = int(end[-1]) if len(end) else 0
+        out = np.zeros(total // 64 + 2, np.uint64)
+        if total:
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+            over = np.flatnonzero((at & 63) + size > 64)  # one field at most crosses into a word
+            out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+        return out.astype("<u8").tobytes()[: (total + 7) // 8]
 
 
 class PrefixCode:
     """A canonical prefix code from its code lengths."""
 
-    def __init__(self, lengths: list[int]):
-        self.lengths = lengths
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.single = used[0][1] if len(used) == 1 else None
-        self.flat = len(used) == 256 and all(n == 8 and s < 256 for n, s in used)
-        self.table: dict[tuple[int, int], int] = {}
-        self.codes: dict[int, tuple[int, int]] = {}
-        if not used:
+    def __init__(self, lengths):
+        self.lengths = np.asarray(lengths, np.int64)
+        used = np.flatnonzero(self.lengths)
+        if not len(used):
             raise ValueError("a prefix code without symbols")
-        if self.single is not None or self.flat:
-            return
-        if sum(2.0**-n for n, _ in used) != 1:
+        self.single = int(used[0]) if len(used) == 1 else None
+        self.order = used[np.argsort(self.lengths[used], kind="stable")]
+        self.longest = 0 if self.single is not None else int(self.lengths[self.order[-1]])
+        if self.single is None and int((1 << (self.longest - self.lengths[used])).sum()) != 1 << self.longest:
             raise ValueError("an incomplete prefix code")
-        code, last = 0, 0
-        for n, s in sorted(used):
-            code <<= n - last
-            self.table[n, code] = s
-            self.codes[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-            code, last = code + 1, n
-        self.longest = last
-
-    def read(self, bits: _Bits) -> int:
+
+    def lookup(self) -> tuple[list[int], int]:
+        """(table, mask): symbol << 4 | length by the next bits."""
         if self.single is not None:
-            return self.single
-        if self.flat:
-            return int(REVERSED[bits.read(8)])
-        code = 0
-        for n in range(1, self.longest + 1):
-            code = code << 1 | bits.read(1)
-            if (n, code) in self.table:
-                return self.table[n, code]
-        raise ValueError("not a code")
+            return [self.single << 4], 0
+        n = self.lengths[self.order]
+        by_code = np.repeat(self.order << 4 | n, 1 << (self.longest - n))
+        return by_code[REVERSED[: 1 << self.longest] >> (16 - self.longest)].tolist(), (1 << self.longest) - 1
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bits, their number) by symbol."""
+        code, size = np.zeros(len(self.lengths), np.uint64), np.zeros(len(self.lengths), np.int64)
+        if self.single is None:
+            n = self.lengths[self.order]
+            step = 1 << (16 - n)
+            code[self.order] = REVERSED[np.cumsum(step) - step]
+            size[self.order] = n
+        return code, size
 
     def write(self, out: _Writer, symbol: int) -> None:
-        if self.single is None:
-            out.put(*((int(REVERSED[symbol]), 8) if self.flat else self.codes[symbol]))
+        code, size = self.codes()
+        out.put(int(code[symbol]), int(size[symbol]))
 
 
-def _read_lengths(bits: _Bits, size: int) -> list[int]:
+def _read_lengths(bits: _Bits, size: int) -> list[int] | np.ndarray:
     lengths = [0] * size
     if bits.read(1):
         n, wide = bits.read(1) + 1, bits.read(1)
         symbols = [bits.read(8 if wide else 1)]
         if n == 2:
             symbols.append(bits.read(8))
-        for s in symbols:
-            lengths[s] = 1
-        return lengths
+        of_one = np.zeros(max(256, size), np.int64)
+        of_one[symbols] = 1
+        return of_one
     of_lengths = [0] * 19
     for k in range(4 + bits.read(4)):
         of_lengths[CODE_LENGTH_ORDER[k]] = bits.read(3)
     code = PrefixCode(of_lengths)
+    table, mask = code.lookup()
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     if code.single is not None and code.single < 16:
         lengths[: min(left, size)] = [code.single] * min(left, size)
@@ -130,7 +166,9 @@ def _read_lengths(bits: _Bits, size: int) -> list[int]:
     at, before = 0, 8
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        t = table[bits.peek() & mask]
+        bits.at += t & 15
+        s = t >> 4
         if s < 16:
             lengths[at] = s
             at += 1
@@ -161,30 +199,46 @@ def _image(bits: _Bits, width: int, height: int, top: bool) -> np.ndarray:
         across = -(-width // (1 << block))
     n_groups = int(groups_at.max()) + 1 if groups_at is not None else 1
     sizes = (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[PrefixCode(_read_lengths(bits, n)) for n in sizes] for _ in range(n_groups)]
+    groups = [[x for n in sizes for x in PrefixCode(_read_lengths(bits, n)).lookup()] for _ in range(n_groups)]
     total = width * height
-    if n_groups == 1 and not cache_bits and all(c.flat for c in groups[0][:4]):
-        raw = np.frombuffer(bits.raw, np.uint8)
-        first, shift = bits.at >> 3, bits.at & 7
-        part = raw[first : first + 4 * total + 1].astype(np.uint16)
-        if len(part) < 4 * total + (shift > 0):
-            raise ValueError("the stream ends early")
-        part = np.append(part, 0)[: 4 * total + 1]
-        got = REVERSED[(((part[:-1] | part[1:] << 8) >> shift) & 255).astype(np.uint8)].reshape(-1, 4).astype(np.uint32)
-        bits.at += 32 * total
-        return got[:, 3] << 24 | got[:, 1] << 16 | got[:, 0] << 8 | got[:, 2]
-    out = [0] * total
-    cache = [0] * (1 << cache_bits) if cache_bits else None
-    at = 0
-    while at < total:
-        g = groups[int(groups_at[(at // width >> block) * across + (at % width >> block)])] if groups_at is not None else groups[0]
-        s = g[0].read(bits)
+    out: list[int] = []
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    green, m_green, red, m_red, blue, m_blue, alpha, m_alpha, far, m_far = groups[0]
+    view, base, edge = bits.windows()
+    p = bits.at - base
+    end = 8 * len(bits.raw)
+    while (at := len(out)) < total:
+        if p >= edge:
+            bits.at = base + p
+            if bits.at > end:
+                raise ValueError("the stream ends early")
+            view, base, edge = bits.windows()
+            p = bits.at - base
+            if not edge:  # codes of no bits may go on at the end
+                edge = 1
+        if groups_at is not None:
+            green, m_green, red, m_red, blue, m_blue, alpha, m_alpha, far, m_far = groups[int(groups_at[(at // width >> block) * across + (at % width >> block)])]
+        g = green[view[p] & m_green]
+        p += g & 15
+        s = g >> 4
         if s < 256:
-            red, blue, alpha = (g[k].read(bits) for k in (1, 2, 3))
-            new = [alpha << 24 | red << 16 | s << 8 | blue]
+            r = red[view[p] & m_red]
+            p += r & 15
+            b = blue[view[p] & m_blue]
+            p += b & 15
+            a = alpha[view[p] & m_alpha]
+            p += a & 15
+            color = (a >> 4) << 24 | (r >> 4) << 16 | s << 8 | b >> 4
+            out.append(color)
+            if cache_bits:
+                cache[(_HASH * color & 0xFFFFFFFF) >> shift] = color
         elif s < 280:
+            bits.at = base + p
             length = _value(s - 256, bits)
-            d = _value(g[4].read(bits), bits)
+            d = far[bits.peek() & m_far]
+            bits.at += d & 15
+            d = _value(d >> 4, bits)
+            p = bits.at - base
             if d > 120:
                 d -= 120
             else:
@@ -192,17 +246,16 @@ def _image(bits: _Bits, width: int, height: int, top: bool) -> np.ndarray:
                 d = max(1, x + y * width)
             if d > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
-            new = []
-            for k in range(length):
-                out[at + k] = out[at + k - d]
-                new.append(out[at + k])
+            new = out[at - d : at - d + length] if d >= length else (out[at - d :] * (length // d + 1))[:length]
+            out += new
+            if cache_bits:
+                for color in new:
+                    cache[(_HASH * color & 0xFFFFFFFF) >> shift] = color
         else:
-            new = [cache[s - 280]]
-        for color in new:
-            out[at] = color
-            at += 1
-            if cache is not None:
-                cache[(0x1E35A7BD * color & 0xFFFFFFFF) >> (32 - cache_bits)] = color
+            out.append(cache[s - 280])  # it stays in its slot
+    bits.at = base + p
+    if bits.at > end:
+        raise ValueError("the stream ends early")
     return np.array(out, np.uint32)
 
 
@@ -242,8 +295,21 @@ def _predict(mode: int, left, up, up_left, up_right):
 
 
 def _predictor(pixels: np.ndarray, width: int, modes: np.ndarray, block: int, inverse: bool) -> np.ndarray:
-    """Adds (or takes off) the prediction of every pixel."""
+    """Adds (or takes off) the prediction of every pixel; left or upper pixels everywhere go as arrays."""
     height, across = len(pixels) // width, -(-width // (1 << block))
+    if len(modes) and modes[0] in (1, 2) and (modes == modes[0]).all():
+        p = pixels.reshape(height, width, 4)
+        rest, line = (p, p[:, 0]) if modes[0] == 1 else (p.transpose(1, 0, 2), p[0])
+        if inverse:
+            rest = rest.copy()
+            rest[:, 0] = np.cumsum(line, axis=0) + (255, 0, 0, 0)
+            # The first row has left pixels and the first column upper ones in either mode.
+            out = np.cumsum(rest, axis=1) & 255
+        else:
+            out = np.diff(rest, axis=1, prepend=0)
+            out[:, 0] = np.diff(line, axis=0, prepend=np.array([[255, 0, 0, 0]]))
+            out &= 255
+        return (out if modes[0] == 1 else out.transpose(1, 0, 2)).reshape(-1, 4)
     given = [tuple(p) for p in pixels.tolist()]
     out = list(given)
     seen = out if inverse else given
@@ -326,57 +392,81 @@ def decode(raw: bytes) -> np.ndarray:
     return pixels[:, [1, 2, 3, 0]].astype(np.uint8).reshape(height, width, 4)
 
 
-def _put_single(out: _Writer, symbol: int) -> PrefixCode:
+def _put_single(out: _Writer, symbol: int) -> None:
     out.put(1, 1)
     out.put(0, 1)
     out.put(int(symbol > 1), 1)
     out.put(symbol, 8 if symbol > 1 else 1)
-    lengths = [0] * 256
-    lengths[symbol] = 1
-    return PrefixCode(lengths)
 
 
-def _huffman(counts: dict[int, int], size: int) -> list[int]:
-    """Code lengths of at most 15 by merging the two least counts."""
-    import heapq
-
-    floor = 0
+def _huffman(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Code lengths of at most ``most`` by merging the two least counts."""
+    order = np.argsort(counts, kind="stable")
+    leaves, n, floor = counts[order].tolist(), len(counts), 0
+    if n == 1:
+        return np.ones(1, np.int64)
     while True:
-        heap = [(max(n, floor), k, [s]) for k, (s, n) in enumerate(sorted(counts.items()))]
-        lengths = [0] * size
-        heapq.heapify(heap)
-        k = len(heap)
-        if k == 1:
-            lengths[heap[0][2][0]] = 1
-            return lengths
-        while len(heap) > 1:
-            (a, _, s), (b, _, t) = heapq.heappop(heap), heapq.heappop(heap)
-            for x in s + t:
-                lengths[x] += 1
-            heapq.heappush(heap, (a + b, k, s + t))
-            k += 1
-        if max(lengths) <= 15:
+        leaf = [max(x, floor) for x in leaves]
+        inner: list[int] = []
+        above = [0] * (2 * n - 1)
+        i = j = 0
+        for k in range(n - 1):
+            both = 0
+            for _ in (0, 1):
+                if j >= k or (i < n and leaf[i] <= inner[j]):
+                    both += leaf[i]
+                    above[i] = n + k
+                    i += 1
+                else:
+                    both += inner[j]
+                    above[n + j] = n + k
+                    j += 1
+            inner.append(both)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if depth[0] <= most:
+            lengths = np.empty(n, np.int64)
+            lengths[order] = depth[:n]
             return lengths
         floor = 2 * floor + 1
 
 
-def _put_code(out: _Writer, counts: dict[int, int], size: int) -> PrefixCode:
-    """Writes the prefix code of the counts; lengths themselves by 4-bit codes."""
-    if len(counts) <= 1 and next(iter(counts), 0) < 256:
-        return _put_single(out, next(iter(counts), 0))
-    lengths = _huffman(counts or {0: 1}, size)
-    if sum(1 for n in lengths if n) == 1:
-        lengths[0 if not lengths[0] else 1] = 1
+def _put_code(out: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the prefix code of the counts; returns each symbol's bits and their number."""
+    used = np.flatnonzero(counts)
+    if len(used) <= 1 and (not len(used) or used[0] < 256):
+        _put_single(out, int(used[0]) if len(used) else 0)
+        return np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.int64)
+    lengths = np.zeros(len(counts), np.int64)
+    lengths[used] = _huffman(counts[used])
+    if len(used) == 1:
+        lengths[0] = 1
+    # Runs of lengths: 16 repeats the one before, 17 and 18 are zeros.
+    tokens: list[tuple[int, int, int]] = []
+    first = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()]
+    for value, run in zip(lengths[first].tolist(), (b - a for a, b in zip(first, [*first[1:], len(lengths)]))):
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            kind, least, most, n = (16, 3, 6, 2) if value else (18, 11, 138, 7) if run >= 11 else (17, 3, 10, 3)
+            tokens.append((kind, min(run, most) - least, n))
+            run -= min(run, most)
+        tokens += [(value, 0, 0)] * run
+    of_counts = np.bincount([t[0] for t in tokens], minlength=19)
+    of_lengths, kinds = np.zeros(19, np.int64), np.flatnonzero(of_counts)
+    of_lengths[kinds] = _huffman(of_counts[kinds], 7)
+    n = max(4, 1 + max(k for k, x in enumerate(CODE_LENGTH_ORDER) if of_lengths[x]))
     out.put(0, 1)
-    out.put(15, 4)
-    of_lengths = [4] * 16 + [0] * 3
-    for k in CODE_LENGTH_ORDER:
-        out.put(of_lengths[k], 3)
+    out.put(n - 4, 4)
+    for k in CODE_LENGTH_ORDER[:n]:
+        out.put(int(of_lengths[k]), 3)
     out.put(0, 1)
-    code = PrefixCode(of_lengths)
-    for n in lengths:
-        code.write(out, n)
-    return PrefixCode(lengths)
+    code, size = (x.tolist() for x in PrefixCode(of_lengths).codes())
+    for kind, extra, n in tokens:
+        out.put(code[kind] | extra << size[kind], size[kind] + n)
+    return PrefixCode(lengths).codes()
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -390,57 +480,86 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << extra) - 1), extra
 
 
+@lru_cache(64)
+def _near(width: int) -> dict[int, int]:
+    """Distance codes up to 120, by distance."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def _before(key: np.ndarray) -> np.ndarray:
+    """The last earlier place of each place's key, or -1."""
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    out = np.full(len(key), -1)
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of greedy back-references of 3 pixels or more."""
+    if len(argb) < 4:
+        return []
+    key = argb[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ argb[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ argb[2:] * np.uint64(0x165667B19E3779F9)
+    before = _before(key)
+    places = np.flatnonzero((before >= 0) & (np.arange(len(before)) - before <= (1 << 20) - 120))
+    found, at, n = [], 0, len(argb)
+    if not len(places):
+        return found
+    pixels, before = argb.tolist(), before.tolist()
+    for i in places.tolist():
+        if i < at:
+            continue
+        j, k, most = before[i], 0, min(4096, n - i)
+        while k < most and pixels[i + k] == pixels[j + k]:
+            k += 1
+        if k >= 3:
+            found.append((i, k, i - j))
+            at = i + k
+    return found
+
+
 def _put_image(out: _Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, references: bool = False) -> None:
     out.put(int(cache_bits > 0), 1)
     if cache_bits:
         out.put(cache_bits, 4)
     if top:
         out.put(0, 1)
-    pixels = argb.tolist()
-    cache = [None] * (1 << cache_bits) if cache_bits else None
-    tokens, last, at = [], {}, 0
-    while at < len(pixels):
-        length, far = 0, 0
-        if references and at + 3 <= len(pixels):
-            key = tuple(pixels[at : at + 3])
-            if key in last:
-                far = at - last[key]
-                while at + length < len(pixels) and length < 4096 and pixels[at + length] == pixels[at + length - far]:
-                    length += 1
-        if length >= 3:
-            tokens.append(("copy", length, far + 120))
-        else:
-            length = 1
-            slot = (0x1E35A7BD * pixels[at] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            tokens.append(("cache", slot, 0) if cache_bits and cache[slot] == pixels[at] else ("pixel", pixels[at], 0))
-        for k in range(at, at + length):
-            if cache_bits:
-                cache[(0x1E35A7BD * pixels[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[k]
-            if references:
-                last[tuple(pixels[k : k + 3])] = k
-        at += length
-    counts: list[dict[int, int]] = [{}, {}, {}, {}, {}]
-
-    def symbols():
-        for kind, a, b in tokens:
-            if kind == "pixel":
-                yield from ((0, a >> 8 & 255, 0, 0), (1, a >> 16 & 255, 0, 0), (2, a & 255, 0, 0), (3, a >> 24, 0, 0))
-            elif kind == "cache":
-                yield (0, 280 + a, 0, 0)
-            else:
-                p, extra, n = _prefix(a)
-                yield (0, 256 + p, extra, n)
-                p, extra, n = _prefix(b)
-                yield (4, p, extra, n)
-
-    for which, s, _, _ in symbols():
-        counts[which][s] = counts[which].get(s, 0) + 1
-    sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    codes = [_put_code(out, c, n) for c, n in zip(counts, sizes)]
-    for which, s, extra, n in symbols():
-        codes[which].write(out, s)
-        if n:
-            out.put(extra, n)
+    argb = argb.astype(np.uint64)
+    copies = _copies(argb) if references else []
+    alone = np.ones(len(argb), bool)
+    for at, length, _ in copies:
+        alone[at : at + length] = False
+    symbol = (argb >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+    pixel = alone
+    if cache_bits:
+        slot = ((argb * np.uint64(_HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        before = _before(slot)
+        hit = alone & (before >= 0) & (argb[before] == argb)
+        symbol[hit] = 280 + slot[hit]
+        pixel = alone & ~hit
+    coded = [(*_prefix(length), *_prefix(_near(width).get(d, d + 120))) for _, length, d in copies]
+    places = [c[0] for c in copies]
+    symbol[places] = [256 + c[0] for c in coded]
+    begins = alone.copy()
+    begins[places] = True
+    parts = [(argb[pixel] >> np.uint64(k) & np.uint64(255)).astype(np.int64) for k in (16, 0, 24)]
+    green, *codes = (
+        _put_code(out, np.bincount(given, minlength=n))
+        for given, n in ((symbol[begins], 280 + ((1 << cache_bits) if cache_bits else 0)), *((x, 256) for x in parts), (np.array([c[3] for c in coded], np.int64), 40))
+    )
+    bits, size = green[0][symbol], green[1][symbol]
+    value, n = bits[pixel], size[pixel]
+    for part, (code, length) in zip(parts, codes):
+        value |= code[part] << n.astype(np.uint64)
+        n = n + length[part]
+    bits[pixel], size[pixel] = value, n
+    for at, (_, extra, wide, far, more, far_wide) in zip(places, coded):
+        value, n = int(bits[at]), int(size[at])
+        value |= extra << n
+        value |= int(codes[3][0][far]) << (n := n + wide)
+        value |= more << (n := n + int(codes[3][1][far]))
+        bits[at], size[at] = value, n + far_wide
+    out.put_all(bits[begins], size[begins])
 
 
 def _wrap(body: bytes) -> bytes:
@@ -456,8 +575,8 @@ def _head(out: _Writer, width: int, height: int) -> None:
     out.put(0, 3)
 
 
-def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), mode: int = 11, cross: tuple[int, int, int] = (0, 0, 0), cache_bits: int = 0, references: bool = False) -> bytes:
-    """A lossless WebP file with Huffman codes and the features asked for, pixel by pixel.
+def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), mode: int = 11, cross: tuple[int, int, int] = (0, 0, 0), cache_bits: int = 0, references: bool = False, block: int = 3) -> bytes:
+    """A lossless WebP file with Huffman codes and the features asked for.
 
     ``transforms``, in the order in which they are applied: predictor, cross,
     green, palette (which must come first and needs 256 colours at most).
@@ -466,22 +585,22 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), mode: int = 11,
     p = pixels.reshape(-1, 4).astype(np.int64)[:, [3, 0, 1, 2]]
     out = _Writer()
     _head(out, width, height)
-    block = 3
-    blocks = -(-width // 8) * -(-height // 8)
     as_argb = lambda c: (c[:, 0] << 24 | c[:, 1] << 16 | c[:, 2] << 8 | c[:, 3]).astype(np.uint32)
     for name in transforms:
         out.put(1, 1)
         out.put(("predictor", "cross", "green", "palette").index(name), 2)
         if name == "predictor":
             out.put(block - 2, 3)
-            blocks = -(-width // 8) * -(-height // 8)
-            _put_image(out, np.full(blocks, 0xFF000000 | mode << 8, np.uint32), -(-width // 8), False)
+            across = -(-width // (1 << block))
+            blocks = across * -(-height // (1 << block))
+            _put_image(out, np.full(blocks, 0xFF000000 | mode << 8, np.uint32), across, False)
             p = _predictor(p, width, np.full(blocks, mode), block, False)
         elif name == "cross":
             out.put(block - 2, 3)
-            blocks = -(-width // 8) * -(-height // 8)
+            across = -(-width // (1 << block))
+            blocks = across * -(-height // (1 << block))
             element = np.array([[255, *(x & 255 for x in cross)]] * blocks)
-            _put_image(out, as_argb(element), -(-width // 8), False)
+            _put_image(out, as_argb(element), across, False)
             p = _cross_color(p, width, element, block, False)
         elif name == "green":
             p[:, 1] = p[:, 1] - p[:, 2] & 255
@@ -503,40 +622,45 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), mode: int = 11,
     return _wrap(out.raw())
 
 
-def _flat_head(width: int, height: int) -> tuple[int, int]:
-    """(value, bits) before the pixels of an image whose bytes have 8-bit codes."""
-    out = _Writer()
-    _head(out, width, height)
-    out.put(0, 3)  # no transform, no colour cache, no meta prefix codes
-    for _ in range(4):
-        out.put(0, 1)
-        out.put(CODE_LENGTH_ORDER.index(8) + 1 - 4, 4)  # every length is 8, so the lengths take no bits
-        for k in CODE_LENGTH_ORDER[: CODE_LENGTH_ORDER.index(8) + 1]:
-            out.put(int(k == 8), 3)
-        out.put(1, 1)
-        out.put(3, 3)
-        out.put(254, 8)
-    _put_single(out, 0)
-    return out.value, out.n
+def _entropy(channels: np.ndarray) -> float:
+    """Bits of the channels by themselves."""
+    counts = np.bincount((channels + np.arange(4) * 256).ravel(), minlength=1024)
+    some = counts[counts > 0]
+    return 4 * len(channels) * np.log2(max(1, len(channels))) - float(some @ np.log2(some))
+
+
+#: Multipliers tried for cross-colour: one takes red off blue in full, the others move channels by a few steps.
+CROSS = ((0, 0, 32), (-1, 0, 0), (0, -1, 0))
+
+
+def _best_transform(pixels: np.ndarray, width: int) -> tuple[tuple[str, ...], int, tuple[int, int, int]]:
+    """(transforms, mode, multipliers) that leave the least entropy, palette's table counted in; always one transform."""
+    p = pixels.reshape(-1, 4).astype(np.int64)[:, [3, 0, 1, 2]]
+    green = p.copy()
+    green[:, [1, 3]] = p[:, [1, 3]] - p[:, [2]] & 255
+    none = (0, 0, 0)
+    bits = {(("green",), 0, none): _entropy(green)}
+    for cross in CROSS:
+        bits[("cross",), 0, cross] = _entropy(_cross_color(p, width, np.array([[255, *(x & 255 for x in cross)]]), 14, False))
+    for mode in (1, 2):
+        bits[("predictor",), mode, none] = _entropy(_predictor(p, width, np.array([mode]), 3, False))
+    colors, counts = np.unique(p[:, 0] << 24 | p[:, 1] << 16 | p[:, 2] << 8 | p[:, 3], return_counts=True)
+    if len(colors) <= 256:
+        table = np.diff(_channels(colors), axis=0, prepend=np.zeros((1, 4), np.int64)) & 255
+        bits[("palette",), 0, none] = _entropy(table) + len(p) * np.log2(len(p)) - float(counts @ np.log2(counts)) + 400
+    return min(bits, key=bits.get)
 
 
 def encode_bytes(payload: bytes, width: int = 144) -> bytes:
     """``payload``, a multiple of 4 * width bytes, as the samples of WebP files in a row.
 
-    Each file has 16,384 rows at most. Every byte value has an 8-bit prefix code,
-    so that both ways are array operations.
+    Each file has 16,384 rows at most, Huffman codes, back-references, a colour
+    cache that grows with the pixels, and the transform of the least entropy.
     """
     row, files = 4 * width, []
     for at in range(0, len(payload), row * MOST_ROWS):
-        part = np.frombuffer(payload[at : at + row * MOST_ROWS], np.uint8).reshape(-1, 4)
-        value, n = _flat_head(width, len(part) // width)
-        coded = REVERSED[part[:, [1, 0, 2, 3]].ravel()].astype(np.uint16)
-        whole, shift = n >> 3, n & 7
-        body = np.zeros(len(coded) + 1, np.uint16)
-        body[:-1] |= (coded << shift) & 255
-        body[1:] |= coded >> (8 - shift)
-        body[0] |= value >> (8 * whole)
-        files.append(_wrap((value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little") + body.astype(np.uint8).tobytes()))
+        part = np.frombuffer(payload[at : at + row * MOST_ROWS], np.uint8).reshape(-1, width, 4)
+        files.append(encode(part, *_best_transform(part, width), cache_bits=min(10, max(1, (part.size // 4).bit_length() - 2)), references=True, block=9))
     return b"".join(files)
 
 

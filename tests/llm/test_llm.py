@@ -298,6 +298,18 @@ def test_webp_known_stream():
     assert webp.decode(webp._wrap(out.raw())).tolist() == [[[9, 5, 7, 200]] * 4]
 
 
+def test_op8_payloads_use_the_method():
+    text = ("The quick brown fox jumps over the lazy dog, and the dog sleeps on. " * 60).encode()
+    rng = np.random.default_rng(1)
+    mixed = bytes(rng.choice(list(b"etaoin shrdlu,.XQ\xc3\xa9"), 576 * 20).astype(np.uint8))
+    for payload in (b"\xff" * 576, (text + mixed)[: 576 * 27], rng.integers(0, 256, 576 * 9, dtype=np.uint8).tobytes(), mixed):
+        stored = webp.encode_bytes(payload)
+        assert webp.decode_bytes(stored).tobytes() == payload
+        assert webp._Bits(stored, 21).read(14) == 143 and webp._Bits(stored, 25).read(1) == 1  # a transform follows
+    assert len(webp.encode_bytes(text[: 576 * 7])) < 576 * 7 / 2
+    assert len(webp.encode_bytes(mixed)) < 0.7 * len(mixed)
+
+
 def test_op8_digests(spark):
     rows = {r["doc_id"]: r for r in webp.media_digests(webp.media_table(documents(spark, ODD))).collect()}
     for i, t in enumerate(ODD):
