@@ -360,8 +360,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 def principal_components(df: DataFrame, row: str, features: list[str], k: int) -> DataFrame:
     """(row, pc1...): scores on the covariance's leading axes; the matrix comes from one aggregation, signs make the largest loading positive."""
-    s = df.agg(*(F.avg(c).alias(f"m_{c}") for c in features), *(F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features))).first()
-    m = np.array([[s[f"{i}_{j}"] for j in range(len(features))] for i in range(len(features))], float)
+    s = df.agg(*(F.avg(c).alias(f"m_{c}") for c in features)).first()
+    # One group for each pair of features, as a plan of so many aggregates at once would not compile.
+    left = df.select(F.array(*features).alias("v")).select("v", F.posexplode("v").alias("i", "x"))
+    pairs = left.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 1, F.size("v") - F.col("i"))).alias("k", "y"))
+    m = np.empty((len(features), len(features)))
+    for r in pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.covar_samp("x", "y").alias("c")).collect():
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = np.nan if r["c"] is None else r["c"]
     _, axes = np.linalg.eigh(m)
     axes = axes[:, ::-1][:, :k]
     axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), range(axes.shape[1])])

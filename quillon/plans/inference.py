@@ -39,7 +39,7 @@ def rs3(spark, d):
 
 @query("rs4_bootstrap_table")
 def rs4(spark, d):
-    li = load(spark, d, "lineitem").limit(20_000).withColumn("id", F.monotonically_increasing_id()).select("id", (F.col("l_discount") > 0.05).alias("p"), (F.col("l_quantity") > 25).alias("o"))
+    li = load(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_discount") > 0.05).alias("p"), (F.col("l_quantity") > 25).alias("o"))
     n = lambda w, c: F.sum(F.when(F.expr(c), w))
     stat = lambda w: {"sens": n(w, "p AND o") / n(w, "o"), "spec": n(w, "NOT p AND NOT o") / n(w, "NOT o")}
     return R.bootstrap_ci(li, "id", stat, 100)
@@ -108,7 +108,7 @@ def ro13(spark, d):
 
 @query("ro15_dilution")
 def ro15(spark, d):
-    s = load(spark, d, "supplier").where("s_suppkey <= 20").select("s_suppkey", F.explode(F.array(*(F.lit(float(2**k)) for k in range(10)))).alias("dose"))
+    s = load(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*(F.lit(float(2**k)) for k in range(10)))).alias("dose"))
     y = M.response_of_dose(F.col("dose"), F.lit(10.0) + F.col("s_suppkey") % 3, F.lit(1.2), F.lit(20.0) + F.col("s_suppkey"), F.lit(0.5), F.lit(1.0))
     return M.fit_dilutions(s.withColumn("y", y), ["s_suppkey"], "dose", "y")
 
@@ -178,13 +178,15 @@ def clu5(spark, d):
 
 @query("em1_pca")
 def em1(spark, d):
-    e = load(spark, d, "embeddings").select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(8)))
-    return M.principal_components(e, "vec_id", [f"x{k}" for k in range(8)], 2)
+    e = load(spark, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    e = e.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(size)))
+    return M.principal_components(e, "vec_id", [f"x{k}" for k in range(size)], 2)
 
 
 @query("poly1_hypercube")
 def poly1(spark, d):
-    li = load(spark, d, "lineitem").where("l_suppkey <= 20")
+    li = load(spark, d, "lineitem")
     bits = (F.col("l_quantity") > 25).cast("int") + 2 * (F.col("l_discount") > 0.05).cast("int") + 4 * (F.col("l_tax") > 0.04).cast("int")
     h = li.groupBy("l_suppkey").agg(F.array(*(F.count_if(bits == k) for k in range(8))).alias("h"))
     pairs = h.join(h.toDF("l_suppkey_b", "h_b"), F.col("l_suppkey") < F.col("l_suppkey_b"))

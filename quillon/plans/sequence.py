@@ -12,8 +12,8 @@ from quillon.session import load
 _S = "s AS (SELECT p_partkey AS id, translate(substr(md5(p_name || p_partkey), 1, 16), '0123456789abcdef', 'AACDEFGHIKAACC-A') AS seq, p_size % 5 AS g FROM part WHERE p_partkey <= 400)"
 
 
-def _seqs(spark, d):
-    p = load(spark, d, "part").where("p_partkey <= 400")
+def _seqs(spark, d, rows="p_partkey <= 400"):
+    p = load(spark, d, "part").where(rows)
     return p.select(F.col("p_partkey").alias("id"), F.translate(F.substring(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), 1, 16), "0123456789abcdef", "AACDEFGHIKAACC-A").alias("seq"), (F.col("p_size") % 5).alias("g"))
 
 
@@ -103,7 +103,7 @@ def sq11(spark, d):
 
 @query("sq13_alignment")
 def sq13(spark, d):
-    s = _seqs(spark, d).where("id <= 60")
+    s = _seqs(spark, d, "true")
     pairs = s.join(s.select("g", F.col("id").alias("id_b"), F.col("seq").alias("seq_b")), "g").where("id < id_b")
     return Q.alignment_distances(pairs, "seq", "seq_b", lambda x, y: SCORES.get((x, y), -1.0), ["id", "id_b"])
 
@@ -129,9 +129,9 @@ def sq17(spark, d):
 _I = "i AS (SELECT p_partkey AS id, p_size % 10 AS u, (p_partkey * 7919 % 400)::INT AS start, (p_partkey * 7919 % 400)::INT + 8 + p_size % 8 AS \"end\" FROM part WHERE p_partkey <= 300)"
 
 
-def _responses(spark, d):
+def _responses(spark, d, rows="p_partkey <= 300"):
     start = (F.col("p_partkey") * 7919 % 400).cast("int")
-    return load(spark, d, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("u"), start.alias("start"), (start + 8 + F.col("p_size") % 8).alias("end"))
+    return load(spark, d, "part").where(rows).select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("u"), start.alias("start"), (start + 8 + F.col("p_size") % 8).alias("end"))
 
 
 @query("ep1_islands", f"WITH {_I}, r AS (SELECT *, max(\"end\") OVER (PARTITION BY u ORDER BY start, \"end\", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i) SELECT id, u, (sum(coalesce((start >= r)::INT, 1)) OVER (PARTITION BY u ORDER BY start, \"end\", id ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS island FROM r")
@@ -141,7 +141,7 @@ def ep1(spark, d):
 
 @query("ep2_epitopes")
 def ep2(spark, d):
-    r = Q.islands(_responses(spark, d), ["u"], "start", "end", "id")
+    r = Q.islands(_responses(spark, d, "true"), ["u"], "start", "end", "id")
     seq = F.array_join(F.transform(F.sequence(F.col("start"), F.col("end") - 1), lambda p: F.substring(F.lit("ACDEFGHIKLMNPQRSTVWY"), (p * 7 % 20 + 1).cast("int"), F.lit(1))), "")
     return Q.epitopes(r.withColumn("seq", seq), "u", "island", "id", "start", "end", "seq")
 
