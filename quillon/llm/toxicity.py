@@ -2,7 +2,8 @@
 
 A term is a lower-cased word or one of its leading parts of 3 to 8 bytes, by
 64-bit hash, present or absent. From a bounded sample of labelled rows, the terms
-that tell the labels apart are chosen by their log odds; a factorization machine
+are chosen that label 1 has far more often, or that tell the labels apart for certain in
+either direction, however little; a factorization machine
 then learns a weight for each and a vector for each, whose products are weights
 of pairs (an insult beside a mention of a group, say).
 """
@@ -95,7 +96,8 @@ class FactorizationMachine:
 
 
 def choose_terms(texts: list[str], labels: np.ndarray, most: int = 4000, least: int = 4) -> np.ndarray:
-    """Sorted hashes of the terms that most set label 1 apart, from at least ``least`` of its texts."""
+    """Sorted hashes of the terms of at least ``least`` texts: the ``most`` that lift label 1 over twofold, and the
+    ``most`` whose likelihood ratio is beyond what chance gives among so many, in either direction."""
     counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(texts), 400):
         rows, h = _terms(_lower(pa.array(texts[at : at + 400], pa.large_string())))
@@ -115,10 +117,16 @@ def choose_terms(texts: list[str], labels: np.ndarray, most: int = 4000, least:
     h, ones, n = _merged(counts)[0]
     n1 = max(1, int(labels.sum()))
     n0 = max(1, len(labels) - n1)
-    p1, p0 = (ones + 0.5) / (n1 + 1), (n - ones + 0.5) / (n0 + 1)
-    gain = np.where((ones >= least) & (p1 > 2 * p0), ones * np.log(p1 / p0), -1.0)
-    best = np.argsort(-gain, kind="stable")[:most]
-    return np.sort(h[best[gain[best] > 0]])
+    often = n >= least
+    h, ones, n = h[often], ones[often].astype(float), n[often].astype(float)
+    total = n1 + n0
+    part = lambda x, of, rate: x * np.log(np.maximum(x, 1e-9) / np.maximum(of * rate, 1e-9))
+    apart = sum(part(x, n, k / total) + part(k - x, total - n, k / total) for x, k in ((ones, n1), (n - ones, n0)))
+    lift = (ones + 0.5) / (n1 + 1) / ((n - ones + 0.5) / (n0 + 1))
+    rare = np.where((ones >= least) & (lift > 2), ones * np.log(lift), -1.0)  # most of the clear words are rare
+    sure = np.where(2 * apart > 2 * np.log(max(2, len(h))), apart, -1.0)
+    chosen = [np.argsort(-x, kind="stable")[:most] for x in (rare, sure)]
+    return np.sort(h[np.unique(np.concatenate([c[x[c] > 0] for c, x in zip(chosen, (rare, sure))]))])
 
 
 def _merged(counts):

@@ -243,6 +243,24 @@ def test_op6_learns_terms_and_pairs():
     assert model.predict(pa.array([None, ""], pa.large_string())).tolist() == [model.predict(pa.array([""]))[0]] * 2
 
 
+def test_op6_pairs_of_weak_terms_and_terms_of_label_0():
+    rng = np.random.default_rng(11)
+    texts, labels = [], []
+    for _ in range(2400):
+        group, insult, calm = rng.random(3) < (0.5, 0.5, 0.2)
+        words = [*rng.choice(["alpha", "bravo", "delta", "gamma", "omega"], 6), *(w for w, there in (("gruppe", group), ("boeses", insult), ("friedlich", calm)) if there)]
+        texts.append(" ".join(rng.permutation(words)))
+        # one of the pair at least, so that a member is under twice as frequent in label 1; a calm word clears all
+        labels.append(int((group or insult) and not calm))
+    labels = np.array(labels)
+    chosen = set(toxicity.choose_terms(texts, labels).tolist())
+    for word in ("gruppe", "friedlich"):
+        assert set(toxicity._terms(pa.array([word], pa.large_string()))[1].tolist()) <= chosen
+    model = toxicity.fit(texts[:1800], labels[:1800])
+    p = model.predict(pa.array(texts[1800:], pa.large_string())) >= 0.5
+    assert (p == labels[1800:].astype(bool)).mean() > 0.97
+
+
 def test_op6_rows_and_drop(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.toxicity_scores(docs, labels).toPandas()
