@@ -3,8 +3,8 @@
 Pieces of equal length are alike, so the plan is made on the histogram of
 lengths (as many entries as a sequence has tokens, whatever the input) and each
 step of the plan is carried out as often as the counts allow. The longest length
-left opens a sequence; an index of single, pair and triple sums of the lengths
-left tells whether its gap can be filled exactly. If not, the best fit goes in
+left opens a sequence; an index of single and pair sums of the lengths
+left, tried with each third length, tells whether its gap can be filled exactly by up to three. If not, the best fit goes in
 and the index is asked for the rest. Every step uses up a length, so a plan has
 at most a few times as many steps as there are lengths.
 """
@@ -24,7 +24,7 @@ from quillon.session import shuffle_partitions, stage
 
 
 class _Sums:
-    """Which sums of one, two or three lengths left are there."""
+    """Which sums of one or two lengths left are there."""
 
     def __init__(self, counts: np.ndarray):
         self.size = 1 << int(2 * len(counts) - 1).bit_length()
@@ -49,7 +49,7 @@ def _exact(left: np.ndarray, sums: _Sums, gap: int) -> tuple[int, ...] | None:
     if sums.two[gap] and (found := _pair(left, gap)):
         return found
     a = np.arange(1, gap - 1)
-    for c in a[(left[a] > 0) & sums.two[gap - a]][::-1][:64].tolist():
+    for c in a[(left[a] > 0) & sums.two[gap - a]][::-1].tolist():
         left[c] -= 1
         found = _pair(left, gap - c)
         left[c] += 1

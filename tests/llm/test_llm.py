@@ -196,6 +196,17 @@ def test_plan_uses_every_piece_and_packs_tightly():
         assert bins <= 1.02 * -(-int((counts * np.arange(cap + 1)).sum()) // cap) + 1
 
 
+def test_exact_triple_after_many_candidates_that_fail():
+    gap = 20_000
+    left = np.zeros(gap + 1, np.int64)
+    # no two of these average to a third, so that gap - c = a + a fails where a is there once
+    once = [int(f"{k:b}", 3) for k in range(1, 80)]
+    left[once] = 1
+    left[[gap - 2 * a for a in once]] = 1
+    left[[6000, 6500, 7500]] = 1
+    assert sorted(packing._exact(left, packing._Sums(left), gap)) == [6000, 6500, 7500]
+
+
 def test_op5_places_every_piece(spark):
     docs = documents(spark, ODD).unionByName(documents(spark, ["again and again"] * 3, first=2))  # repeated ids
     rows = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=64).toPandas()
