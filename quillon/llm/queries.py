@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import chat
 from quillon.llm.embed_dedup import near_duplicates
 from quillon.llm.langid import predict_languages
+from quillon.llm.media import media_digests, media_table
 from quillon.llm.mixing import mixing_rates
 from quillon.llm.ngram_join import jaccard_components
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import secret_digests
 from quillon.llm.tokenio import read_documents, write_token_files
 from quillon.llm.toxicity import toxicity_scores
-from quillon.llm.webp import media_digests, media_table
 from quillon.session import load, stage
 
 

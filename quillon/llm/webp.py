@@ -1,27 +1,19 @@
-"""Lossless WebP (the published VP8L bitstream): decoder, encoder and payload columns.
+"""Lossless WebP (the published VP8L bitstream), one file at a time: decoder and encoder.
 
 The decoder reads every feature of the format: simple and normal prefix codes,
 meta prefix groups, back-references, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms; entropy-coded pixels are read
 one by one through tables. The encoder finds back-references and cache hits by
-sorting and packs bits as arrays. Payloads are stored with Huffman codes, a colour
-cache, back-references and the transform that leaves the least entropy.
+sorting and packs bits as arrays. webp_lanes.py does many files at a time.
 Pixels are (height, width, 4) arrays in the order red, green, blue, alpha.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quillon.llm._text import slices
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -40,7 +32,6 @@ NEAR = (
 )
 _BYTE = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.int64)
 REVERSED = (_BYTE[:, None] + (_BYTE << 8)).ravel()  # of 16 bits
-MOST_ROWS = 16384
 _WINDOW = 1 << 14  # bytes of a stream whose bits are laid out at a time
 _HASH = 0x1E35A7BD
 
@@ -622,98 +613,5 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = (), mode: int = 11,
     return _wrap(out.raw())
 
 
-def _entropy(channels: np.ndarray) -> float:
-    """Bits of the channels by themselves."""
-    counts = np.bincount((channels + np.arange(4) * 256).ravel(), minlength=1024)
-    some = counts[counts > 0]
-    return 4 * len(channels) * np.log2(max(1, len(channels))) - float(some @ np.log2(some))
-
-
 #: Multipliers tried for cross-colour: one takes red off blue in full, the others move channels by a few steps.
 CROSS = ((0, 0, 32), (-1, 0, 0), (0, -1, 0))
-
-
-def _best_transform(pixels: np.ndarray, width: int) -> tuple[tuple[str, ...], int, tuple[int, int, int]]:
-    """(transforms, mode, multipliers) that leave the least entropy, palette's table counted in; always one transform."""
-    p = pixels.reshape(-1, 4).astype(np.int64)[:, [3, 0, 1, 2]]
-    green = p.copy()
-    green[:, [1, 3]] = p[:, [1, 3]] - p[:, [2]] & 255
-    none = (0, 0, 0)
-    bits = {(("green",), 0, none): _entropy(green)}
-    for cross in CROSS:
-        bits[("cross",), 0, cross] = _entropy(_cross_color(p, width, np.array([[255, *(x & 255 for x in cross)]]), 14, False))
-    for mode in (1, 2):
-        bits[("predictor",), mode, none] = _entropy(_predictor(p, width, np.array([mode]), 3, False))
-    colors, counts = np.unique(p[:, 0] << 24 | p[:, 1] << 16 | p[:, 2] << 8 | p[:, 3], return_counts=True)
-    if len(colors) <= 256:
-        table = np.diff(_channels(colors), axis=0, prepend=np.zeros((1, 4), np.int64)) & 255
-        bits[("palette",), 0, none] = _entropy(table) + len(p) * np.log2(len(p)) - float(counts @ np.log2(counts)) + 400
-    return min(bits, key=bits.get)
-
-
-def encode_bytes(payload: bytes, width: int = 144) -> bytes:
-    """``payload``, a multiple of 4 * width bytes, as the samples of WebP files in a row.
-
-    Each file has 16,384 rows at most, Huffman codes, back-references, a colour
-    cache that grows with the pixels, and the transform of the least entropy.
-    """
-    row, files = 4 * width, []
-    for at in range(0, len(payload), row * MOST_ROWS):
-        part = np.frombuffer(payload[at : at + row * MOST_ROWS], np.uint8).reshape(-1, width, 4)
-        files.append(encode(part, *_best_transform(part, width), cache_bits=min(10, max(1, (part.size // 4).bit_length() - 2)), references=True, block=9))
-    return b"".join(files)
-
-
-def decode_bytes(stored: bytes) -> np.ndarray:
-    """The samples of the files of encode_bytes(), as rows of pixels."""
-    parts, at = [], 0
-    while at < len(stored):
-        size = 8 + struct.unpack_from("<I", stored, at + 4)[0]
-        parts.append(decode(stored[at : at + size]))
-        at += size
-    return np.concatenate(parts)
-
-
-def feature(pixels: np.ndarray) -> str:
-    """Mean and standard deviation of each channel and the share of rows' differences, of pixels read back."""
-    flat = pixels.reshape(-1, 4).astype(np.float64)
-    steps = np.abs(np.diff(flat, axis=0)).mean() if len(flat) > 1 else 0.0
-    return f"{pixels.shape[0]}x{pixels.shape[1]};" + ";".join(f"{a:.3f},{b:.3f}" for a, b in zip(flat.mean(0), flat.std(0))) + f";{steps:.3f}"
-
-
-def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = 576) -> DataFrame:
-    """(id, n_bytes, media): each whole text's bytes, filled up with 255, as WebP pixels.
-
-    Null texts are empty; an empty text is one row of 255. Equal texts have equal
-    media. Rows that repeat an id or have none keep it. Other columns are not read.
-    """
-
-    def store(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
-                media = [encode_bytes(b + b"\xff" * (-len(b) % row if b else row), row // 4) for b in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
-
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(store, "id long, n_bytes long, media binary")
-
-
-def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and a feature of the pixels that the decoder reads back."""
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def read(batches):
-        for batch in batches:
-            cols: list[list] = [[] for _ in names[2:]]
-            for stored in batch.column(2):
-                stored = stored.as_py()
-                pixels = decode_bytes(stored)
-                payload = pixels.tobytes()
-                for c, x in zip(cols, (len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), sha256(stored).hexdigest(), feature(pixels))):
-                    c.append(x)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
-
-    schema = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("id", "n_bytes", "media").mapInArrow(read, schema)
