@@ -4,7 +4,9 @@ A text is cut at single spaces and newlines between other characters. No
 pre-token of the supported vocabularies reaches across such a place, so a text's
 ids are those of its chunks in a row. Each distinct chunk is encoded by the
 library once per worker (the memory held is bounded) and many chunks go in one
-call, kept apart by a control character whose id never merges with others.
+call, kept apart by a control character whose id never merges with others. A text
+that holds the string of an added token (an end mark, say) is encoded whole, as
+the library finds such strings before anything else.
 """
 
 from __future__ import annotations
@@ -26,9 +28,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class ChunkEncoder:
@@ -41,6 +41,9 @@ class ChunkEncoder:
     def __init__(self, path: str, spaced: bool):
         self.tokenizer, self.spaced = _tokenizer(path), spaced
         self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]  # these are found in normalized texts
         mark = self._plain(f"a {_MARK}" if spaced else f"a {_MARK} a")
         self.lead = 2 if spaced else 1  # ids of the mark, with the space before it
         one = self._plain("a")
@@ -76,7 +79,7 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """A text's chunks as keys of ``known``, or None if it must be encoded whole."""
-        if _MARK in text:
+        if _MARK in text or any(a in text for a in self.added) or (self.folded and any(a in text.lower() for a in self.folded)):
             return None
         if not self.spaced:
             return text.replace("\n", " ").split(" ")  # empty ones have no ids

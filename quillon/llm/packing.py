@@ -3,10 +3,11 @@
 Pieces of equal length are alike, so the plan is made on the histogram of
 lengths (as many entries as a sequence has tokens, whatever the input) and each
 step of the plan is carried out as often as the counts allow. The longest length
-left opens a sequence; an index of single and pair sums of the lengths
-left, tried with each third length, tells whether its gap can be filled exactly by up to three. If not, the best fit goes in
-and the index is asked for the rest. Every step uses up a length, so a plan has
-at most a few times as many steps as there are lengths.
+left opens a sequence; an index of the sums of one, two and three lengths left tells
+whether its gap can be filled exactly. If so, a combination that the counts allow is
+taken; all are tried. If not, the best fit goes in and the index is asked for the
+rest. Every step uses up a length, so a plan has at most a few times as many steps
+as there are lengths.
 """
 
 from __future__ import annotations
@@ -24,16 +25,30 @@ from quillon.session import shuffle_partitions, stage
 
 
 class _Sums:
-    """Which sums of one or two lengths left are there."""
+    """Which sums of two or three lengths left are there (a length may repeat); made when first asked for."""
 
     def __init__(self, counts: np.ndarray):
-        self.size = 1 << int(2 * len(counts) - 1).bit_length()
+        self.size = 1 << int(3 * len(counts) - 1).bit_length()
         self.update(counts)
 
     def update(self, counts: np.ndarray) -> None:
-        self.one = counts > 0
-        spectrum = np.fft.rfft(self.one.astype(float), self.size)
-        self.two = np.fft.irfft(spectrum * spectrum, self.size)[: len(counts)] > 0.5
+        self.one = (counts > 0).astype(float)
+        self._two = self._three = None
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.fft.rfft(self.one, self.size) * np.fft.rfft(x, self.size), self.size)[: len(self.one)] > 0.5
+
+    @property
+    def two(self) -> np.ndarray:
+        if self._two is None:
+            self._two = self._sums(self.one)
+        return self._two
+
+    @property
+    def three(self) -> np.ndarray:
+        if self._three is None:
+            self._three = self._sums(self.two.astype(float))
+        return self._three
 
 
 def _pair(left: np.ndarray, gap: int) -> tuple[int, int] | None:
@@ -48,8 +63,10 @@ def _exact(left: np.ndarray, sums: _Sums, gap: int) -> tuple[int, ...] | None:
         return (gap,)
     if sums.two[gap] and (found := _pair(left, gap)):
         return found
-    a = np.arange(1, gap - 1)
-    for c in a[(left[a] > 0) & sums.two[gap - a]][::-1].tolist():
+    if not sums.three[gap]:
+        return None
+    third = np.arange(1, gap - 1)
+    for c in third[(left[third] > 0) & sums.two[gap - third]][::-1].tolist():
         left[c] -= 1
         found = _pair(left, gap - c)
         left[c] += 1
