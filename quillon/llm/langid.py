@@ -10,6 +10,7 @@ weighted by their letters.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._text import buffers, slices
+from quillon.session import share_code
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
@@ -102,8 +104,23 @@ def _mask() -> np.ndarray:
     return np.concatenate(cols, axis=1)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = 5, per_text: int = 6, batch: int = 64) -> ByteConvNet:
-    """The network by Adam on cross-entropy over random windows of the texts."""
+def sample_windows(text: str, most: int, seed: int = 3) -> list[bytes]:
+    """At most ``most`` windows at random places of a text, some of them short; the same for equal texts."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    rng = np.random.default_rng([seed, zlib.crc32(raw)])
+    out = []
+    for start in np.unique(rng.integers(0, max(0, len(raw) - WINDOW) + 1, most)).tolist():
+        row = np.zeros(WINDOW, np.uint8)
+        size = WINDOW if rng.random() < 0.7 else int(rng.integers(8, WINDOW + 1))  # short texts too
+        part = raw[start : start + size]
+        row[: len(part)] = part
+        if _LETTER[row].any():
+            out.append(row.tobytes())
+    return out
+
+
+def train(windows: list[bytes], labels: list[str], seed: int = 3, epochs: int = 5, batch: int = 64) -> ByteConvNet:
+    """The network by Adam on cross-entropy over labelled windows."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     mask = _mask()
@@ -118,22 +135,8 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = 5, p
     )
     if len(languages) < 2:
         return net
-    number = {name: i for i, name in enumerate(languages)}
-    windows, y = [], []
-    for text, label in zip(texts, labels):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        last = max(0, len(raw) - WINDOW)
-        for start in np.unique(rng.integers(0, last + 1, per_text)).tolist():
-            row = np.zeros(WINDOW, np.uint8)
-            size = WINDOW if rng.random() < 0.7 else int(rng.integers(8, WINDOW + 1))  # short texts too
-            part = raw[start : start + size]
-            row[: len(part)] = part
-            if _LETTER[row].any():
-                windows.append(row)
-                y.append(number[label])
-    if not windows:
-        return net
-    windows, y = np.stack(windows), np.array(y)
+    y = np.array([languages.index(name) for name in labels])
+    windows = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW)
     names = ("bytes_", "filters", "bias", "out", "out_bias")
     m = {n: np.zeros_like(getattr(net, n)) for n in names}
     v = {n: np.zeros_like(getattr(net, n)) for n in names}
@@ -171,25 +174,42 @@ def train(texts: list[str], labels: list[str], seed: int = 3, epochs: int = 5, p
     return net
 
 
-def training_rows(docs: DataFrame, most: int) -> tuple[list[str], list[str]]:
-    """At most ``most`` (text, lang) rows outside the held-out fold, by hash order."""
+def training_windows(docs: DataFrame, most: int, per_text: int) -> tuple[list[bytes], list[str]]:
+    """At most ``per_text`` windows of each of ``most`` distinct (doc_id, text) outside the held-out fold, by hash order.
+
+    The windows are cut by the tasks; the driver gets ``most * per_text`` of them at most. Of
+    conflicting languages of a pair the greatest is taken.
+    """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
-    got = known.join(F.broadcast(picked), "doc_id").select("text", "lang").limit(2 * most).toArrow()
-    return got.column("text").to_pylist(), got.column("lang").to_pylist()
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", "lang")
+    picked = known.select("doc_id", "h").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most).distinct()
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(i, h, lang, k, w) for i, h, text, lang in zip(*(c.to_pylist() for c in batch.columns)) for k, w in enumerate(sample_windows(text, per_text))]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "h", "lang", "k", "window"])
+
+    cut_ = known.join(F.broadcast(picked), ["doc_id", "h"]).select("doc_id", "h", "text", "lang").mapInArrow(cut, "doc_id long, h long, lang string, k int, window binary")
+    rows = cut_.groupBy("doc_id", "h", "k").agg(F.max("lang").alias("lang"), F.min("window").alias("window")).orderBy("doc_id", "h", "k").collect()
+    return [bytes(r["window"]) for r in rows], [r["lang"] for r in rows]
 
 
-def predict_languages(docs: DataFrame, sample: int = 2400) -> DataFrame:
+def predict_languages(docs: DataFrame, sample: int = 2400, per_text: int = 6) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of ``docs``.
 
-    The network is trained on at most ``sample`` rows with a language, none of
-    the held-out fold (crc32 of the doc_id as text, modulo 4, is 2). A text that
+    The network is trained on at most ``per_text`` windows of each of at most
+    ``sample`` texts with a language, none of the held-out fold (crc32 of the doc_id
+    as text, modulo 4, is 2). Every whole text is predicted. A text that
     is null or has no letter is `und` with score 0; so is every text if the
     sample holds no language. Rows with equal texts get equal predictions. A null
-    doc_id is not held out. Other columns are not read.
+    doc_id is not held out. An empty table gives an empty result. Other columns are
+    not read.
     """
-    texts, langs = training_rows(docs, sample)
-    net = train(texts, langs)
+    share_code(docs.sparkSession)
+    windows, langs = training_windows(docs, sample, per_text)
+    net = train(windows, langs)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def predict(batches):

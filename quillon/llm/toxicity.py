@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._text import U64, buffers, prefix_sums, slices, span_hash, words
+from quillon.session import stage
 
 PARTS = (3, 4, 5, 6, 7, 8)
 _TABLE_BITS = 22
@@ -95,59 +97,54 @@ class FactorizationMachine:
         return self.scores(len(texts), *self.present(texts))
 
 
-def choose_terms(texts: list[str], labels: np.ndarray, most: int = 4000, least: int = 4) -> np.ndarray:
-    """Sorted hashes of the terms of at least ``least`` texts: the ``most`` that lift label 1 over twofold, and the
-    ``most`` whose likelihood ratio is beyond what chance gives among so many, in either direction."""
-    counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(texts), 400):
-        rows, h = _terms(_lower(pa.array(texts[at : at + 400], pa.large_string())))
-        y = labels[at : at + 400]
-        order = np.lexsort((rows, h))
-        rows, h = rows[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-        rows, h = rows[new], h[new]
-        first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U64(1)) != 0) if len(h) else np.zeros(0, np.int64)
-        if len(first):
-            ones = np.add.reduceat(y[rows].astype(np.int64), first)
-            counts.append((h[first], ones, np.diff(np.append(first, len(h)))))
-            counts = _merged(counts) if len(counts) > 3 else counts
-    if not counts:
-        return np.zeros(0, U64)
-    h, ones, n = _merged(counts)[0]
-    n1 = max(1, int(labels.sum()))
-    n0 = max(1, len(labels) - n1)
-    often = n >= least
-    h, ones, n = h[often], ones[often].astype(float), n[often].astype(float)
-    total = n1 + n0
-    part = lambda x, of, rate: x * np.log(np.maximum(x, 1e-9) / np.maximum(of * rate, 1e-9))
-    apart = sum(part(x, n, k / total) + part(k - x, total - n, k / total) for x, k in ((ones, n1), (n - ones, n0)))
-    lift = (ones + 0.5) / (n1 + 1) / ((n - ones + 0.5) / (n0 + 1))
-    rare = np.where((ones >= least) & (lift > 2), ones * np.log(lift), -1.0)  # most of the clear words are rare
-    sure = np.where(2 * apart > 2 * np.log(max(2, len(h))), apart, -1.0)
-    chosen = [np.argsort(-x, kind="stable")[:most] for x in (rare, sure)]
-    return np.sort(h[np.unique(np.concatenate([c[x[c] > 0] for c, x in zip(chosen, (rare, sure))]))])
-
-
-def _merged(counts):
-    h = np.concatenate([c[0] for c in counts])
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return [(h[first], *(np.add.reduceat(np.concatenate([c[k] for c in counts])[order], first) for k in (1, 2)))]
-
-
-def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), rank: int = 4, steps: int = 250, seed: int = 7) -> FactorizationMachine:
-    """A factorization machine by Adam on the whole sample; ``rates`` are the sampling rates of labels 0 and 1, undone by weights."""
+def _term_counts(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, texts of label 1 with it, texts with it) of some texts."""
+    rows, h = _terms(_lower(texts))
+    order = np.lexsort((rows, h))
+    rows, h = rows[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    rows, h = rows[new], h[new]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    ones = np.add.reduceat(labels[rows].astype(np.int64), first) if len(first) else first
+    return h[first], ones, np.diff(np.append(first, len(h)))
+
+
+def choose_terms(sample: DataFrame, most: int = 4000, least: int = 4) -> np.ndarray:
+    """Sorted hashes of terms of at least ``least`` texts of ``sample(text, toxic)``: the ``most`` that lift label 1
+    over twofold, and the ``most`` whose likelihood ratio is beyond what chance gives among so many, in either
+    direction. The driver gets these alone, twice ``most`` at most."""
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, ones, n = _term_counts(part.column(0), np.asarray(part.column(1), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ones), pa.array(n)], names=["term", "ones", "n"])
+
+    totals = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    n1 = max(1, int(totals[0] or 0))
+    n0 = max(1, int(totals[1]) - n1)
+    counts = sample.mapInArrow(count, "term long, ones long, n long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    counts = stage(counts.where(F.col("n") >= least))
+    terms, total = counts.count(), float(n1 + n0)
+    part = lambda x, of, rate: x * F.log(F.greatest(x, F.lit(1e-9)) / F.greatest(of * rate, F.lit(1e-9)))
+    x, n = F.col("ones").cast("double"), F.col("n").cast("double")
+    apart = sum((part(y, n, k / total) + part(k - y, total - n, k / total) for y, k in ((x, n1), (n - x, n0))), F.lit(0.0))
+    lift = (x + 0.5) / (n1 + 1) / ((n - x + 0.5) / (n0 + 1))
+    rare = counts.where((x >= least) & (lift > 2)).orderBy((x * F.log(lift)).desc(), "term").limit(most)  # most of the clear words are rare
+    sure = counts.where(apart > float(np.log(max(2, terms)))).orderBy(apart.desc(), "term").limit(most)
+    return np.unique(np.array([r["term"] for r in rare.union(sure).select("term").collect()], np.int64).view(U64))
+
+
+def learn(terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), rank: int = 4, steps: int = 250, seed: int = 7) -> FactorizationMachine:
+    """A factorization machine by Adam on the whole sample: text ``rows[i]`` has term ``at[i]``.
+
+    ``rates`` are the sampling rates of labels 0 and 1, undone by weights.
+    """
     labels = np.asarray(labels, float)
-    terms = choose_terms(texts, labels)
     rng = np.random.default_rng(seed)
-    k = len(terms)
+    k, n = len(terms), len(labels)
     model = FactorizationMachine(terms, 0.0, np.zeros(k), rng.normal(0, 0.01, (k, rank)))
-    got = [model.present(pa.array(texts[at : at + 400], pa.large_string())) for at in range(0, len(texts), 400)]
-    rows = np.concatenate([r + 400 * i for i, (r, _) in enumerate(got)]) if got else np.zeros(0, np.int64)
-    at = np.concatenate([a for _, a in got]) if got else rows
-    n = len(texts)
     if not n:
         model.bias = -3.0
         return model
@@ -174,24 +171,53 @@ def fit(texts: list[str], labels: np.ndarray, rates: tuple[float, float] = (1.0,
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int, modulus: int = 4, held_out: int = 2) -> tuple[list[str], np.ndarray, tuple[float, float]]:
-    """A sample of at most ``most`` labelled rows of each label, by hash order, without the held-out fold."""
+def sample_rows(docs: DataFrame, labels: DataFrame, most: int, modulus: int = 4, held_out: int = 2) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) of at most ``most`` labelled ids of each label, by hash order, without the held-out fold; and the labels' counts.
+
+    Of the texts of a repeated id the least is taken.
+    """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .where(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y in (0, 1):
         some = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("text", "toxic")
-    got = rows.toArrow()
-    y = np.asarray(got.column("toxic").to_numpy(), int)
-    rates = tuple(min(1.0, max(1, int((y == k).sum())) / max(1, counts.get(k, 1))) for k in (0, 1))
-    return got.column("text").to_pylist(), y, rates
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")
+    return stage(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")), counts
+
+
+def train(sample: DataFrame, counts: dict[int, int], terms: int = 4000) -> FactorizationMachine:
+    """The machine of a bounded ``sample(text, toxic)``; ``counts`` are the labels' in all rows.
+
+    The driver gets the chosen terms (``2 * terms`` at most) and, for each text of
+    the sample, the places of those that it holds; texts stay with the tasks.
+    """
+    spark = sample.sparkSession
+    chosen = choose_terms(sample, terms)
+    sent = spark.sparkContext.broadcast(FactorizationMachine(chosen, 0.0, np.zeros(len(chosen)), np.zeros((len(chosen), 0))))
+
+    def find(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, at = sent.value.present(part.column(0))
+                ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
+                found = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([found.cast(pa.list_(pa.int32())), part.column(1)], names=["at", "toxic"])
+
+    got = sample.mapInArrow(find, "at array<int>, toxic int").toArrow()
+    sent.destroy()
+    lists = got.column("at").combine_chunks()
+    labels = np.asarray(got.column("toxic").to_numpy(), int)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))]).astype(np.int64) if len(labels) else np.zeros(1, np.int64)
+    at = np.asarray(lists.flatten()).astype(np.int64) if len(labels) else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(len(labels)), np.diff(ends))
+    rates = tuple(min(1.0, max(1, int((labels == k).sum())) / max(1, counts.get(k, 1))) for k in (0, 1))
+    return learn(chosen, rows, at, labels, rates)
 
 
 def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
@@ -207,24 +233,30 @@ def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 4000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 4000, terms: int = 4000) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``.
 
     Labels are learnt from at most ``sample`` rows of each label, none of the
-    held-out fold (crc32 of the doc_id as text, modulo 4, is 2). Null and empty
-    texts are scored by the bias; a null doc_id is not held out. Repeated rows
-    are scored alike; conflicting labels of one doc_id count as 1. Without
-    labelled rows of both kinds every score is low. Other columns are not read.
+    held-out fold (crc32 of the doc_id as text, modulo 4, is 2), by at most twice
+    ``terms`` terms. Null and empty texts are scored by the bias; a null doc_id is not
+    held out. Repeated rows are scored alike; conflicting labels of one doc_id
+    count as 1. Without labelled rows of both kinds every score is low. An empty table
+    gives an empty result. Other columns are not read.
     """
-    model = fit(*training_rows(docs, labels, sample))
+    model = train(*sample_rows(docs, labels, sample), terms)
     scored = score_documents(docs, model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 4000) -> DataFrame:
-    """``docs`` without the rows whose text scores at the threshold or above; all columns stay."""
-    model = fit(*training_rows(docs, labels, sample))
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 4000, terms: int = 4000) -> DataFrame:
+    """``docs`` without the rows whose text scores at the threshold or above; all columns stay.
+
+    Null and empty texts have the score of the bias; rows that repeat an id are judged
+    each by its text. Without labelled rows, and for an empty table, nothing goes.
+    Names of other columns do not matter.
+    """
+    model = train(*sample_rows(docs, labels, sample), terms)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):

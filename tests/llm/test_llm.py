@@ -10,7 +10,7 @@ import pytest
 from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, embed_dedup, mixing, ngram_join, packing, secrets, tokenio, toxicity, webp
+from quillon.llm import chat, embed_dedup, media, mixing, ngram_join, packing, secrets, tokenio, toxicity, webp, webp_lanes
 from quillon.llm import langid
 from quillon.llm._tokens import ChunkEncoder
 from quillon.llm.queries import ORACLES, QUERIES, vocabulary
@@ -151,10 +151,12 @@ def test_op2_meets_targets(spark):
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunk_encoder_equals_library(name, spaced):
-    e = ChunkEncoder.shared(vocabulary(name), spaced)
-    odd = ["", " ", "\n", " a", "a ", "a  b", "a\n\nb", "a \n b", "a\tb", "don't 's", "a\x01b", "x\x00 y", "<|endoftext|> q", "12 3456", "É é́ ß ΑΣ Σ", "ﬁ İ", "a\r\nb", "\x1c a", "a b", ".a !!"]
+    from tokenizers import Tokenizer
+
+    e, library = ChunkEncoder.shared(vocabulary(name), spaced), Tokenizer.from_file(vocabulary(name))
+    odd = ["x <|endoftext|> y", "<|startoftext|>a", "<|ENDOFTEXT|>","", " ", "\n", " a", "a ", "a  b", "a\n\nb", "a \n b", "a\tb", "don't 's", "a\x01b", "x\x00 y", "<|endoftext|> q", "12 3456", "É é́ ß ΑΣ Σ", "ﬁ İ", "a\r\nb", "\x1c a", "a b", ".a !!"]
     texts = odd + [a + b for a in odd for b in odd]
-    assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
@@ -169,12 +171,14 @@ def test_bit_packing_round_trip(bits):
 
 
 def test_op3_equals_library(spark):
-    texts = ODD
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, "x <|endoftext|> y"]
     path = vocabulary("byte_bpe_50k.json")
-    e = ChunkEncoder.shared(path, True)
+    library = Tokenizer.from_file(path)
     at, want = 0, {}
     for i, t in enumerate(texts):
-        ids = np.append(e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2).astype("<u4")
+        ids = np.append(library.encode(t or "", add_special_tokens=False).ids, 2).astype("<u4")
         want[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     files = tokenio.write_token_files(documents(spark, texts).repartition(3), path)
@@ -208,15 +212,20 @@ def test_exact_triple_after_many_candidates_that_fail():
 
 
 def test_op5_places_every_piece(spark):
-    docs = documents(spark, ODD).unionByName(documents(spark, ["again and again"] * 3, first=2))  # repeated ids
+    docs = documents(spark, [*ODD, "an <|endoftext|> inside"]).unionByName(documents(spark, ["again and again"] * 3, first=2))  # repeated ids
     rows = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=64).toPandas()
     for _, g in rows.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g.offset.iloc[0] == 0 and g.length.sum() <= 64
         assert (g.offset.to_numpy()[1:] == (g.offset + g.length).to_numpy()[:-1]).all()
-    e = ChunkEncoder.shared(vocabulary("word_bpe_49k.json"), False)
-    total = sum(len(e._plain(r["text"] or "")) + 1 for r in docs.collect())
-    assert rows.length.sum() == total and rows.sequence_id.nunique() <= -(-total // 64) + 2
+    from tokenizers import Tokenizer
+
+    library, want = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), []
+    for r in docs.collect():
+        ids = np.append(library.encode(r["text"] or "", add_special_tokens=False).ids, 1).astype("<u4")
+        want += [(r["doc_id"], k // 64, k, len(ids[k : k + 64]), zlib.crc32(ids[k : k + 64].tobytes())) for k in range(0, len(ids), 64)]
+    assert sorted(rows[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    assert rows.sequence_id.nunique() <= -(-int(rows.length.sum()) // 64) + 2
     assert packing.pack_documents(documents(spark, []), vocabulary("word_bpe_49k.json")).count() == 0
 
 
@@ -236,9 +245,34 @@ def test_op4_held_out_accuracy(spark):
     assert (rows[rows.doc_id >= 10**6].lang_pred == "und").all() and rows.score.between(0, 1).all()
     assert all(held_out(i) == h for i, h in zip(rows.doc_id, rows.held_out))
     assert (langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string")).limit(5)).toPandas().lang_pred == "und").all()
+    assert langid.predict_languages(docs.limit(0)).count() == 0
+
+
+def test_op4_network_equals_brute_force():
+    rng = np.random.default_rng(8)
+    net = langid.train([bytes(rng.integers(65, 90, langid.WINDOW, dtype=np.uint8)) for _ in range(40)], ["a", "b"] * 20, epochs=1)
+    window = rng.integers(0, 256, langid.WINDOW, dtype=np.uint8)
+    x, top = net.bytes_[window], []
+    for k, w in enumerate(np.repeat(langid.WIDTHS, langid.FILTERS)):  # each filter at each place
+        f = net.filters[:, k].reshape(-1, langid.DEPTH)[:w]
+        top.append(max(float((x[p : p + w] * f).sum()) for p in range(langid.WINDOW - max(langid.WIDTHS) + 1)))
+    z = np.maximum(np.array(top) + net.bias, 0) @ net.out + net.out_bias
+    p = np.exp(z - z.max())
+    assert np.abs(net.probabilities(window[None])[0] - p / p.sum()).max() < 1e-4
+
+
+def test_op4_odd_rows(spark):
+    docs = documents(spark, ODD).unionByName(documents(spark, ["autre texte", "dup"], first=3)).withColumn("score", F.lit(1))
+    rows = langid.predict_languages(docs).collect()
+    assert len(rows) == len(ODD) + 2 and all(r["lang_pred"] == "und" for r in rows if r["doc_id"] in (0, 1, 2))
 
 
-def test_op6_learns_terms_and_pairs():
+def machine(spark, texts, labels):
+    sample = spark.createDataFrame([(t, int(y)) for t, y in zip(texts, labels)], "text string, toxic int").repartition(3)
+    return toxicity.train(sample, {k: int((np.array(labels) == k).sum()) for k in (0, 1)})
+
+
+def test_op6_learns_terms_and_pairs(spark):
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     texts, labels = [], []
@@ -248,13 +282,13 @@ def test_op6_learns_terms_and_pairs():
         w += ["insultword"] * (kind in (1, 3)) + ["groupname"] * (kind in (2, 3))
         texts.append(" ".join(w))
         labels.append(int(kind == 3))
-    model = toxicity.fit(texts[:900], np.array(labels[:900]))
+    model = machine(spark, texts[:900], labels[:900])
     p = model.predict(pa.array(texts[900:], pa.large_string())) >= 0.3
     assert (p == np.array(labels[900:], bool)).mean() > 0.97
     assert model.predict(pa.array([None, ""], pa.large_string())).tolist() == [model.predict(pa.array([""]))[0]] * 2
 
 
-def test_op6_pairs_of_weak_terms_and_terms_of_label_0():
+def test_op6_pairs_of_weak_terms_and_terms_of_label_0(spark):
     rng = np.random.default_rng(11)
     texts, labels = [], []
     for _ in range(2400):
@@ -264,12 +298,18 @@ def test_op6_pairs_of_weak_terms_and_terms_of_label_0():
         # one of the pair at least, so that a member is under twice as frequent in label 1; a calm word clears all
         labels.append(int((group or insult) and not calm))
     labels = np.array(labels)
-    chosen = set(toxicity.choose_terms(texts, labels).tolist())
+    model = machine(spark, texts[:1800], labels[:1800])
     for word in ("gruppe", "friedlich"):
-        assert set(toxicity._terms(pa.array([word], pa.large_string()))[1].tolist()) <= chosen
-    model = toxicity.fit(texts[:1800], labels[:1800])
+        assert set(toxicity._terms(pa.array([word], pa.large_string()))[1].tolist()) <= set(model.terms.tolist())
     p = model.predict(pa.array(texts[1800:], pa.large_string())) >= 0.5
     assert (p == labels[1800:].astype(bool)).mean() > 0.97
+    # brute force: the bias, the weights and each pair of terms that a text holds
+    for text in texts[:20]:
+        words = set(text.split())
+        held = {t for w in words for t in toxicity._terms(pa.array([w], pa.large_string()))[1].tolist()}
+        k = [i for i, t in enumerate(model.terms.tolist()) if t in held]
+        z = model.bias + model.weights[k].sum() + sum(model.factors[i] @ model.factors[j] for i in k for j in k if i < j)
+        assert abs(model.predict(pa.array([text], pa.large_string()))[0] - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_op6_rows_and_drop(spark):
@@ -279,6 +319,16 @@ def test_op6_rows_and_drop(spark):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == (rows.predicted == 0).sum()
     assert toxicity.toxicity_scores(docs.limit(3), labels.limit(0)).toPandas().predicted.sum() == 0
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_op6_odd_rows(spark):
+    docs = documents(spark, [*ODD, "same id, other text"]).unionByName(documents(spark, ["x y"] * 2, first=3))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)] + [(None, 1, 1), (3, None, 1), (3, 0, 0)], "doc_id long, toxic int, quality int").withColumn("text", F.lit(1))
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(rows) == len(ODD) + 3 and len({r["score"] for r in rows if r["doc_id"] in (0, 1)}) == 1
+    kept = toxicity.drop_toxic(docs.withColumn("score", F.lit(1)), labels)
+    assert kept.columns == [*docs.columns, "score"] and kept.count() == sum(1 - r["predicted"] for r in rows)
 
 
 # --- 8
@@ -327,28 +377,62 @@ def test_webp_known_stream():
     assert webp.decode(webp._wrap(out.raw())).tolist() == [[[9, 5, 7, 200]] * 4]
 
 
-def test_op8_payloads_use_the_method():
+def payloads():
     text = ("The quick brown fox jumps over the lazy dog, and the dog sleeps on. " * 60).encode()
     rng = np.random.default_rng(1)
     mixed = bytes(rng.choice(list(b"etaoin shrdlu,.XQ\xc3\xa9"), 576 * 20).astype(np.uint8))
-    for payload in (b"\xff" * 576, (text + mixed)[: 576 * 27], rng.integers(0, 256, 576 * 9, dtype=np.uint8).tobytes(), mixed):
-        stored = webp.encode_bytes(payload)
-        assert webp.decode_bytes(stored).tobytes() == payload
-        assert webp._Bits(stored, 21).read(14) == 143 and webp._Bits(stored, 25).read(1) == 1  # a transform follows
-    assert len(webp.encode_bytes(text[: 576 * 7])) < 576 * 7 / 2
-    assert len(webp.encode_bytes(mixed)) < 0.7 * len(mixed)
+    few = [bytes(rng.choice(4 * np.arange(n), 576 * 9 // 4).astype(np.uint32).astype("<u4").tobytes()) for n in (2, 4, 16, 100)]
+    # A tail of doubling counts makes the deepest codes; a ramp suits the predictor.
+    deep = b"".join(bytes([k, 0, 255 - k, 7]) * (1 << min(k, 11)) for k in range(13))
+    ramp = (np.arange(576 * 8 // 4)[:, None] * np.array([3, 5, 7, 0]) & 255).astype(np.uint8).tobytes()
+    return [b"\xff" * 576, text[: 576 * 7], (text + mixed)[: 576 * 27], rng.integers(0, 256, 576 * 9, dtype=np.uint8).tobytes(), mixed, deep + b"\xff" * (-len(deep) % 576), ramp, *few]
+
+
+def test_op8_payloads_use_the_method(monkeypatch):
+    given = payloads()
+    stored = webp_lanes.encode_payloads(given)
+    monkeypatch.setattr(webp, "decode", None)  # every file is read in step
+    for payload, pixels in zip(given, webp_lanes.decode_payloads(stored)):
+        assert pixels.tobytes() == payload
+    monkeypatch.undo()
+    kinds = set()
+    for payload, media_ in zip(given, stored):
+        files = webp_lanes.split_files(media_)
+        assert b"".join(webp.decode(f).tobytes() for f in files) == payload  # the reader of single files agrees
+        for f in files:
+            bits = webp._Bits(f, 21)
+            assert (bits.read(14), bits.read(14) < webp_lanes.STRIP, bits.read(4), bits.read(1)) == (143, True, 1, 1)  # a transform follows
+            kinds.add(bits.read(2))
+    assert kinds == {0, 1, 2, 3}
+    assert len(stored[1]) < 576 * 7 / 2 and len(stored[4]) < 0.75 * len(given[4])
+
+
+def test_op8_files_do_not_depend_on_their_batch(monkeypatch):
+    given = payloads()
+    stored = webp_lanes.encode_payloads(given)
+    monkeypatch.setattr(webp_lanes, "LANES", 3)
+    assert webp_lanes.encode_payloads(given[::-1])[::-1] == stored
+    assert [p.tobytes() for p in webp_lanes.decode_payloads(stored)] == given
+
+
+def test_op8_reads_files_of_other_writers():
+    rng = np.random.default_rng(3)
+    image = (np.cumsum(rng.integers(-3, 4, (17, 24, 4)), axis=1) + 128 & 255).astype(np.uint8)
+    files = [webp.encode(image, t, m, (7, -20, 33), c, r) for t in ((), ("predictor",), ("cross",), ("green",), ("predictor", "cross", "green")) for m in (1, 2, 11) for c in (0, 4) for r in (False, True)]
+    assert all((x == image).all() for x in webp_lanes.decode_many(files))
+    with pytest.raises(ValueError):
+        webp_lanes.decode_many([files[0][:60]])
 
 
 def test_op8_digests(spark):
-    rows = {r["doc_id"]: r for r in webp.media_digests(webp.media_table(documents(spark, ODD))).collect()}
+    rows = {r["doc_id"]: r for r in media.media_digests(media.media_table(documents(spark, ODD))).collect()}
     for i, t in enumerate(ODD):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert rows[9]["media_sha256"] == rows[10]["media_sha256"] and rows[9]["feature"] == rows[10]["feature"]
-    big = bytes(576 * 16390)
-    assert webp.decode_bytes(webp.encode_bytes(big)).tobytes() == big
+    assert media.media_digests(media.media_table(documents(spark, []))).count() == 0
 
 
 # --- 9 and 10
