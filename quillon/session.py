@@ -30,12 +30,15 @@ def share_code(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts, visible to driver and executors.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder of this machine is chosen.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    all runs in this process (local tests) a temporary folder is chosen.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
     return sc.getCheckpointDir()
 
 
@@ -49,7 +52,17 @@ def stage(df: DataFrame) -> DataFrame:
     share_code(spark)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stage() that nothing reads any more: what came of them is written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
