@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import stage
+from quillon.session import discard, stage
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -29,7 +29,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
         new = stage(low.join(jump, "low").select("id", F.least("low", "far").alias("component"), F.col("component").alias("was")))
         moved = new.where("component <> was").limit(1).count()
-        labels = new.select("id", "component")
+        discard(labels)
+        labels = new
         if not moved:
-            return labels
+            discard(both)
+            return labels.select("id", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -8,16 +8,25 @@ similarity of their sets reaches a threshold. The stages:
     the shingles rare first. Any fixed order is correct; this one keeps passages
     that many documents share out of the prefixes.
 2.  A second pass writes per document its set's fingerprint, its prefix and a
-    64-bin histogram of the set. Documents of equal sets form a class; only the
-    smallest doc_id of each class goes on.
-3.  Prefix shingles are dealt by hash range. In a shingle's bucket, each
-    document is compared with the bucket's centre; length, positional and suffix
-    (histogram) filters go first, and each pair is verified once on the whole
-    sets. Documents that link share a component, so their other pairs need no
+    histogram of the set with a bin for every two to four shingles. Documents of
+    equal sets form a class, which one document stands for.
+3.  Prefix shingles are dealt by hash range. In a shingle's bucket each class is
+    compared with the bucket's centre. Length and positional filters go first; then the
+    suffix filter, which bounds the overlap by the smaller count in each bin; texts
+    are fetched only for what is left, and each pair is verified once on the
+    whole sets. A class is first compared with the centre that it shares most with.
+    Classes that link share a component, so their other pairs need no
     comparison: a group of n near copies costs about n pairs, not n squared.
-4.  Then, in buckets that still span components, the documents outside the
-    centre's component are compared with all the others, in blocks, so no link
+4.  Buckets that still span components: the classes outside the centre's component
+    are compared with all the others, in blocks, by the same filters, so no link
     between components is lost. No candidate is capped.
+
+A shingle that very many classes hold in their prefixes is dealt to several tasks,
+which agree on one centre.
+
+Sets and fingerprints are of 64-bit hashes: distinct shingles of one hash count as
+one. For chance texts that is about one in 10 ** 13 pairs of shingles of a
+document pair; texts made to collide are not guarded against.
 """
 
 from __future__ import annotations
@@ -33,14 +42,16 @@ from pyspark.sql import functions as F
 
 from quillon.llm._text import U64, mix, shingles, slices
 from quillon.llm.components import components
-from quillon.session import shuffle_partitions, stage
+from quillon.session import discard, share_code, shuffle_partitions, stage
 
 SKETCH_BITS = 21
 SLICES = 16
-BINS = 64
-BLOCK = 1024
-SMALL = 16  # documents of a bucket that is compared pair by pair
+BLOCK = 1024  # classes of a block
+BLOCK_SHINGLES = 2_000_000
+RANGE_TOKENS = 4_000_000  # prefix shingles of a task
+HOT = 20  # log2 of the holders, over the mean of a cell of the sketch, from which a shingle is dealt to several tasks
 TOKEN_BYTES = 5
+HOT_CLASSES = 10_000
 
 
 def _set_batches(batches, size):
@@ -96,18 +107,30 @@ def _unpack(raw: bytes) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
-def prefix_table(docs: DataFrame, threshold: Fraction, size: int, logs: np.ndarray, bits: int) -> DataFrame:
-    """Per document: id, n, set fingerprint, rare-first prefix, histogram, compressed text."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(logs)
+def _histogram(h: np.ndarray) -> bytes:
+    """Counts of a set's shingles by the top bits of a mixed hash, in a power of two of bins."""
+    bits = max(4, len(h).bit_length() - 2)
+    counts = np.bincount((mix(h) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _fold(bins: np.ndarray, size: int) -> np.ndarray:
+    """A histogram in ``size`` bins, which are fewer or as many; int16 (a bin of 255 may hold more: it bounds nothing)."""
+    wide = bins.astype(np.int32)
+    wide[bins == 255] = 1 << 20
+    return wide.reshape(size, -1).sum(axis=1)
+
+
+def set_table(docs: DataFrame, threshold: Fraction, size: int, logs: np.ndarray, bits: int) -> DataFrame:
+    """Per row of ``docs(id, text)``: id, th (hash of the text), n, set fingerprint, rare-first prefix, histogram."""
+    sent = docs.sparkSession.sparkContext.broadcast(logs)
     num, den = threshold.numerator, threshold.denominator
 
     def build(batches):
         order = sent.value
         for part, sets in _set_batches(batches, size):
-            pack = zstandard.ZstdCompressor(level=1)
-            rows = {"id": part.column(0).to_pylist(), "n": [], "fp": [], "prefix": [], "bins": [], "packed": []}
-            for h, text in zip(sets, part.column(part.schema.get_field_index("text"))):
+            rows = {"n": [], "fp": [], "prefix": [], "bins": []}
+            for h in sets:
                 n = len(h)
                 rank = order[(h >> U64(64 - bits)).astype(np.int64)]
                 keep = n - -(-num * n // den) + 1 if n else 0
@@ -115,24 +138,46 @@ def prefix_table(docs: DataFrame, threshold: Fraction, size: int, logs: np.ndarr
                 rows["n"].append(n)
                 rows["fp"].append(blake2b(h.tobytes(), digest_size=16).digest() if n else None)
                 rows["prefix"].append(_pack(h[first]))
-                rows["bins"].append(np.bincount((mix(h) % U64(BINS)).astype(np.int64), minlength=BINS).astype("<i4").tobytes() if n else b"")
-                rows["packed"].append(pack.compress(text.as_py().encode()) if n else b"")
+                rows["bins"].append(_histogram(h) if n else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["id"], pa.int64()), pa.array(rows["n"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("fp", "prefix", "bins", "packed"))],
-                names=["id", "n", "fp", "prefix", "bins", "packed"],
+                [part.column(0), part.column(1), pa.array(rows["n"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("fp", "prefix", "bins"))],
+                names=["id", "th", "n", "fp", "prefix", "bins"],
             )
 
-    return stage(docs.select("id", "text").mapInArrow(build, "id long, n int, fp binary, prefix binary, bins binary, packed binary"))
+    given = docs.select("id", F.xxhash64("text").alias("th"), "text")
+    out = stage(given.mapInArrow(build, "id long, th long, n int, fp binary, prefix binary, bins binary"))
+    sent.destroy()
+    return out
+
+
+def _join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``classes`` (which have a ``size``) by ``key``, nulls where there is no class.
 
+    A class of a ten-thousandth of all rows or more goes by broadcast: there are
+    HOT_CLASSES of those at most, and no task gets all rows of one. The others are
+    shuffled.
+    """
+    hot = classes.where(F.col("size") * HOT_CLASSES >= max(total, HOT_CLASSES * 100))
+    known = rows.where(F.col(key).isNotNull())
+    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes, key, "left")
+    without = rows.where(F.col(key).isNull())
+    without = without.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in classes.schema if f.name != key))
+    return known.join(F.broadcast(hot), key).unionByName(rest).unionByName(without)
 
-def _deal(reps: DataFrame, parts: int) -> DataFrame:
-    """Prefix tokens of the representatives, packed by hash range: (part, blob)."""
-    kind = np.dtype([("token", "<i8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+def _deal(reps: DataFrame, parts: int, logs: np.ndarray, bits: int, hot: int) -> DataFrame:
+    """Prefix tokens of the classes, packed by hash range: (part, blob).
+
+    A token of a sketch cell that counts 2 ** hot shingles or more is dealt by token and
+    class, to as many ranges as the count asks for.
+    """
+    kind = np.dtype([("token", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4")])
+    sent = reps.sparkSession.sparkContext.broadcast(logs)
 
     def pack_rows(got):
         rows = np.concatenate(got)
-        rows = rows[np.argsort(rows["token"], kind="stable")]
-        part = rows["token"] % parts
+        rows = rows[np.lexsort((rows["salt"], rows["token"]))]
+        part = (mix(rows["token"].astype(U64) + (rows["salt"].astype(U64) << U64(40))) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -140,16 +185,20 @@ def _deal(reps: DataFrame, parts: int) -> DataFrame:
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             some = rows[order[a:b]]
             keys.append(int(part[order[a]]))
-            blobs.append(squeeze.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in (np.diff(some["token"], prepend=0), some["id"], some["n"], some["pos"]))))
+            blobs.append(squeeze.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in (np.diff(some["token"], prepend=0), some["key"], some["n"], some["pos"], some["salt"]))))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def deal(batches):
-        got, held = [], 0
+        got, held, log = [], 0, sent.value
         for batch in batches:
             for i, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 tokens = _unpack(raw.as_py())
                 rows = np.empty(len(tokens), kind)
-                rows["token"], rows["id"], rows["n"], rows["pos"] = tokens, i, n, np.arange(len(tokens))
+                rows["token"], rows["key"], rows["n"], rows["pos"], rows["salt"] = tokens, i, n, np.arange(len(tokens)), -1
+                holders = log[tokens >> (8 * TOKEN_BYTES - bits)].astype(np.int64)
+                many = np.flatnonzero(holders >= hot)
+                if len(many):
+                    rows["salt"][many] = mix(np.array([i], U64))[0] % (U64(2) << (holders[many] - hot).astype(U64))
                 got.append(rows)
                 held += len(rows)
                 if held > 2_000_000:
@@ -158,43 +207,51 @@ def _deal(reps: DataFrame, parts: int) -> DataFrame:
         if held:
             yield pack_rows(got)
 
-    return reps.select("id", "n", "prefix").mapInArrow(deal, "part int, blob binary")
+    return reps.select("key", "n", "prefix").mapInArrow(deal, "part int, blob binary")
 
 
 def _buckets(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of tokens that two or more representatives of compatible lengths hold in their prefixes.
+    """Rows of tokens that two or more classes of compatible lengths hold in their prefixes, with the bucket's centre.
 
     A row stays if its neighbour by length in the bucket passes the length filter;
-    if that one does not, none does.
+    if that one does not, none does. All rows of tokens that several tasks share
+    stay; these get the token's one centre afterwards.
     """
-    schema = "token long, id long, n int, pos int, c_id long, c_n int, c_pos int, size int"
+    schema = "token long, shared boolean, key long, n int, pos int, c_mix long, c_key long, c_n int, c_pos int"
 
     def meet(table: pa.Table) -> pa.Table:
-        cols = [[], [], [], []]
+        cols = [[], [], [], [], []]
         for blob in table.column("blob"):
             raw = zstandard.decompress(blob.as_py())
-            k = len(raw) // 24
+            k = len(raw) // 28
             cols[0].append(np.cumsum(np.frombuffer(raw, "<i8", k)))
             cols[1].append(np.frombuffer(raw, "<i8", k, 8 * k))
-            cols[2].append(np.frombuffer(raw, "<i4", k, 16 * k))
-            cols[3].append(np.frombuffer(raw, "<i4", k, 20 * k))
-        token, ids, n, pos = (np.concatenate(c) for c in cols)
-        order = np.lexsort((n, token))
-        t, m = token[order], n[order].astype(np.int64)
-        near = (t[1:] == t[:-1]) & (m[:-1] * den >= m[1:] * num)
-        order = order[np.concatenate([near, [False]]) | np.concatenate([[False], near])] if len(t) else order
-        token, ids, n, pos = token[order], ids[order], n[order], pos[order]
-        order = np.lexsort((mix(ids.astype(U64)), token))
-        token = token[order]
-        new = np.diff(token, prepend=-1) != 0
+            for c, at in ((2, 16), (3, 20), (4, 24)):
+                cols[c].append(np.frombuffer(raw, "<i4", k, at * k))
+        token, key, n, pos, salt = (np.concatenate(c) for c in cols)
+        order = np.lexsort((n, salt, token))
+        t, m, s = token[order], n[order].astype(np.int64), salt[order]
+        near = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (m[:-1] * den >= m[1:] * num)
+        order = order[np.concatenate([near, [False]]) | np.concatenate([[False], near]) | (s >= 0)] if len(t) else order
+        token, key, n, pos, salt = (x[order] for x in (token, key, n, pos, salt))
+        mixed = mix(key.astype(U64)).view(np.int64)
+        order = np.lexsort((mixed, salt, token))
+        token, salt = token[order], salt[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]) if len(token) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         runs = np.diff(np.append(first, len(token)))
-        keep = np.repeat(runs > 1, runs)
+        keep = np.repeat((runs > 1) | (salt[first] >= 0), runs)
         centre = order[np.repeat(first, runs)][keep]
         order = order[keep]
-        return pa.table({"token": token[keep], "id": ids[order], "n": n[order], "pos": pos[order], "c_id": ids[centre], "c_n": n[centre], "c_pos": pos[centre], "size": pa.array(np.repeat(runs, runs)[keep], pa.int32())})
+        return pa.table({"token": token[keep], "shared": salt[keep] >= 0, "key": key[order], "n": n[order], "pos": pos[order], "c_mix": mixed[centre], "c_key": key[centre], "c_n": n[centre], "c_pos": pos[centre]})
 
-    return dealt.groupBy("part").applyInArrow(meet, schema)
+    found = stage(dealt.groupBy("part").applyInArrow(meet, schema))
+    columns = ["token", "key", "n", "pos", "c_key", "c_n", "c_pos"]
+    if not found.where("shared").limit(1).count():
+        return found.select(columns)
+    one = found.where("shared").groupBy("token").agg(F.min(F.struct("c_mix", "c_key", "c_n", "c_pos")).alias("c"))
+    shared = found.where("shared").drop("c_mix", "c_key", "c_n", "c_pos").join(one, "token").select("token", "key", "n", "pos", "c.c_key", "c.c_n", "c.c_pos")
+    return found.where("NOT shared").select(columns).unionByName(shared)
 
 
 def _may_link(n, pos, m, qos, num: int, den: int):
@@ -204,69 +261,124 @@ def _may_link(n, pos, m, qos, num: int, den: int):
     return (small * den >= large * num) & (F.least(n - pos, m - qos) + F.least(pos, qos) >= need)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: Fraction, size: int) -> DataFrame:
-    """The links (u, v) among candidate ``pairs(u, v)``, each compared once on whole texts.
+def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs(u, v)`` that the suffix filter leaves: smaller counts, bin by bin, add up to enough."""
 
-    The suffix filter bounds the overlap by the smaller count in each bin of the
-    two histograms, before the sets are made.
-    """
+    def bound(batches):
+        for batch in batches:
+            u_n, v_n = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 4))
+            keep = []
+            for k, (a, b) in enumerate(zip(batch.column(3), batch.column(5))):
+                a, b = (np.frombuffer(x.as_py(), np.uint8) for x in (a, b))
+                size = min(len(a), len(b))
+                keep.append(int(np.minimum(_fold(a, size), _fold(b, size)).sum()) * (num + den) >= num * int(u_n[k] + v_n[k]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
+    wide = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "n_u", "bins_u", "n_v", "bins_v")
+    return stage(wide.mapInArrow(bound, "u long, v long"))
+
+
+def _texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of some classes, from the documents themselves, one row each."""
+    wanted = stage(reps.select("key", "id", "th").join(keys.select("key").distinct(), "key"))
+    given = docs.select("id", F.xxhash64("text").alias("th"), "text")
+    out = stage(given.join(wanted, ["id", "th"]).groupBy("id", "th").agg(F.first("key").alias("key"), F.first("text").alias("text")).select("key", "text"))
+    discard(wanted)
+    return out
+
+
+def _sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
+    got: list[np.ndarray] = []
+    for at in range(0, len(texts), 64):
+        got += shingles(texts.slice(at, 64), size)
+    return got
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: Fraction, size: int) -> DataFrame:
+    """The links (u, v) among candidate ``pairs(u, v)``, each compared once on whole ``texts(key, text)``."""
     num, den = threshold.numerator, threshold.denominator
 
     def compare(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text_v", 1_000_000):
                 u, v = np.asarray(part.column(0)), np.asarray(part.column(1))
-                bins = [np.frombuffer(b"".join(part.column(c).to_pylist()), "<i4").reshape(-1, BINS) for c in (2, 4)]
-                total = bins[0].sum(1) + bins[1].sum(1)
-                most = np.minimum(*bins).sum(1)
-                left = np.flatnonzero(most * (num + den) >= num * total)
-                ids, texts = {}, []
-                for c, col in ((u, 3), (v, 5)):
-                    for k in left.tolist():
-                        if int(c[k]) not in ids:
-                            ids[int(c[k])] = len(texts)
-                            texts.append(zstandard.decompress(part.column(col)[k].as_py()).decode())
-                got = []
-                for a in range(0, len(texts), 64):
-                    got += shingles(pa.array(texts[a : a + 64], pa.large_string()), size)
+                # Rows come by u, so one set of it serves them.
+                new = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+                at = np.cumsum(np.isin(np.arange(len(u)), new)) - 1
+                left, right = _sets(pa.chunked_array([part.column(2).take(pa.array(new))]), size), _sets(pa.chunked_array([part.column(3)]), size)
                 good = []
-                for k in left.tolist():
-                    a, b = got[ids[int(u[k])]], got[ids[int(v[k])]]
+                for k in range(len(u)):
+                    a, b = left[at[k]], right[k]
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     if den * both >= num * (len(a) + len(b) - both):
                         good.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(u[good], pa.int64()), pa.array(v[good], pa.int64())], names=["u", "v"])
 
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("bins").alias(f"bins_{x}"), F.col("packed").alias(f"packed_{x}"))
-    wide = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "bins_u", "packed_u", "bins_v", "packed_v")
+    side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
+    wide = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v")
     return wide.mapInArrow(compare, "u long, v long")
 
 
-def _across(group: DataFrame, sets: DataFrame, threshold: Fraction, size: int) -> DataFrame:
-    """Links between components within each group of (main, id, comp, out).
+def _across(group: DataFrame, reps: DataFrame, docs: DataFrame, threshold: Fraction, size: int) -> DataFrame:
+    """Links between components within each group of (main, key, comp, out).
 
     Every pair of a group that spans two components, with one end or both ``out``,
-    is compared: overlaps are counted through an inverted index of the group's
-    shingles. A large group is cut into blocks, and each pair of blocks is a task's
-    work. Only a spanning forest over the components is returned.
+    is compared; a large group is cut into blocks, and each pair of blocks is a
+    task's work. The length and suffix filters find the classes of a pair of blocks
+    that may link at all; the overlaps of these are counted through an inverted index of their
+    shingles. Only a spanning forest over the components is returned.
     """
     num, den = threshold.numerator, threshold.denominator
-    parts = group.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = (
+    sized = group.join(reps.select("key", "n"), "key")
+    parts = sized.groupBy("main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    dealt = stage(
         group.join(parts, "main")
-        .withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("main", "id", "comp", "out", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("main", "key", "comp", "out", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
+    columns = "main long, lo int, hi int, key long, comp long, out boolean, own int"
+
+    def may_link(table: pa.Table) -> pa.Table:
+        comp, out, own, n = (np.asarray(table.column(c)) for c in ("comp", "out", "own", "n"))
+        n = n.astype(np.int64)
+        same_block = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        raw = [np.frombuffer(b.as_py(), np.uint8) for b in table.column("bins")]
+        order = np.argsort(n, kind="stable")
+        by_n = n[order]
+        coarse = [_fold(raw[k], min(len(raw[k]), 64)) for k in order.tolist()]
+        level = np.array([len(c) for c in coarse])
+        tables, place = {}, np.zeros(len(n), np.int64)
+        for width in np.unique(level).tolist():
+            some = np.flatnonzero(level == width)
+            place[some] = np.arange(len(some))
+            tables[width] = np.stack([coarse[j] for j in some.tolist()])
+        keep = np.zeros(len(n), bool)
+        for k in np.flatnonzero(out).tolist():
+            a = np.searchsorted(by_n, -(-num * n[k] // den), "left")
+            b = np.searchsorted(by_n, den * n[k] // num, "right")
+            near = np.arange(a, b)
+            near = near[(comp[order[near]] != comp[k]) & (same_block | (own[order[near]] != own[k]))]
+            mine = _fold(raw[k], min(len(raw[k]), 64))
+            for width in np.unique(level[near]).tolist():
+                some = near[level[near] == width]
+                least = min(width, len(mine))
+                table_ = tables[width][place[some]].reshape(len(some), least, -1).sum(axis=2)
+                most = np.minimum(table_, mine.reshape(least, -1).sum(axis=1)).sum(axis=1)
+                for j in order[some[most * (num + den) >= num * (by_n[some] + n[k])]].tolist():
+                    fine = min(len(raw[j]), len(raw[k]))
+                    if fine <= 64 or int(np.minimum(_fold(raw[j], fine), _fold(raw[k], fine)).sum()) * (num + den) >= num * int(n[j] + n[k]):
+                        keep[j] = keep[k] = True
+        return table.select(["main", "lo", "hi", "key", "comp", "out", "own"]).filter(pa.array(keep))
+
+    some = stage(dealt.join(reps.select("key", "n", "bins"), "key").groupBy("main", "lo", "hi").applyInArrow(may_link, columns))
+    discard(dealt)
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comp, out, own = (np.asarray(table.column(c)) for c in ("id", "comp", "out", "own"))
+        ids, comp, out, own = (np.asarray(table.column(c)) for c in ("key", "comp", "out", "own"))
         same_block = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-        texts = [zstandard.decompress(x.as_py()).decode() for x in table.column("packed")]
-        got = []
-        for at in range(0, len(texts), 64):
-            got += shingles(pa.array(texts[at : at + 64], pa.large_string()), size)
+        got = _sets(table.column("text"), size)
         n = np.array([len(h) for h in got])
         flat, owner = np.concatenate(got), np.repeat(np.arange(len(got)), n)
         order = np.argsort(flat, kind="stable")
@@ -276,7 +388,15 @@ def _across(group: DataFrame, sets: DataFrame, threshold: Fraction, size: int) -
         key = np.empty(len(flat), np.int64)
         key[order] = np.repeat(np.arange(len(first)), runs)
         starts = np.concatenate([[0], np.cumsum(n)])
-        u, v = [], []
+        parent = {int(c): int(c) for c in comp}
+        edges = []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         for k in np.flatnonzero(out).tolist():
             mine = key[starts[k] : starts[k + 1]]
             mine = mine[runs[mine] > 1]
@@ -287,24 +407,16 @@ def _across(group: DataFrame, sets: DataFrame, threshold: Fraction, size: int) -
             both = np.bincount(owner[places], minlength=len(n))
             good = (den * both >= num * (n + n[k] - both)) & (comp != comp[k]) & (same_block | (own != own[k]))
             for j in np.flatnonzero(good).tolist():
-                u.append(k)
-                v.append(j)
-        parent = {int(c): int(c) for c in comp}
-        edges = []
-        for a, b in zip(u, v):
-            roots = []
-            for x in (int(comp[a]), int(comp[b])):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                roots.append(x)
-            if roots[0] != roots[1]:
-                parent[max(roots)] = min(roots)
-                edges.append((int(ids[a]), int(ids[b])))
+                a, b = root(int(comp[k])), root(int(comp[j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    edges.append((int(ids[k]), int(ids[j])))
         return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
-    wide = dealt.join(sets.select("id", "packed"), "id")
-    return wide.groupBy("main", "lo", "hi").applyInArrow(compare, "u long, v long")
+    texts = _texts(docs, reps, some)
+    links = stage(some.join(texts, "key").groupBy("main", "lo", "hi").applyInArrow(compare, "u long, v long"))
+    discard(some, texts)
+    return links
 
 
 def _labelled(rows: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
@@ -312,74 +424,77 @@ def _labelled(rows: DataFrame, comps: DataFrame, column: str, name: str) -> Data
     return rows.join(known, column, "left").withColumn(name, F.coalesce(f"_{name}", column)).drop(f"_{name}")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.75", size: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
-    """(id, n_shingles, component_id) per row of ``docs``.
-
-    component_id is the smallest id reachable by links. Null and empty texts, and
-    texts without words, have n_shingles 0 and link with nothing. Rows of a null
-    id are left out, as they cannot be named; rows that repeat an id with
-    different texts share that id's component. Other columns are not read, so
-    names cannot clash. An empty table gives an empty result.
-    """
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.75", size: int = 5, bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
+    """(id, th, n, component_id) per row of ``docs`` with an id, as jaccard_components(); th is xxhash64 of the text."""
     spark = docs.sparkSession
+    share_code(spark)
     limit = Fraction(threshold)
     num, den = limit.numerator, limit.denominator
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     logs = count_sketch(given, size, bits)
-    table = prefix_table(given, limit, size, logs, bits)
-
-    classes = table.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
-    member = stage(table.select("id", "n", "fp").join(classes, "fp", "left").select("id", F.col("n").cast("long").alias("n"), F.coalesce("rep", "id").alias("rep")))
-    reps = table.where("n > 0").join(classes.select("fp", F.col("rep").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp"])
-    buckets = stage(_buckets(_deal(reps, shuffle_partitions(spark)), num, den))
-
-    rows = buckets.where((F.col("id") != F.col("c_id")) & _may_link(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos"), num, den))
-    star = stage(rows.groupBy(F.col("c_id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("shared")))
-    active = buckets.select("id").distinct()
-    sets = stage(table.select("id", "bins", "packed").join(active, "id", "left_semi").dropDuplicates(["id"]))
-
-    # A document that shares set tokens with several centres is first compared with the nearest.
-    best = star.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v")
-    tried = stage(best)
-    links = stage(verify(tried, sets, limit, size))
-    comps = components(links)
-
-    rest = _labelled(_labelled(star.select("u", "v"), comps, "u", "cu"), comps, "v", "cv").where("cu <> cv").select("u", "v")
-    rest = stage(rest.join(tried, ["u", "v"], "left_anti"))
-    links = stage(links.unionByName(verify(rest, sets, limit, size)))
+    table = set_table(given, limit, size, logs, bits)
+
+    # Classes of equal sets; the document of the least id stands for its class.
+    classes = table.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th", "n", "prefix", "bins")).alias("r"), F.count(F.lit(1)).alias("size"))
+    reps = stage(classes.select("fp", "r.*", "size").withColumn("key", F.monotonically_increasing_id()))
+    totals = reps.agg(F.sum(F.length("prefix")), F.sum("size")).first()
+    tokens, total = (totals[0] or 0) // TOKEN_BYTES, totals[1] or 0
+    named = reps.select("fp", "key", F.col("id").alias("rep"), "size")
+    member = stage(_join_classes(table.select("id", "th", "n", "fp"), named, "fp", total).drop("fp"))
+    discard(table)
+
+    hot += (4 * tokens >> bits).bit_length()  # over the mean count of the sketch
+    ranges = max(shuffle_partitions(spark), -(-tokens // RANGE_TOKENS))
+    buckets = stage(_buckets(_deal(reps, ranges, logs, bits, hot), num, den))
+
+    rows = buckets.where((F.col("key") != F.col("c_key")) & _may_link(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos"), num, den))
+    star = rows.groupBy(F.col("c_key").alias("u"), F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
+    star = stage(star.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v"))
+    pairs = _bounded(star, reps, num, den)
+    texts = _texts(given, reps, pairs.select(F.explode(F.array("u", "v")).alias("key")))
+    links = stage(verify(pairs, texts, limit, size))
+    discard(star, pairs, texts)
     comps = components(links)
 
-    # Buckets that still span components: their documents outside the centre's
-    # component meet all of the bucket. Small buckets give pairs, a bounded number
-    # for each row; large ones are compared as one group for each such component.
-    known = _labelled(_labelled(buckets.select("token", "id", "n", "pos", "c_id", "size"), comps, "id", "comp"), comps, "c_id", "main")
-    outside = stage(known.where("comp <> main"))
-    few = outside.where(F.col("size") <= SMALL).select("token", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("pos").alias("o_pos"), F.col("comp").alias("o_comp"))
-    across = few.join(known.where(F.col("size") <= SMALL), "token").where(
-        (F.col("comp") != F.col("o_comp"))
-        & ((F.col("comp") == F.col("main")) | (F.col("o_id") < F.col("id")))
-        & _may_link(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos"), num, den)
-    )
-    pairs = across.select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct()
-    done = tried.unionByName(rest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = stage(pairs.join(done, ["u", "v"], "left_anti"))
-    many = outside.where(F.col("size") > SMALL)
-    inside = known.where((F.col("comp") == F.col("main")) & (F.col("size") > SMALL)).join(many.select("token").distinct(), "token", "left_semi")
-    group = many.select("main", "id", "comp", F.lit(True).alias("out")).unionByName(inside.select("main", "id", "comp", F.lit(False).alias("out"))).distinct()
-    links = stage(links.unionByName(verify(pairs, sets, limit, size)).unionByName(_across(stage(group), sets, limit, size)))
-    comps = components(links)
+    known = stage(_labelled(_labelled(buckets.select("token", "key", "c_key"), comps, "key", "comp"), comps, "c_key", "main").select("token", "main", "key", "comp"))
+    discard(links)
+    outside = known.where("comp <> main")
+    inside = known.where("comp = main").join(outside.select("token").distinct(), "token", "left_semi")
+    group = outside.select("main", "key", "comp", F.lit(True).alias("out")).unionByName(inside.select("main", "key", "comp", F.lit(False).alias("out"))).distinct()
+    group = stage(group)
+    links = _across(group, reps, given, limit, size)
+    discard(known, group)
+
+    # Components of components, and their least ids.
+    edges = stage(_labelled(_labelled(links, comps, "u", "cu"), comps, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    above = components(edges)
+    alone = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("component", F.col("id"))
+    labels = _labelled(comps.unionByName(alone), above, "component", "whole").join(reps.select(F.col("key").alias("id"), F.col("id").alias("rep"), "size"), "id")
+    whole = labels.groupBy("whole").agg(F.min("rep").alias("component_id"))
+    labels = stage(labels.join(whole, "whole").select(F.col("id").alias("key"), "component_id", "size"))
+    found = _join_classes(member.drop("size"), labels, "key", total)
+    return found.select("id", "th", "n", F.coalesce("component_id", "rep", "id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, n_shingles, component_id) per row of ``docs``.
 
-    found = _labelled(member, comps, "rep", "component_id")
-    if id_col == "id":
-        return found.select("id", F.col("n").alias("n_shingles"), "component_id")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    component_id is the smallest id reachable by links. Null and empty texts, and
+    texts without words, have n_shingles 0 and link with nothing. Rows of a null
+    id are left out, as they cannot be named; rows that repeat an id count each, by
+    their own texts. Other columns are not read, so
+    names cannot clash. An empty table gives an empty result.
+    """
+    found = jaccard_groups(docs, id_col, **options)
+    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the near copies: of each component the smallest doc_id stays.
+    """``docs`` without the near copies: of each component the document of the smallest doc_id stays.
 
-    All columns are kept. Rows of a null doc_id stay; of rows that repeat a kept
-    doc_id, all stay.
+    All columns are kept. Rows of a null doc_id stay, and so do null and empty texts,
+    which link with nothing. Rows that repeat a doc_id go or stay each by its
+    own text; of rows that repeat both, all do. An empty table stays empty.
     """
-    gone = jaccard_components(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stage(jaccard_groups(docs, **options).where("component_id <> id").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left_anti")

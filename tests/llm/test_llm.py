@@ -79,12 +79,30 @@ def test_op7_equals_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == documents(spark, []).columns
 
 
-def test_op7_large_buckets_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
+def test_op7_blocks_and_shared_tokens(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     texts = near_texts()
-    got = ngram_join.jaccard_components(documents(spark, texts)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
+    want = brute_components(texts)
+    for hot in (ngram_join.HOT, 3):  # with 3, nearly all tokens are dealt to several tasks
+        got = ngram_join.jaccard_components(documents(spark, texts), hot=hot).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_op7_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    a, b = words(60), words(60)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (4, None), (4, " ".join(a)), (None, " ".join(a)), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit(0)).withColumn("_th", F.lit(0))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == [(1, 56, 1), (1, 56, 1), (2, 56, 1), (3, 56, 1), (4, 0, 4), (4, 56, 1), (5, 0, 5)]
+    kept = ngram_join.keep_one_per_group(docs)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, ""), (0, " ".join(a)), (5, "")])
+    # the other text of an id that stays goes where its copy has a smaller id
+    docs = spark.createDataFrame([(1, " ".join(a)), (0, near(b)), (1, " ".join(b))], "doc_id long, text string")
+    assert sorted(r["text"] for r in ngram_join.keep_one_per_group(docs).collect()) == sorted([" ".join(a), near(b)])
+    assert ngram_join.keep_one_per_group(docs.limit(0)).count() == 0 and ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
 # --- 1
