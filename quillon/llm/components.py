@@ -1,4 +1,4 @@
-"""Connected components of an edge table, without any of it on the driver."""
+"""Connected components of an edge table, and joins of rows with their classes, without any of it on the driver."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.session import discard, stage
 
+HOT_CLASSES = 10_000
+
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, component) for every endpoint of ``edges(u, v)``: the smallest id reachable.
@@ -35,3 +37,18 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             discard(both)
             return labels.select("id", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``classes`` (which have a ``size``) by ``key``, nulls where there is no class.
+
+    A class of a ten-thousandth of all rows or more goes by broadcast: there are
+    HOT_CLASSES of those at most, and no task gets all rows of one. The others are
+    shuffled.
+    """
+    hot = classes.where(F.col("size") * HOT_CLASSES >= max(total, HOT_CLASSES * 100))
+    known = rows.where(F.col(key).isNotNull())
+    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes, key, "left")
+    without = rows.where(F.col(key).isNull())
+    without = without.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in classes.schema if f.name != key))
+    return known.join(F.broadcast(hot), key).unionByName(rest).unionByName(without)

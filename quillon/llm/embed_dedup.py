@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.components import components
-from quillon.session import shuffle_partitions, stage
+from quillon.llm.components import components, join_classes
+from quillon.session import discard, share_code, shuffle_partitions, stage
 
 TABLES = 8
 ROTATIONS = 3
@@ -125,13 +125,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_links counts the other rows linked directly. Vectors that are null, empty,
     zero, or hold null or non-finite components link with nothing, as do vectors
     of other lengths. Rows of a null id are left out. Rows that repeat an id
-    count each. Other columns are not read. An empty table gives an empty result.
+    count each, by their own vectors. Other columns are not read. An empty table
+    gives an empty result.
     """
+    share_code(vectors.sparkSession)
     table = _hash_table(vectors.select(F.col(id_col).cast("long"), vector_col).where(F.col(id_col).isNotNull()), TABLES, ROTATIONS, SEED)
-    classes = table.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    reps = stage(
-        table.where("fp IS NOT NULL").join(classes.select("fp", F.col("rep").alias("id"), "size"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "size", "vec", "codes")
-    )
+    # Classes of equal bits, by a key of their own: ids may repeat. Equal bits have equal codes.
+    classes = table.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("id", "vec", "codes")).alias("r"), F.count(F.lit(1)).alias("size"))
+    reps = stage(classes.select("fp", F.col("r.id").alias("rep"), "r.vec", "r.codes", "size").withColumn("id", F.monotonically_increasing_id()))
+    total = reps.agg(F.sum("size")).first()[0] or 0
     rows = stage(_bucket_rows(reps))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Small buckets share groups, so that a task handles many of them at once;
@@ -178,12 +180,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             "to": pa.array([*[None] * len(counts), *[e[1] for e in tree]], pa.int64()),
         })
 
-    found = stage(dealt.join(reps, "id").groupBy("gk", "lo", "hi").applyInArrow(compare, "id long, near long, to long"))
+    found = stage(dealt.join(reps.select("id", "size", "vec", "codes"), "id").groupBy("gk", "lo", "hi").applyInArrow(compare, "id long, near long, to long"))
     comps = components(found.where("to IS NOT NULL").select(F.col("id").alias("u"), F.col("to").alias("v")))
     near = found.where("to IS NULL").groupBy("id").agg(F.sum("near").alias("near"))
-    known = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    out = table.select("id", "fp").join(known, "fp", "left")
-    component = F.coalesce("component", "rep", "id")
+    labels = comps.join(reps.select("id", "rep"), "id")
+    least = labels.groupBy("component").agg(F.min("rep").alias("least"))
+    labels = labels.join(least, "component").select("id", "least")
+    known = stage(reps.select("id", "fp", "rep", "size").join(near, "id", "left").join(labels, "id", "left").drop("id"))
+    discard(rows, found)
+    out = join_classes(table.select("id", "fp"), known, "fp", total)
+    component = F.coalesce("least", "rep", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce(F.col("size") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._text import U64, mix, shingles, slices
-from quillon.llm.components import components
+from quillon.llm.components import components, join_classes
 from quillon.session import discard, share_code, shuffle_partitions, stage
 
 SKETCH_BITS = 21
@@ -51,7 +51,6 @@ BLOCK_SHINGLES = 2_000_000
 RANGE_TOKENS = 4_000_000  # prefix shingles of a task
 HOT = 20  # log2 of the holders, over the mean of a cell of the sketch, from which a shingle is dealt to several tasks
 TOKEN_BYTES = 5
-HOT_CLASSES = 10_000
 
 
 def _set_batches(batches, size):
@@ -150,21 +149,6 @@ def set_table(docs: DataFrame, threshold: Fraction, size: int, logs: np.ndarray,
     return out
 
 
-def _join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``classes`` (which have a ``size``) by ``key``, nulls where there is no class.
-
-    A class of a ten-thousandth of all rows or more goes by broadcast: there are
-    HOT_CLASSES of those at most, and no task gets all rows of one. The others are
-    shuffled.
-    """
-    hot = classes.where(F.col("size") * HOT_CLASSES >= max(total, HOT_CLASSES * 100))
-    known = rows.where(F.col(key).isNotNull())
-    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes, key, "left")
-    without = rows.where(F.col(key).isNull())
-    without = without.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in classes.schema if f.name != key))
-    return known.join(F.broadcast(hot), key).unionByName(rest).unionByName(without)
-
-
 def _deal(reps: DataFrame, parts: int, logs: np.ndarray, bits: int, hot: int) -> DataFrame:
     """Prefix tokens of the classes, packed by hash range: (part, blob).
 
@@ -440,7 +424,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     totals = reps.agg(F.sum(F.length("prefix")), F.sum("size")).first()
     tokens, total = (totals[0] or 0) // TOKEN_BYTES, totals[1] or 0
     named = reps.select("fp", "key", F.col("id").alias("rep"), "size")
-    member = stage(_join_classes(table.select("id", "th", "n", "fp"), named, "fp", total).drop("fp"))
+    member = stage(join_classes(table.select("id", "th", "n", "fp"), named, "fp", total).drop("fp"))
     discard(table)
 
     hot += (4 * tokens >> bits).bit_length()  # over the mean count of the sketch
@@ -472,7 +456,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = _labelled(comps.unionByName(alone), above, "component", "whole").join(reps.select(F.col("key").alias("id"), F.col("id").alias("rep"), "size"), "id")
     whole = labels.groupBy("whole").agg(F.min("rep").alias("component_id"))
     labels = stage(labels.join(whole, "whole").select(F.col("id").alias("key"), "component_id", "size"))
-    found = _join_classes(member.drop("size"), labels, "key", total)
+    found = join_classes(member.drop("size"), labels, "key", total)
     return found.select("id", "th", "n", F.coalesce("component_id", "rep", "id").alias("component_id"))
 
 

@@ -490,6 +490,33 @@ def test_op10_equals_brute_force(spark):
         assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (int(near[i].sum()) - 1 if i < len(rows) else 0, comp[i], comp[i] == i) for i in range(len(given))}
 
 
+def test_op10_rows_that_repeat_an_id(spark):
+    x, y, z = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.0, 0.0, 1.0]
+    near = lambda v: [2 * c + 0.01 for c in v]
+    rows = [(1, x), (1, y), (2, near(y)), (3, near(x)), (4, z), (4, None), (None, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit(7))
+    got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True)]
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_op10_recall_on_embeddings(spark):
+    """The table's vectors and, of each of 300, a copy turned to a cosine just over the threshold, against all pairs."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet").orderBy("vec_id").collect()]
+    x = np.array([v for _, v in rows], float)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = np.random.default_rng(6).normal(size=(300, x.shape[1]))
+    noise -= (noise * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.951 * x[:300] + np.sqrt(1 - 0.951**2) * noise])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() >= 588
+
+
 def test_cross_polytope_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2000, 64))
