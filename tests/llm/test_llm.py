@@ -133,6 +133,23 @@ def test_op1_battery_finds_random_tokens_alone(spark):
     assert len(hit & set(range(20))) >= 17 and not hit - set(range(20))
 
 
+@pytest.mark.parametrize("size", [20, 24, 32])
+def test_op1_battery_in_a_mostly_clean_corpus(spark, size):
+    rng = np.random.default_rng(size)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    word = lambda: str(rng.choice(["user", "table", "from", "load", "index", "value", "section", "manual", "total", "name", "report", "street"]))
+
+    def clean(k):
+        w = [word() for _ in range(8)]
+        kinds = ("_".join(w) + str(k), "/".join(w[:4]) + f"/{1900 + k % 120}/" + "-".join(w[4:]), w[0] + "".join(x.title() for x in w[1:]) + str(k), "".join(w) + str(k * 7))
+        return kinds[k % 4][-size:].strip("_/-").rjust(size, "x")
+
+    texts = [f"see {clean(k)} there" for k in range(450)] + ["key " + "".join(rng.choice(alphabet, size)) + " end" for _ in range(50)]
+    rows = secrets.scan(documents(spark, texts)).collect()
+    hit = np.array([r["doc_id"] for r in rows if r["extra"]])
+    assert (hit >= 450).sum() >= {20: 25, 24: 30, 32: 40}[size] and (hit < 450).sum() <= 4
+
+
 def test_redact(spark):
     texts = ["a token = abcdef123456 b", None, "", "x " + "deadbeef" * 4, "token=" + "deadbeef" * 4 + " z", "clean text"]
     out = secrets.redact(documents(spark, texts))
