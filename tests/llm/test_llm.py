@@ -181,6 +181,33 @@ def test_op2_meets_targets(spark):
     assert mixing.mixing_rates(documents(spark, []), labels.limit(0)).count() == 0
 
 
+def test_op2_comes_closest_to_targets_out_of_reach(spark):
+    rng = np.random.default_rng(4)
+    for trial in range(24):
+        p = rng.dirichlet((0.4, 0.3, 0.1), 400)
+        w = rng.lognormal(0, 1, 400)
+        w /= w.sum()
+        goal = rng.dirichlet((1, 1, 1)) if trial % 2 else np.array([0.02, 0.01, 0.97])
+        floor = float(trial % 3 == 0)
+        r = mixing.descend(p, w, goal * 1.1, floor, max(1.1, floor))
+        plain = np.full(400, 1.1)  # brute force: plain projected gradient
+        for _ in range(30_000):
+            plain = np.maximum(floor, plain - p @ ((w * plain) @ p - goal * 1.1))
+        off = [np.linalg.norm((w * x) @ p - goal * 1.1) for x in (r, plain)]
+        assert (r >= floor).all() and off[0] <= off[1] * 1.001 + 1e-5
+    texts = ["good fine text " * 20] * 30 + ["bad junk $$$ " * 15] * 30 + ["hate insult " * 10] * 10
+    labels = spark.createDataFrame([(i, int(i < 30), int(i >= 60)) for i in range(70)], "doc_id long, quality int, toxic int")
+    goal = {"high": 0.05, "low": 0.05, "toxic": 0.9}
+    rows = mixing.mixing_rates(documents(spark, texts), labels, goal, floor=0.5)
+    frame = rows.toPandas()
+    q, n = frame[["p_high", "p_low", "p_toxic"]].to_numpy(), frame.tokens.to_numpy(float)
+    r = np.ones(len(n))
+    for _ in range(20_000):
+        r = np.maximum(0.5, r - q @ ((n * r) @ q / n.sum() - list(goal.values())))
+    got, want = np.array(list(mixing.shares(rows).values())), (n * r) @ q / n.sum()
+    assert np.abs(got - want).max() < 1e-3 and frame.rate.min() >= 0.5 - 1e-9
+
+
 # --- 3 and 5
 
 
