@@ -54,12 +54,31 @@ def floor_log10(column: Column, limit: float | None = None, shift: float = 0.0)
     return F.log10((column if limit is None else F.greatest(column, F.lit(limit))) + shift)
 
 
+def _draw(df: DataFrame, c: str, seed: int, buckets: int = 256) -> DataFrame:
+    """Nulls of ``c`` filled from its observed values, which are ranked within hash buckets: only the buckets' counts reach the driver."""
+    every = [F.col(x) for x in df.columns]
+    deal = F.pmod(F.xxhash64(*every, F.lit(seed)), F.lit(buckets))
+    seen = df.where(F.col(c).isNotNull()).select(F.col(c).alias("_v"), deal.cast("int").alias("_b"), F.xxhash64(*every).alias("_h"))
+    counts = {r["_b"]: r["n"] for r in seen.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    if not total:
+        return df
+    ends = [sum(counts.get(b, 0) for b in range(k + 1)) for k in range(buckets)]
+    table = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")  # folded to one constant
+    ranked = seen.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_v")) - 1).select("_b", F.col("_k").cast("long").alias("_k"), "_v")
+    at = F.pmod(F.xxhash64(*every, F.lit(c), F.lit(seed + 1)), F.lit(total))
+    missing = df.where(F.col(c).isNull()).withColumn("_at", at).withColumn("_b", F.size(F.filter(table, lambda e: e <= F.col("_at"))))
+    missing = missing.withColumn("_k", F.col("_at") - F.when(F.col("_b") > 0, F.get(table, F.col("_b") - 1)).otherwise(0))
+    filled = missing.join(ranked, ["_b", "_k"], "left").withColumn(c, F.col("_v")).select(*df.columns)
+    return df.where(F.col(c).isNotNull()).unionByName(filled)
+
+
 def impute(df: DataFrame, columns: list[str], method: str = "median", drop_share: float | None = None, seed: int = 0) -> DataFrame:
     """Fills nulls: ``median``, ``mean``, ``sample`` (observed values of hashed rank) or ``regression`` on the other columns.
 
     Rows with fewer than round(columns * drop_share) values go first. ``sample``
-    draws with replacement: a null row takes the observed value whose rank its
-    hash names. ``regression`` solves the normal equations of mean-filled columns,
+    draws with replacement: a null row takes the observed value whose rank its own
+    hash names, however the rows are partitioned (rows equal in all columns draw alike). ``regression`` solves the normal equations of mean-filled columns,
     one aggregation for all of them.
     """
     if drop_share is not None:
@@ -69,14 +88,9 @@ def impute(df: DataFrame, columns: list[str], method: str = "median", drop_share
         row = df.agg(*(f(c).alias(c) for c in columns)).first()
         return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(row[c])) for c in columns})
     if method == "sample":
-        rows = df.withColumn("_row", F.monotonically_increasing_id())
         for c in columns:
-            seen = df.where(F.col(c).isNotNull()).select(F.col(c).alias("_v"))
-            total = seen.count()
-            ranked = seen.rdd.map(lambda r: r[0]).zipWithIndex().toDF(f"_v {df.schema[c].dataType.simpleString()}, _k long")
-            rows = rows.withColumn("_k", F.when(F.col(c).isNull(), F.pmod(F.xxhash64("_row", F.lit(c), F.lit(seed)), F.lit(max(total, 1)))))
-            rows = rows.join(ranked, "_k", "left").withColumn(c, F.coalesce(c, "_v")).drop("_k", "_v")
-        return rows.drop("_row")
+            df = _draw(df, c, seed)
+        return df
     if method != "regression":
         raise ValueError(f"unknown method {method}")
     import numpy as np

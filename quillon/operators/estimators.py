@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,22 +89,32 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, q: list[float], by
     return c.withColumn("quantile", at).groupBy(*by, "q").agg(F.max("quantile").alias("quantile"))
 
 
-def quantile_interval(df: DataFrame, value: str, q: float, alpha: float = 0.05) -> DataFrame:
-    """The linear quantile with an order-statistic interval; the ranks depend on n and q alone."""
-    n = df.where(F.col(value).isNotNull()).count()
+def quantile_interval(df: DataFrame, value: str, q: float, alpha: float = 0.05, method: str = "exact") -> DataFrame:
+    """(quantile, lo, hi): linear quantiles at q and at the ends of an interval of fractional order statistics.
 
-    def rank(target: float) -> int:
-        # The smallest rank whose chance to lie above the quantile reaches the target.
-        lo, hi = 0, n + 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            covered = 1.0 if mid > n else 0.0 if mid < 1 else 1 - beta_inc(mid, n - mid + 1, q)
-            lo, hi = (lo, mid) if covered >= target else (mid + 1, hi)
-        return min(max(lo, 1), n)
-
-    low, high = rank(alpha / 2), rank(1 - alpha / 2)
-    ordered = df.where(F.col(value).isNotNull()).select(value, F.row_number().over(Window.orderBy(value)).alias("_k"))
-    return ordered.agg(F.percentile(value, F.lit(q)).alias("quantile"), F.max(F.when(F.col("_k") == low, F.col(value))).alias("lo"), F.max(F.when(F.col("_k") == high, F.col(value))).alias("hi"))
+    The ends x solve I_q((n + 1) x, (n + 1) (1 - x)) = 1 - alpha / 2 and alpha / 2
+    (``exact``), or are quantiles of the beta distribution of ((n + 1) q, (n + 1) (1 - q))
+    (``approximate``); they depend on n and q alone. Nulls do not count; without values all is null.
+    """
+    n = df.where(F.col(value).isNotNull()).count()
+    q = min(max(q, 1e-7), 1 - 1e-7)
+
+    def root(rises: Callable[[float], float], level: float) -> float:
+        lo, hi = 1e-8, 1 - 1e-8
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if rises(mid) < level else (lo, mid)
+        return (lo + hi) / 2
+
+    if method == "exact":
+        upper = lambda x: 1 - beta_inc((n + 1) * x, (n + 1) * (1 - x), q)
+    elif method == "approximate":
+        upper = lambda x: beta_inc((n + 1) * q, (n + 1) * (1 - q), x)
+    else:
+        raise ValueError(f"unknown method {method}")
+    ends = [root(upper, alpha / 2), root(upper, 1 - alpha / 2)]
+    at = F.percentile(value, F.array(*map(F.lit, [q, *ends])))
+    return df.agg(at.alias("p")).select(*(F.get("p", F.lit(k)).alias(name) for k, name in enumerate(("quantile", "lo", "hi"))))
 
 
 def ecdf(df: DataFrame, value: str, weight: Column | None = None, by: list[str] = ()) -> DataFrame:

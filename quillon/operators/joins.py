@@ -74,19 +74,17 @@ def all_pairs(df: DataFrame, key: str, by: list[str], symmetric: bool = True) ->
 
 
 def maximal_sets(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """Sets that no other set contains (of equal sets the smallest key stays).
+    """Sets that no other set contains (of equal sets the smallest key stays); items come sorted.
 
-    Candidates are found by a shared item, the smallest set's first one, so sets
-    without a common item never meet.
+    Equal sets become one first. Candidates are found by the set's rarest item, so
+    sets without a common item never meet and a frequent item brings few together.
     """
-    probe = sets.withColumn("_x", F.array_min(items))
-    index = sets.select(F.col(key).alias("_k2"), F.col(items).alias("_s2"), F.explode(items).alias("_x"))
-    inside = (
-        probe.join(index, "_x")
-        .where(F.col(key) != F.col("_k2"))
-        .where((F.size(F.array_except(items, "_s2")) == 0) & ((F.size("_s2") > F.size(items)) | (F.col("_k2") < F.col(key))))
-    )
-    return sets.join(inside.select(key).distinct(), key, "left_anti")
+    distinct = sets.groupBy(items).agg(F.min(key).alias(key))
+    each = distinct.select(F.col(items).alias("_s2"), F.explode(items).alias("_x"))
+    often = each.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    probe = distinct.select(items, F.explode(items).alias("_x")).join(often, "_x").groupBy(items).agg(F.min_by("_x", F.struct("_n", "_x")).alias("_x"))
+    inside = probe.join(each, "_x").where((F.size("_s2") > F.size(items)) & (F.size(F.array_except(items, "_s2")) == 0))
+    return distinct.join(inside.select(items).distinct(), items, "left_anti").select(key, items)
 
 
 def align_last(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:

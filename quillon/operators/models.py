@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import discard, stage
+
+
 # --- numpy kernels
 
 
@@ -344,18 +347,24 @@ def align_labels(a: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return a.sparkSession.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in p) for p in pairs], f"{left} {types[left]}, {right} {types[right]}")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component) of an edge table (u, v): the smallest id reachable, by min labels and pointer jumps."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("c"))
+def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(id, component) of an edge table (u, v): the smallest id reachable, by min labels and pointer jumps.
+
+    A chain of n ids takes about log n rounds; each is written to the shared
+    folder. Raises where labels still move after ``rounds``.
+    """
+    both = stage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = stage(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("c")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("id").alias("v"), "c"), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("m"))
         low = labels.join(near, "id").select("id", "c", F.least("c", "m").alias("low"))
-        new = low.join(labels.select(F.col("id").alias("low"), F.col("c").alias("far")), "low").select("id", F.least("low", "far").alias("c"), F.col("c").alias("was")).checkpoint()
-        labels = new.select("id", "c")
+        new = stage(low.join(labels.select(F.col("id").alias("low"), F.col("c").alias("far")), "low").select("id", F.least("low", "far").alias("c"), F.col("c").alias("was")))
+        discard(labels)
+        labels = new
         if not new.where("c <> was").limit(1).count():
-            break
-    return labels.withColumnRenamed("c", "component")
+            discard(both)
+            return labels.select("id", F.col("c").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def principal_components(df: DataFrame, row: str, features: list[str], k: int) -> DataFrame:

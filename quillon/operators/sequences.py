@@ -224,44 +224,57 @@ def shared_coordinates(df: DataFrame, by: list[str], start: str, end: str) -> Da
     return inter.select(*by, F.when(some, F.col("s")).alias("start"), F.when(some, F.col("e")).alias("end")).join(union, by)
 
 
-def epitopes(responses: DataFrame, unit: str, island: str, key: str, start: str, end: str, seq: str, min_overlap: int = 8, min_shared: int = 6) -> DataFrame:
+def epitopes(responses: DataFrame, unit: str, island: str, key: str, start: str, end: str, seq: str, min_overlap: int = 8, min_shared: int = 6, reduce: bool = True) -> DataFrame:
     """(unit, island, key, epitope, start, end, floater): each island's responses explained by the fewest epitopes.
 
-    Within an island the maximal sets of responses that share ``min_overlap``
+    Within an island all maximal sets of responses that share ``min_overlap``
     coordinates and ``min_shared`` equal residues are found, shortest sets fully
     explained by others are dropped, and a response in one set alone defines it.
-    An island's few responses are one pandas group.
+    With ``reduce`` the first of the responses of equal start and end stands for all
+    of them. An island's few responses are one pandas group.
     """
     import pandas as pd
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([start, key]).reset_index(drop=True)
-        n = len(pdf)
+        alike: dict[tuple, list[int]] = {}
+        for k, place in enumerate(zip(pdf[start], pdf[end])):
+            alike.setdefault(place if reduce else k, []).append(k)
+        alike = {rows[0]: rows for rows in alike.values()}
+        ids = list(alike)
         s, e, q = pdf[start].to_numpy(), pdf[end].to_numpy(), pdf[seq].tolist()
 
-        def rule(rows: tuple[int, ...]):
+        def shared(rows: tuple[int, ...]) -> tuple[int, int] | None:
             lo, hi = max(s[k] for k in rows), min(e[k] for k in rows)
-            if hi - lo < (min_overlap if len(rows) > 1 else 1):
+            if len(rows) == 1:
+                return lo, hi
+            if hi - lo < min_overlap:
                 return None
             same = sum(len({q[k][p - s[k] : p - s[k] + 1] for k in rows}) == 1 for p in range(lo, hi))
-            return (lo, hi) if same >= min(min_shared, hi - lo) or len(rows) == 1 else None
+            return (lo, hi) if same >= min_shared else None
 
-        # Intervals of a shared point are consecutive by start; grow maximal sets from each.
+        # A part of a set that shares enough shares enough too, so sets grow one response at a time, in order.
         sets: list[tuple[tuple[int, ...], tuple[int, int]]] = []
-        for first in range(n):
-            rows = [first]
-            span = rule((first,))
-            for k in range(first + 1, n):
-                got = rule((*rows, k))
-                if got:
-                    rows.append(k)
-                    span = got
-            sets.append((tuple(rows), span))
-        sets = [x for x in sets if not any(set(x[0]) < set(y[0]) for y in sets)]
-        for x in sorted(sets, key=lambda x: len(x[0])):
+
+        def grow(rows: tuple[int, ...], span: tuple[int, int]) -> None:
+            full = True
+            for k in ids:
+                if k in rows or s[k] >= span[1] or e[k] <= span[0]:
+                    continue
+                if got := shared((*rows, k)):
+                    full = False
+                    if k > rows[-1]:
+                        grow((*rows, k), got)
+            if full:
+                sets.append((rows, span))
+
+        for k in ids:
+            grow((k,), shared((k,)))
+        for x in sorted(sets, key=lambda x: (len(x[0]), x[0])):
             rest = {k for y in sets if y is not x for k in y[0]}
-            if set(x[0]) <= rest and len(sets) > 1:
+            if set(x[0]) <= rest:
                 sets.remove(x)
+        sets = [(tuple(k for first in rows for k in alike[first]), span) for rows, span in sorted(sets)]
         out = []
         for number, (rows, span) in enumerate(sets):
             for k in rows:

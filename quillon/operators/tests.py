@@ -67,10 +67,10 @@ def adjust(df: DataFrame, p: str, method: str = "holm", within: list[str] = (),
     w = Window.partitionBy(*within, F.col(p).isNull())
     order = w.orderBy(F.col(p))
     m = F.count(p).over(w)
-    i = F.row_number().over(order)
+    i = F.row_number().over(order)  # of equal p the one that counts most decides for all: the least i going up, the largest going down
     v = F.col(p)
-    down = order.rowsBetween(Window.unboundedPreceding, 0)
-    up = w.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    up = w.orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_m", m).withColumn("_i", i)
     if method == "bonferroni":
         q = F.least(F.lit(1.0), v * F.col("_m"))

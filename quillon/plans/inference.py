@@ -113,17 +113,17 @@ def ro15(spark, d):
     return M.fit_dilutions(s.withColumn("y", y), ["s_suppkey"], "dose", "y")
 
 
-_K = "p AS (SELECT s_suppkey AS i, s_acctbal AS x FROM supplier WHERE s_suppkey <= 40), d AS (SELECT a.i, b.i AS j, abs(a.x - b.x) AS d FROM p a, p b), k AS (SELECT i, j, -0.5 * (d * d - avg(d * d) OVER (PARTITION BY i) - avg(d * d) OVER (PARTITION BY j) + avg(d * d) OVER ()) AS k FROM d)"
+_K = "p AS (SELECT s_suppkey AS i, s_acctbal / 1000 AS x FROM supplier), d AS (SELECT a.i, b.i AS j, abs(a.x - b.x) AS d FROM p a, p b), k AS (SELECT i, j, -0.5 * (d * d - avg(d * d) OVER (PARTITION BY i) - avg(d * d) OVER (PARTITION BY j) + avg(d * d) OVER ()) AS k FROM d)"
 
 
 def _distances(spark, d):
-    s = load(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"))
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 1000).alias("x"))
     return s.crossJoin(s.toDF("j", "y")).select("i", "j", F.abs(F.col("x") - F.col("y")).alias("d"))
 
 
-@query("ro17_gower_kernel", f"WITH {_K} SELECT i, j, round(k, 2) AS k FROM k")
+@query("ro17_gower_kernel", f"WITH {_K} SELECT i, j, round(k, 5) AS k FROM k")
 def ro17(spark, d):
-    return rounded(M.gower_kernel(_distances(spark, d)), 2)
+    return rounded(M.gower_kernel(_distances(spark, d)), 5)
 
 
 @query("ro17_kernel_distance", f"WITH {_K} SELECT i, j, round(d, 3) AS d FROM d")
@@ -131,11 +131,11 @@ def ro17_back(spark, d):
     return rounded(M.kernel_distance(M.gower_kernel(_distances(spark, d))), 3)
 
 
-@query("ro16_kernel_score", f"WITH {_K}, r AS (SELECT s_suppkey AS i, s_nationkey - (SELECT avg(s_nationkey) FROM supplier WHERE s_suppkey <= 40) AS r FROM supplier WHERE s_suppkey <= 40) SELECT round(sum(a.r * k * b.r) / (SELECT var_samp(r) FROM r), 0) AS q FROM k JOIN r a ON k.i = a.i JOIN r b ON k.j = b.i")
+@query("ro16_kernel_score", f"WITH {_K}, r AS (SELECT s_suppkey AS i, s_nationkey - (SELECT avg(s_nationkey) FROM supplier) AS r FROM supplier) SELECT round(sum(a.r * k * b.r) / (SELECT var_samp(r) FROM r), 3) AS q FROM k JOIN r a ON k.i = a.i JOIN r b ON k.j = b.i")
 def ro16(spark, d):
-    s = load(spark, d, "supplier").where("s_suppkey <= 40")
+    s = load(spark, d, "supplier")
     m = s.agg(F.avg("s_nationkey")).first()[0]
-    return rounded(M.kernel_score(M.gower_kernel(_distances(spark, d)), s.select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") - m).alias("r"))), 0)
+    return rounded(M.kernel_score(M.gower_kernel(_distances(spark, d)), s.select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") - m).alias("r"))), 3)
 
 
 # --- clustering, graphs, embedding
@@ -168,11 +168,10 @@ def rs7(spark, d):
 
 @query(
     "clu5_components",
-    "WITH RECURSIVE e AS (SELECT p_partkey AS u, (p_partkey * 2 % 301) + 1 AS v FROM part WHERE p_partkey <= 120), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, x) AS (SELECT u, u FROM b UNION SELECT r.id, b.v FROM r JOIN b ON r.x = b.u) SELECT id, min(x) AS component FROM r GROUP BY 1",
+    "WITH RECURSIVE e AS (SELECT p_partkey AS u, p_partkey + (p_partkey % 16 <> 0)::INT AS v FROM part), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, x) AS (SELECT u, u FROM b UNION SELECT r.id, b.v FROM r JOIN b ON r.x = b.u) SELECT id, min(x) AS component FROM r GROUP BY 1",
 )
 def clu5(spark, d):
-    shared_dir(spark)
-    e = load(spark, d, "part").where("p_partkey <= 120").select(F.col("p_partkey").alias("u"), (F.col("p_partkey") * 2 % 301 + 1).alias("v"))
+    e = load(spark, d, "part").select(F.col("p_partkey").alias("u"), (F.col("p_partkey") + (F.col("p_partkey") % 16 != 0).cast("int")).alias("v"))
     return M.components(e)
 
 

@@ -254,22 +254,22 @@ def j10(spark, d):
 
 @query(
     "j11_match_substring",
-    """WITH f AS (SELECT 'run/' || s_name || '_' || s_suppkey || '.parquet' AS path FROM supplier), m AS (SELECT s_name || '_' AS name FROM supplier WHERE s_suppkey % 3 = 0),
+    """WITH f AS (SELECT 'run/' || s_name || '_' || s_suppkey || '.parquet' AS path FROM supplier), m AS (SELECT s_name || '_' AS name FROM supplier ),
     h AS (SELECT path, name FROM f JOIN m ON contains(path, name)) SELECT path, name FROM h QUALIFY count(*) OVER (PARTITION BY path) = 1 AND count(*) OVER (PARTITION BY name) = 1""",
 )
 def j11(spark, d):
     s = load(spark, d, "supplier")
     files = s.select(F.concat(F.lit("run/"), "s_name", F.lit("_"), F.col("s_suppkey").cast("string"), F.lit(".parquet")).alias("path"))
-    return J.match_substring(files, s.where("s_suppkey % 3 = 0").select(F.concat("s_name", F.lit("_")).alias("name")), "path", "name")
+    return J.match_substring(files, s.select(F.concat("s_name", F.lit("_")).alias("name")), "path", "name")
 
 
-_INTERVALS_SQL = "i AS (SELECT l_orderkey AS id, l_linenumber AS ln, l_suppkey AS k, (l_quantity * 7)::INT AS start, (l_quantity * 7)::INT + 5 + l_linenumber AS \"end\" FROM lineitem WHERE l_suppkey % 5 = 0)"
+_INTERVALS_SQL = "i AS (SELECT l_orderkey AS id, l_linenumber AS ln, l_partkey AS k, (l_quantity * 7)::INT AS start, (l_quantity * 7)::INT + 5 + l_linenumber AS \"end\" FROM lineitem)"
 
 
 def _intervals(spark, d):
-    li = load(spark, d, "lineitem").where("l_suppkey % 5 = 0")
+    li = load(spark, d, "lineitem")
     start = (F.col("l_quantity") * 7).cast("int")
-    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.col("l_suppkey").alias("k"), start.alias("start"), (start + 5 + F.col("l_linenumber")).alias("end"))
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("k"), start.alias("start"), (start + 5 + F.col("l_linenumber")).alias("end"))
 
 
 @query(
@@ -290,11 +290,12 @@ def j13(spark, d):
 
 @query(
     "j16_maximal_sets",
-    """WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey % 12)) AS items FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1)
-    SELECT k, array_to_string(items, ',') AS items FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.k <> s.k AND list_has_all(t.items, s.items) AND (len(t.items) > len(s.items) OR t.k < s.k))""",
+    """WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey % 12)) AS items FROM lineitem GROUP BY 1),
+    u AS (SELECT items, min(k) AS k FROM s GROUP BY 1)
+    SELECT k, array_to_string(items, ',') AS items FROM u WHERE NOT EXISTS (SELECT 1 FROM u t WHERE len(t.items) > len(u.items) AND list_has_all(t.items, u.items))""",
 )
 def j16(spark, d):
-    s = load(spark, d, "lineitem").where("l_orderkey % 40 = 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 12)).alias("items"))
+    s = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 12)).alias("items"))
     return J.maximal_sets(s, "k", "items").select("k", F.array_join("items", ",").alias("items"))
 
 

@@ -9,12 +9,12 @@ from quillon.plans.registry import query
 from quillon.plans.statistics import rounded
 from quillon.session import load
 
-_S = "s AS (SELECT p_partkey AS id, translate(substr(md5(p_name || p_partkey), 1, 16), '0123456789abcdef', 'AACDEFGHIKAACC-A') AS seq, p_size % 5 AS g FROM part WHERE p_partkey <= 400)"
+_S = "s AS (SELECT p_partkey AS id, translate(substr(md5(p_name || p_partkey), 1, 16), '0123456789abcdef', 'AACDEFGHIKAACC-A') AS seq, p_brand || '/' || p_size AS g FROM part)"
 
 
-def _seqs(spark, d, rows="p_partkey <= 400"):
-    p = load(spark, d, "part").where(rows)
-    return p.select(F.col("p_partkey").alias("id"), F.translate(F.substring(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), 1, 16), "0123456789abcdef", "AACDEFGHIKAACC-A").alias("seq"), (F.col("p_size") % 5).alias("g"))
+def _seqs(spark, d):
+    p = load(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.translate(F.substring(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), 1, 16), "0123456789abcdef", "AACDEFGHIKAACC-A").alias("seq"), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("g"))
 
 
 @query("sq1_kmers", f"WITH {_S} SELECT id, i::INT AS start, substr(seq, i::INT + 1, 9) AS kmer FROM s, range(0, 8) r(i)")
@@ -103,7 +103,7 @@ def sq11(spark, d):
 
 @query("sq13_alignment")
 def sq13(spark, d):
-    s = _seqs(spark, d, "true")
+    s = _seqs(spark, d)
     pairs = s.join(s.select("g", F.col("id").alias("id_b"), F.col("seq").alias("seq_b")), "g").where("id < id_b")
     return Q.alignment_distances(pairs, "seq", "seq_b", lambda x, y: SCORES.get((x, y), -1.0), ["id", "id_b"])
 
@@ -126,12 +126,12 @@ def sq17(spark, d):
     return s.join(s.select((F.col("id") - 1).alias("id"), F.col("seq").alias("seq_b")), "id").select("id", Q.compare_sequences("seq", "seq_b").alias("diff"))
 
 
-_I = "i AS (SELECT p_partkey AS id, p_size % 10 AS u, (p_partkey * 7919 % 400)::INT AS start, (p_partkey * 7919 % 400)::INT + 8 + p_size % 8 AS \"end\" FROM part WHERE p_partkey <= 300)"
+_I = "i AS (SELECT p_partkey AS id, p_size AS u, (p_partkey * 7919 % 2000)::INT AS start, (p_partkey * 7919 % 2000)::INT + 8 + p_size % 8 AS \"end\" FROM part)"
 
 
-def _responses(spark, d, rows="p_partkey <= 300"):
-    start = (F.col("p_partkey") * 7919 % 400).cast("int")
-    return load(spark, d, "part").where(rows).select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("u"), start.alias("start"), (start + 8 + F.col("p_size") % 8).alias("end"))
+def _responses(spark, d):
+    start = (F.col("p_partkey") * 7919 % 2000).cast("int")
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("u"), start.alias("start"), (start + 8 + F.col("p_size") % 8).alias("end"))
 
 
 @query("ep1_islands", f"WITH {_I}, r AS (SELECT *, max(\"end\") OVER (PARTITION BY u ORDER BY start, \"end\", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i) SELECT id, u, (sum(coalesce((start >= r)::INT, 1)) OVER (PARTITION BY u ORDER BY start, \"end\", id ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS island FROM r")
@@ -141,14 +141,14 @@ def ep1(spark, d):
 
 @query("ep2_epitopes")
 def ep2(spark, d):
-    r = Q.islands(_responses(spark, d, "true"), ["u"], "start", "end", "id")
+    r = Q.islands(_responses(spark, d), ["u"], "start", "end", "id")
     seq = F.array_join(F.transform(F.sequence(F.col("start"), F.col("end") - 1), lambda p: F.substring(F.lit("ACDEFGHIKLMNPQRSTVWY"), (p * 7 % 20 + 1).cast("int"), F.lit(1))), "")
     return Q.epitopes(r.withColumn("seq", seq), "u", "island", "id", "start", "end", "seq")
 
 
-@query("set3_shared_coordinates", f"WITH {_I}, g AS (SELECT u, max(start) AS s, min(\"end\") AS e FROM i WHERE id % 40 < 3 GROUP BY 1), n AS (SELECT u, count(DISTINCT p) AS n FROM (SELECT u, unnest(range(start, \"end\")) AS p FROM i WHERE id % 40 < 3) GROUP BY 1) SELECT u, CASE WHEN s < e THEN s END AS start, CASE WHEN s < e THEN e END AS \"end\", n AS union_size FROM g JOIN n USING (u)")
+@query("set3_shared_coordinates", f"WITH {_I}, g AS (SELECT u, start // 16 AS b, max(start) AS s, min(\"end\") AS e FROM i GROUP BY 1, 2), n AS (SELECT u, b, count(DISTINCT p) AS n FROM (SELECT u, start // 16 AS b, unnest(range(start, \"end\")) AS p FROM i) GROUP BY 1, 2) SELECT u, b, CASE WHEN s < e THEN s END AS start, CASE WHEN s < e THEN e END AS \"end\", n AS union_size FROM g JOIN n USING (u, b)")
 def set3(spark, d):
-    return Q.shared_coordinates(_responses(spark, d).where("id % 40 < 3"), ["u"], "start", "end")
+    return Q.shared_coordinates(_responses(spark, d).withColumn("b", F.floor(F.col("start") / 16)), ["u", "b"], "start", "end")
 
 
 @query("hs2_hotspots", f"WITH {_S}, k AS (SELECT g, i::INT AS start, sum(CASE WHEN substr(seq, i::INT + 1, 1) = 'A' THEN 1.5 ELSE 0.25 END)::DOUBLE AS v FROM s, range(0, 8) r(i) GROUP BY 1, 2) SELECT g, (start + j)::INT AS site, round(sum(v), 4) AS score FROM k, range(0, 9) t(j) GROUP BY 1, 2")

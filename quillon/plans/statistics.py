@@ -59,6 +59,15 @@ _ADJ = {
     "sidak": "1 - pow(1 - p, m)",
     "simes-hochberg": "min(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY g ORDER BY i DESC ROWS UNBOUNDED PRECEDING)",
 }
+_TIES = "d AS (SELECT p_size / 51.0 AS p, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p, sum(n) OVER (ORDER BY p) AS i, sum(n) OVER () AS m FROM d)"
+
+
+@query("st24_ties", f"WITH {_TIES}, q AS (SELECT p, min(least(1.0, p * m / i)) OVER (ORDER BY p DESC) AS bh, min(least(1.0, (m - i + 1) * p)) OVER (ORDER BY p DESC) AS sh FROM r) SELECT p_partkey, round(bh, 9) AS fdr_bh, round(sh, 9) AS simes_hochberg FROM part JOIN q ON p_size / 51.0 = p")
+def st24_ties(spark, d):
+    p = load(spark, d, "part").select("p_partkey", (F.col("p_size") / 51.0).alias("p"))
+    return rounded(T.adjust(T.adjust(p, "p", "fdr_bh", name="fdr_bh"), "p", "simes-hochberg", name="simes_hochberg").drop("p"), 9)
+
+
 for _m, _sql in _ADJ.items():
 
     @query(

@@ -23,6 +23,6 @@ def test_runs(spark, name):
 def test_entry_without_the_optional_part(monkeypatch):
     import __spark_entry__
 
-    monkeypatch.setattr(__spark_entry__, "_llm", lambda: None)
+    monkeypatch.setattr(__spark_entry__, "_llm", lambda: ({}, {}))
     assert set(__spark_entry__.queries()) == set(registry.QUERIES)
     assert set(__spark_entry__.oracle_sql()) == set(registry.ORACLES)

@@ -41,5 +41,48 @@ def test_every_supplier_and_part_counts(spark):
 
 def test_sq13_aligns_every_pair(spark):
     small = "/root/testdata/sf0.001"
-    sizes = spark.read.parquet(f"{small}/part.parquet").groupBy(F.col("p_size") % 5).count().toPandas()["count"]
+    sizes = spark.read.parquet(f"{small}/part.parquet").groupBy("p_brand", "p_size").count().toPandas()["count"]
     assert registry.QUERIES["sq13_alignment"](spark, small).count() == (sizes * (sizes - 1) // 2).sum()
+
+
+def test_ep2_finds_all_maximal_sets(spark):
+    from quillon.operators import sequences
+
+    text = "ACDEFGHIKLMNPQRSTVWYAC"
+    given = [(1, 0, 20), (2, 1, 10), (3, 12, 20), (4, 1, 10)]  # 1 shares with 2 and with 3, which share nothing; 4 is placed as 2
+    rows = spark.createDataFrame([(1, 0, k, a, b, text[a:b]) for k, a, b in given], "u int, island int, id int, start int, end int, seq string")
+    got = sequences.epitopes(rows, "u", "island", "id", "start", "end", "seq").collect()
+    sets = {}
+    for r in got:
+        sets.setdefault(r["epitope"], set()).add((r["id"], r["floater"]))
+    assert sorted(map(sorted, sets.values())) == [[(1, 1), (2, 0), (4, 0)], [(1, 1), (3, 0)]]
+
+
+def test_qt2_equals_numeric_integration(spark):
+    from quillon.operators import estimators
+
+    x = np.sort(np.random.default_rng(0).normal(size=41))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    grid = np.linspace(0, 1, 400_001)[1:-1]
+
+    def beta_cdf(a, b, at):  # by sums over a fine grid
+        w = np.exp((a - 1) * np.log(grid) + (b - 1) * np.log(1 - grid) - np.max((a - 1) * np.log(grid) + (b - 1) * np.log(1 - grid)))
+        return w[grid <= at].sum() / w.sum()
+
+    for method in ("exact", "approximate"):
+        r = estimators.quantile_interval(df, "x", 0.3, 0.05, method).first()
+        for value, level in ((r["lo"], 0.025), (r["hi"], 0.975)):
+            share = np.interp(value, x, np.linspace(0, 1, len(x)))
+            got = 1 - beta_cdf(42 * share, 42 * (1 - share), 0.3) if method == "exact" else beta_cdf(42 * 0.3, 42 * 0.7, share)
+            assert abs(got - level) < 2e-3
+        assert np.isclose(r["quantile"], np.quantile(x, 0.3))
+    assert estimators.quantile_interval(df.limit(0), "x", 0.5).first()["lo"] is None
+
+
+def test_na1_sample_does_not_depend_on_partitions(spark):
+    from quillon.operators import columns
+
+    df = spark.createDataFrame([(k, float(k) if k % 3 else None, k % 7 or None) for k in range(600)], "k int, x double, y int")
+    a, b = ({r["k"]: (r["x"], r["y"]) for r in columns.impute(df.repartition(n), ["x", "y"], "sample").collect()} for n in (1, 7))
+    assert a == b and len(a) == 600 and all(x is not None and y is not None for x, y in a.values())
+    assert all(a[k][0] == k for k in range(600) if k % 3) and len({a[k][0] for k in range(0, 600, 3)}) > 100
