@@ -86,3 +86,55 @@ def test_na1_sample_does_not_depend_on_partitions(spark):
     a, b = ({r["k"]: (r["x"], r["y"]) for r in columns.impute(df.repartition(n), ["x", "y"], "sample").collect()} for n in (1, 7))
     assert a == b and len(a) == 600 and all(x is not None and y is not None for x, y in a.values())
     assert all(a[k][0] == k for k in range(600) if k % 3) and len({a[k][0] for k in range(0, 600, 3)}) > 100
+
+
+def test_intervals_of_ratios(spark):
+    import math
+    from statistics import NormalDist
+
+    from quillon.operators import comparisons as C
+
+    rows = [(12, 90, 25, 110), (0, 40, 7, 35), (5, 50, 0, 45), (30, 30, 12, 40), (3, 20, 30, 30), (0, 30, 30, 30)]
+    df = spark.createDataFrame(rows, "x1 int, n1 int, x2 int, n2 int")
+    lo, hi, rr = C.risk_score_interval("x1", "n1", "x2", "n2")
+    z = NormalDist().inv_cdf(0.975)
+
+    def score(r, x1, n1, x2, n2):  # chi-squared at the likelihood's greatest, found by search
+        p2 = np.linspace(1e-7, min(1, 1 / r) - 1e-9, 200_001)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            like = sum(np.where(k > 0, k * np.log(v), 0) for k, v in ((x1, r * p2), (n1 - x1, 1 - r * p2), (x2, p2), (n2 - x2, 1 - p2)))
+        b = p2[np.argmax(like)]
+        a = r * b
+        return (x1 - n1 * a) ** 2 / (n1 * a * (1 - a)) + (x2 - n2 * b) ** 2 / (n2 * b * (1 - b))
+
+    for given, r in zip(rows, df.select(lo.alias("lo"), hi.alias("hi"), rr.alias("rr")).collect()):
+        x1, n1, x2, n2 = given
+        assert math.isclose(r["rr"], (x1 + 0.5) / (n1 + 1) / ((x2 + 0.5) / (n2 + 1)))
+        for end, edge in ((r["lo"], x1 == 0), (r["hi"], x2 == 0)):
+            assert end == (0 if end is r["lo"] else math.inf) if edge else abs(score(end, *given) - z * z) < 0.05
+    got = df.limit(1).select(*(c.alias(n) for c, n in zip(C.conditional_efficacy("x1", "n1", "x2", "n2"), ("ve", "lo", "hi", "p")))).first()
+    q = 90 / 200
+    assert math.isclose(got["p"], sum(math.comb(37, k) * q**k * (1 - q) ** (37 - k) for k in range(13)), rel_tol=1e-9)
+    got = df.limit(1).select(C.unconditional_efficacy("x1", "n1", "x2", "n2")[3].alias("p"), C.relative_risk(F.lit(12), F.lit(78), F.lit(25), F.lit(85))[3].alias("q")).first()
+    ratio, se = math.log(12 / 90 / (25 / 110)), math.sqrt(78 / (12 * 90) + 85 / (25 * 110))
+    assert math.isclose(got["p"], NormalDist().cdf(ratio / se), abs_tol=1e-6) and math.isclose(got["q"], 1 - NormalDist().cdf(abs(ratio) / se), abs_tol=1e-6)
+
+
+def test_label_statistics(spark):
+    from quillon.operators import comparisons as C
+
+    rng = np.random.default_rng(1)
+    values = [(s, f, float(rng.normal() + (s < 8) * f)) for s in range(16) for f in range(3)]
+    v = spark.createDataFrame(values, "s int, f int, x double")
+    labels = spark.createDataFrame([(s, s < 8, float(s)) for s in range(16)], "s int, lab boolean, num double")
+    x = np.array([r[2] for r in values]).reshape(16, 3)
+    a, b = x[:8], x[8:]
+    t = (a.mean(0) - b.mean(0)) / np.sqrt((a.var(0, ddof=1) + b.var(0, ddof=1)) / 2 * (2 / 8))
+    rank = lambda m: np.argsort(np.argsort(m, axis=0), axis=0)
+    rho = [np.corrcoef(rank(x[:, k]), np.arange(16))[0, 1] for k in range(3)]
+    for kind, label, want in (("t", "lab", t), ("rho", "num", rho)):
+        got = {r["f"]: r for r in C.label_permutation_tests(v, "s", ["f"], "x", labels, label, 99, kind).collect()}
+        assert np.allclose([got[k]["observed"] for k in range(3)], want)
+        assert got[2]["p"] < 0.1 and all(0 < r["p"] <= 1 for r in got.values())
+    for kind, summary, want in (("t", "sum", np.abs(t).sum()), ("dmean", "max", ((a.mean(0) - b.mean(0)) ** 2).max())):
+        assert np.isclose(C.global_label_test(v, "s", ["f"], "x", labels, "lab", 19, kind, summary).first()["observed"], want)
