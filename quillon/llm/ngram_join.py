@@ -48,9 +48,11 @@ SKETCH_BITS = 21
 SLICES = 16
 BLOCK = 1024  # classes of a block
 BLOCK_SHINGLES = 2_000_000
+TASK_ROWS = 4096  # rows of blocks for a task
 RANGE_TOKENS = 4_000_000  # prefix shingles of a task
 HOT = 20  # log2 of the holders, over the mean of a cell of the sketch, from which a shingle is dealt to several tasks
 TOKEN_BYTES = 5
+BITMAP_BITS = 24
 
 
 def _set_batches(batches, size):
@@ -149,36 +151,59 @@ def set_table(docs: DataFrame, threshold: Fraction, size: int, logs: np.ndarray,
     return out
 
 
+def _narrow(fields) -> bytes:
+    """Arrays of whole numbers from 0 on, each in the least width that holds it."""
+    out = []
+    for x in fields:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+        out += [np.array([width, len(x)], "<i4").tobytes(), x.astype(f"<u{width}").tobytes()]
+    return b"".join(out)
+
+
+def _widen(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        width, n = np.frombuffer(raw, "<i4", 2, at).tolist()
+        out.append(np.frombuffer(raw, f"<u{width}", n, at + 8).astype(np.int64))
+        at += 8 + width * n
+    return out
+
+
 def _deal(reps: DataFrame, parts: int, logs: np.ndarray, bits: int, hot: int) -> DataFrame:
     """Prefix tokens of the classes, packed by hash range: (part, blob).
 
     A token of a sketch cell that counts 2 ** hot shingles or more is dealt by token and
     class, to as many ranges as the count asks for.
     """
-    kind = np.dtype([("token", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4")])
+    kind = np.dtype([("token", "<i8"), ("doc", "<i4"), ("pos", "<i4"), ("salt", "<i4")])
     sent = reps.sparkSession.sparkContext.broadcast(logs)
 
-    def pack_rows(got):
-        rows = np.concatenate(got)
-        rows = rows[np.lexsort((rows["salt"], rows["token"]))]
-        part = (mix(rows["token"].astype(U64) + (rows["salt"].astype(U64) << U64(40))) % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    def pack_rows(got, keys, ns):
+        rows, keys, ns = np.concatenate(got), np.array(keys, np.int64), np.array(ns, np.int64)
+        part = (rows["token"] * parts >> 8 * TOKEN_BYTES) + np.maximum(rows["salt"], 0)
+        part %= parts
+        order = np.lexsort((rows["salt"], rows["token"], part))
+        part = part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
         squeeze = zstandard.ZstdCompressor(level=1)
-        keys, blobs = [], []
+        names, blobs = [], []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             some = rows[order[a:b]]
-            keys.append(int(part[order[a]]))
-            blobs.append(squeeze.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in (np.diff(some["token"], prepend=0), some["key"], some["n"], some["pos"], some["salt"]))))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+            docs, doc = np.unique(some["doc"], return_inverse=True)
+            fields = (np.diff(some["token"], prepend=0), doc, some["pos"], some["salt"] + 1, np.diff(keys[docs], prepend=0), ns[docs])
+            names.append(int(part[a]))
+            blobs.append(squeeze.compress(_narrow(fields)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def deal(batches):
-        got, held, log = [], 0, sent.value
+        got, keys, ns, held, log = [], [], [], 0, sent.value
         for batch in batches:
             for i, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 tokens = _unpack(raw.as_py())
                 rows = np.empty(len(tokens), kind)
-                rows["token"], rows["key"], rows["n"], rows["pos"], rows["salt"] = tokens, i, n, np.arange(len(tokens)), -1
+                rows["token"], rows["doc"], rows["pos"], rows["salt"] = tokens, len(keys), np.arange(len(tokens)), -1
+                keys.append(i)
+                ns.append(n)
                 holders = log[tokens >> (8 * TOKEN_BYTES - bits)].astype(np.int64)
                 many = np.flatnonzero(holders >= hot)
                 if len(many):
@@ -186,10 +211,10 @@ def _deal(reps: DataFrame, parts: int, logs: np.ndarray, bits: int, hot: int) ->
                 got.append(rows)
                 held += len(rows)
                 if held > 2_000_000:
-                    yield pack_rows(got)
-                    got, held = [], 0
+                    yield pack_rows(got, keys, ns)
+                    got, keys, ns, held = [], [], [], 0
         if held:
-            yield pack_rows(got)
+            yield pack_rows(got, keys, ns)
 
     return reps.select("key", "n", "prefix").mapInArrow(deal, "part int, blob binary")
 
@@ -206,12 +231,9 @@ def _buckets(dealt: DataFrame, num: int, den: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         cols = [[], [], [], [], []]
         for blob in table.column("blob"):
-            raw = zstandard.decompress(blob.as_py())
-            k = len(raw) // 28
-            cols[0].append(np.cumsum(np.frombuffer(raw, "<i8", k)))
-            cols[1].append(np.frombuffer(raw, "<i8", k, 8 * k))
-            for c, at in ((2, 16), (3, 20), (4, 24)):
-                cols[c].append(np.frombuffer(raw, "<i4", k, at * k))
+            step, doc, pos, salt, keys, ns = _widen(zstandard.decompress(blob.as_py()))
+            for c, x in zip(cols, (np.cumsum(step), np.cumsum(keys)[doc], ns[doc].astype(np.int32), pos.astype(np.int32), (salt - 1).astype(np.int32))):
+                c.append(x)
         token, key, n, pos, salt = (np.concatenate(c) for c in cols)
         order = np.lexsort((n, salt, token))
         t, m, s = token[order], n[order].astype(np.int64), salt[order]
@@ -263,12 +285,54 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     return stage(wide.mapInArrow(bound, "u long, v long"))
 
 
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """2 ** BITMAP_BITS bits, those of the ``hashes(h)`` set: a fixed size at any input; when full it holds nothing back."""
+    width = (1 << BITMAP_BITS) // SLICES
+
+    def mark(batches):
+        bits, some = np.zeros(1 << BITMAP_BITS, np.uint8), False
+        for batch in batches:
+            some = True
+            bits[(mix(np.asarray(batch.column(0)).view(U64)) >> U64(64 - BITMAP_BITS)).astype(np.int64)] = 1
+        if some:
+            pack = zstandard.ZstdCompressor(level=1)
+            blobs = [pack.compress(np.packbits(bits[k * width : (k + 1) * width]).tobytes()) for k in range(SLICES)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bits": pa.array(blobs, pa.binary())})
+
+    def join(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint8)
+                sums[k] = sums[k] | part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "bits": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for row in hashes.select("h").mapInArrow(mark, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(join, "slice int, bits binary").collect():
+        out[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def _texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text) of some classes, from the documents themselves, one row each."""
+    """(key, text) of some classes, from the documents themselves, one row each.
+
+    A bitmap of the wanted rows goes to all tasks, so that few other texts are shuffled.
+    """
+    h = F.xxhash64("id", "th").alias("h")
     wanted = stage(reps.select("key", "id", "th").join(keys.select("key").distinct(), "key"))
-    given = docs.select("id", F.xxhash64("text").alias("th"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(h)))
+
+    def keep(batches):
+        bits = sent.value
+        for batch in batches:
+            at = (mix(np.asarray(batch.column(3)).view(U64)) >> U64(64 - BITMAP_BITS)).astype(np.int64)
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["id", "th", "text"])
+
+    given = docs.select("id", F.xxhash64("text").alias("th"), "text").select("id", "th", "text", h).mapInArrow(keep, "id long, th long, text string")
     out = stage(given.join(wanted, ["id", "th"]).groupBy("id", "th").agg(F.first("key").alias("key"), F.first("text").alias("text")).select("key", "text"))
     discard(wanted)
+    sent.destroy()
     return out
 
 
@@ -329,34 +393,43 @@ def _across(group: DataFrame, reps: DataFrame, docs: DataFrame, threshold: Fract
         n = n.astype(np.int64)
         same_block = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         raw = [np.frombuffer(b.as_py(), np.uint8) for b in table.column("bins")]
-        order = np.argsort(n, kind="stable")
-        by_n = n[order]
-        coarse = [_fold(raw[k], min(len(raw[k]), 64)) for k in order.tolist()]
-        level = np.array([len(c) for c in coarse])
-        tables, place = {}, np.zeros(len(n), np.int64)
-        for width in np.unique(level).tolist():
-            some = np.flatnonzero(level == width)
-            place[some] = np.arange(len(some))
-            tables[width] = np.stack([coarse[j] for j in some.tolist()])
+        level = np.array([min(len(r), 64) for r in raw])
+        coarse = {w: np.stack([np.minimum(_fold(raw[k], w), 65535) for k in np.flatnonzero(level == w)]).astype(np.uint16) for w in np.unique(level).tolist()}
+        mine = {w: np.flatnonzero(level == w) for w in coarse}
         keep = np.zeros(len(n), bool)
-        for k in np.flatnonzero(out).tolist():
-            a = np.searchsorted(by_n, -(-num * n[k] // den), "left")
-            b = np.searchsorted(by_n, den * n[k] // num, "right")
-            near = np.arange(a, b)
-            near = near[(comp[order[near]] != comp[k]) & (same_block | (own[order[near]] != own[k]))]
-            mine = _fold(raw[k], min(len(raw[k]), 64))
-            for width in np.unique(level[near]).tolist():
-                some = near[level[near] == width]
-                least = min(width, len(mine))
-                table_ = tables[width][place[some]].reshape(len(some), least, -1).sum(axis=2)
-                most = np.minimum(table_, mine.reshape(least, -1).sum(axis=1)).sum(axis=1)
-                for j in order[some[most * (num + den) >= num * (by_n[some] + n[k])]].tolist():
-                    fine = min(len(raw[j]), len(raw[k]))
-                    if fine <= 64 or int(np.minimum(_fold(raw[j], fine), _fold(raw[k], fine)).sum()) * (num + den) >= num * int(n[j] + n[k]):
-                        keep[j] = keep[k] = True
+        for w, rows in mine.items():
+            outs = np.flatnonzero(out[rows])
+            outs = outs[np.argsort(n[rows[outs]], kind="stable")]
+            for at in range(0, len(outs), 64):
+                some = outs[at : at + 64]
+                a, x = rows[some], coarse[w][some].astype(np.int32)
+                for v, others in mine.items():
+                    least = min(v, w)
+                    near = np.flatnonzero((n[others] * den >= n[a[0]] * num) & (n[others] * num <= n[a[-1]] * den))
+                    if not len(near):
+                        continue
+                    b = others[near]
+                    y = coarse[v][near].astype(np.int32).reshape(len(b), least, -1).sum(axis=2).astype(np.int32)
+                    x2 = x.reshape(len(a), least, -1).sum(axis=2).astype(np.int32)
+                    most = np.zeros((len(a), len(b)), np.int32)
+                    for k in range(least):
+                        most += np.minimum(x2[:, k, None], y[None, :, k])
+                    total = n[a][:, None] + n[b]
+                    low, high = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
+                    good = (most * (num + den) >= num * total) & (low * den >= high * num) & (comp[a][:, None] != comp[b])
+                    if not same_block:
+                        good &= own[a][:, None] != own[b]
+                    for i, j in zip(*np.nonzero(good)):
+                        i, j = a[i], b[j]
+                        fine = min(len(raw[i]), len(raw[j]))
+                        if not (keep[i] and keep[j]) and (fine <= 64 or int(np.minimum(_fold(raw[i], fine), _fold(raw[j], fine)).sum()) * (num + den) >= num * int(n[i] + n[j])):
+                            keep[i] = keep[j] = True
         return table.select(["main", "lo", "hi", "key", "comp", "out", "own"]).filter(pa.array(keep))
 
-    some = stage(dealt.join(reps.select("key", "n", "bins"), "key").groupBy("main", "lo", "hi").applyInArrow(may_link, columns))
+    # The work grows with rows, not bytes, so the number of tasks is set by rows.
+    tasks = max(1, dealt.count() // TASK_ROWS)
+    spread = dealt.join(reps.select("key", "n", "bins"), "key").repartition(tasks, "main", "lo", "hi")
+    some = stage(spread.groupBy("main", "lo", "hi").applyInArrow(may_link, columns))
     discard(dealt)
 
     def compare(table: pa.Table) -> pa.Table:
