@@ -25,7 +25,7 @@ from quillon.session import load, stage
 
 #: Shares of the corpus's expected tokens, and its growth by repeats. No document goes, so a
 #: domain that holds more than its share of the growth stays over its target.
-TARGETS = {"high": 0.81, "low": 0.17, "toxic": 0.02}
+TARGETS = {"high": 0.80, "low": 0.17, "toxic": 0.03}
 BUDGET = 1.25
 
 

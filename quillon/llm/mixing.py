@@ -155,9 +155,11 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budg
     Rows that repeat a doc_id count each. An empty table stays empty.
     """
     given = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))
-    # Written, so that the posteriors are made once: the optimizer would push the
-    # filter on the number of copies through them and make them again for each use.
-    scored = stage(posteriors(given, *classifier(docs, labels, sample)).drop("text"))
-    rate = solve(scored.drop("_doc"), targets, budget, floor)
+    model = classifier(docs, labels, sample)
+    rate = solve(posteriors(docs.select("text"), *model), targets, budget, floor)
+    # The posteriors are made once for the sums by cell and once for the copies, and no text is
+    # written. The row number keeps the optimizer from making them again for the filter on the copies.
+    scored = posteriors(given, *model).drop("text").withColumn("_row", F.monotonically_increasing_id())
     u = F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return scored.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.floor(rate + u).cast("int")))).select("_doc.*")
+    copies = scored.select("_doc", F.floor(rate + u).cast("int").alias("_n"), "_row")
+    return copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_doc.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._text import U64, buffers, prefix_sums, slices, span_hash, words
-from quillon.session import stage
+from quillon.session import discard, stage
 
 PARTS = (3, 4, 5, 6, 7, 8)
 _TABLE_BITS = 22
@@ -133,7 +133,9 @@ def choose_terms(sample: DataFrame, most: int = 4000, least: int = 4) -> np.ndar
     lift = (x + 0.5) / (n1 + 1) / ((n - x + 0.5) / (n0 + 1))
     rare = counts.where((x >= least) & (lift > 2)).orderBy((x * F.log(lift)).desc(), "term").limit(most)  # most of the clear words are rare
     sure = counts.where(apart > float(np.log(max(2, terms)))).orderBy(apart.desc(), "term").limit(most)
-    return np.unique(np.array([r["term"] for r in rare.union(sure).select("term").collect()], np.int64).view(U64))
+    chosen = [r["term"] for r in rare.union(sure).select("term").collect()]
+    discard(counts)
+    return np.unique(np.array(chosen, np.int64).view(U64))
 
 
 def learn(terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0), rank: int = 4, steps: int = 250, seed: int = 7) -> FactorizationMachine:
@@ -220,6 +222,13 @@ def train(sample: DataFrame, counts: dict[int, int], terms: int = 4000) -> Facto
     return learn(chosen, rows, at, labels, rates)
 
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int, terms: int) -> FactorizationMachine:
+    rows, counts = sample_rows(docs, labels, sample)
+    model = train(rows, counts, terms)
+    discard(rows)
+    return model
+
+
 def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """(doc_id, score) of every whole text; a null or empty text gets the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -243,7 +252,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     count as 1. Without labelled rows of both kinds every score is low. An empty table
     gives an empty result. Other columns are not read.
     """
-    model = train(*sample_rows(docs, labels, sample), terms)
+    model = fit(docs, labels, sample, terms)
     scored = score_documents(docs, model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -256,7 +265,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sampl
     each by its text. Without labelled rows, and for an empty table, nothing goes.
     Names of other columns do not matter.
     """
-    model = train(*sample_rows(docs, labels, sample), terms)
+    model = fit(docs, labels, sample, terms)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
