@@ -63,11 +63,13 @@ def one_way_marginals(df: DataFrame, column: str, markers: list[str], keys: list
 def gate_counts(df: DataFrame, subsets: list[str], functions: list[str], keys: list[str] = (), least: int = 0, complete: bool = True) -> DataFrame:
     """For each subset gate and each sign vector of the function gates: ``cytnum`` cells, of ``nsub`` in the subset.
 
-    One group-by of the sign vector; with ``complete`` the vectors that no cell has appear as zero.
+    One group-by of the two sign vectors, whose counts then go to the subsets; with
+    ``complete`` the vectors that no cell has appear as zero.
     """
-    bits = sum((F.col(f"`{f}`").cast("int") * (1 << k) for k, f in enumerate(functions)), F.lit(0))
-    long = df.select(*keys, bits.alias("bits"), F.explode(F.filter(F.array(*(F.when(F.col(f"`{s}`"), F.lit(s)) for s in subsets)), lambda x: x.isNotNull())).alias("subset"))
-    counts = long.groupBy(*keys, "subset", "bits").agg(F.count(F.lit(1)).alias("cytnum"))
+    vector = lambda names: sum((F.coalesce(F.col(f"`{f}`"), F.lit(False)).cast("int") * (1 << k) for k, f in enumerate(names)), F.lit(0))
+    fine = df.groupBy(*keys, vector(subsets).alias("_gates"), vector(functions).alias("bits")).agg(F.count(F.lit(1)).alias("cytnum"))
+    inside = F.filter(F.array(*(F.when(F.col("_gates").bitwiseAND(F.lit(1 << k)) != 0, F.lit(s)) for k, s in enumerate(subsets))), lambda x: x.isNotNull())
+    counts = fine.withColumn("subset", F.explode(inside)).groupBy(*keys, "subset", "bits").agg(F.sum("cytnum").alias("cytnum"))
     if complete:
         grid = counts.select(*keys, "subset").distinct().withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit((1 << len(functions)) - 1))))
         counts = grid.join(counts, [*keys, "subset", "bits"], "left").na.fill(0, ["cytnum"])

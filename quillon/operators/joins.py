@@ -66,6 +66,14 @@ def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], bin_size: int)
     return pairs.where(F.col("_bin") == F.floor(F.greatest("start", "start_b") / bin_size)).drop("_bin")
 
 
+def near_pairs(df: DataFrame, key: str, value: str, radius: float, by: list[str] = ()) -> DataFrame:
+    """(key, key_b, d) of rows whose values differ by at most ``radius``, both orders: an equi-join on bins of that width."""
+    cell = range_column(F.col(value), radius)
+    left = df.select(*by, key, F.col(value).alias("_v"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
+    right = df.select(*by, F.col(key).alias(key + "_b"), F.col(value).alias("_w"), cell.alias("_c"))
+    return left.join(right, [*by, "_c"]).withColumn("d", F.abs(F.col("_v") - F.col("_w"))).where((F.col("d") <= radius) & (F.col(key) != F.col(key + "_b"))).select(*by, key, key + "_b", "d")
+
+
 def all_pairs(df: DataFrame, key: str, by: list[str], symmetric: bool = True) -> DataFrame:
     """Pairs of rows within a group (all of it if ``by`` is empty), i < j if symmetric; right columns get ``_b``."""
     right = df.select(*(F.col(c).alias(c if c in by else c + "_b") for c in df.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.distributions import normal_cdf_sql
 from quillon.operators import association as S
 from quillon.operators import estimators as E
 from quillon.operators import tests as T
@@ -160,9 +161,12 @@ def st15(spark, d):
     return _table(spark, d).select("k", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("st16_proportions")
+@query(
+    "st16_proportions",
+    f"WITH {_TAB_SQL}, e AS (SELECT *, a + b AS n1, c + d AS n2, (a + c) / (a + b + c + d) AS q FROM t), x AS (SELECT k, sqrt((a - n1 * q) ** 2 / nullif(n1 * q * (1 - q), 0) + (c - n2 * q) ** 2 / nullif(n2 * q * (1 - q), 0)) AS z FROM e) SELECT k, round(2 * {normal_cdf_sql('-z')}, 6) AS p FROM x",
+)
 def st16(spark, d):
-    return _table(spark, d).select("k", T.proportions_p("a", F.col("a") + F.col("b"), "c", F.col("c") + F.col("d")).alias("p"))
+    return rounded(_table(spark, d).select("k", T.proportions_p("a", F.col("a") + F.col("b"), "c", F.col("c") + F.col("d")).alias("p")), 6)
 
 
 @query(
@@ -175,17 +179,28 @@ def st7(spark, d):
     return T.chi2_clusters(c, "cl", "co", "n").select("cl", F.round("chi2", 6).alias("chi2"), "dof")
 
 
-@query("st8_cluster_tests")
+@query(
+    "st8_cluster_tests",  # three conditions: two degrees, of which the tail is an exponential
+    """WITH c AS (SELECT p_brand AS cl, p_size % 3 AS co, count(*) AS o FROM part GROUP BY 1, 2), g AS (SELECT * FROM (SELECT cl, sum(o) AS r FROM c GROUP BY 1), (SELECT co, sum(o) AS s FROM c GROUP BY 1), (SELECT sum(o) AS t FROM c)),
+    f AS (SELECT cl, r, r * s / t AS e, (t - r) * s / t AS e2, s, coalesce(o, 0) AS o FROM g LEFT JOIN c USING (cl, co)), p AS (SELECT cl, CASE WHEN any_value(r) > 5 THEN exp(-sum((o - e) ** 2 / e + (s - o - e2) ** 2 / e2) / 2) END AS p FROM f GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p WHERE p IS NOT NULL)
+    SELECT cl, round(p, 9) AS p, round(max(least(1.0, (m - i + 1) * p)) OVER (ORDER BY i), 9) AS holm, round(min(least(1.0, p * m / i)) OVER (ORDER BY i DESC), 9) AS fdr FROM i UNION ALL SELECT cl, NULL, NULL, NULL FROM p WHERE p IS NULL""",
+)
 def st8(spark, d):
     c = load(spark, d, "part").groupBy(F.col("p_brand").alias("cl"), (F.col("p_size") % 3).alias("co")).agg(F.count(F.lit(1)).alias("n"))
-    return T.chi2_clusters(c, "cl", "co", "n", 5).select("cl", "p", "holm", "fdr")
+    return rounded(T.chi2_clusters(c, "cl", "co", "n", 5).select("cl", "p", "holm", "fdr"), 9)
 
 
-@query("st20_tails")
+_SUMS = " + ".join(f"(CASE WHEN bit_count(m) >= 3 THEN {' * '.join(f'CASE WHEN m & {1 << i} <> 0 THEN {0.1 * (i + 1):.1f} ELSE {0.9 - 0.1 * i:.1f} END' for i in range(7))} ELSE 0 END)" for _ in (0,))
+
+
+@query(
+    "st20_tails",
+    f"WITH s AS (SELECT s_suppkey, s_suppkey % 20 + 5 AS n, s_nationkey % 5 + 2 AS k FROM supplier), e AS (SELECT sum({_SUMS}) AS e FROM (SELECT m::INT AS m FROM range(0, 128) t(m))) SELECT s_suppkey, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7))) FROM range(0, 25) t(i) WHERE i BETWEEN k AND n), 9) AS binomial, round(e, 9) AS any3 FROM s, e",
+)
 def st20(spark, d):
     s = load(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 20 + 5).alias("n"), (F.col("s_nationkey") % 5 + 2).alias("k"))
     p = F.array(*(F.lit(0.1 * i) for i in range(1, 8)))
-    return s.select("s_suppkey", T.binomial_tail("n", F.lit(0.3), "k").alias("binomial"), T.poisson_binomial_tail(p, 3).alias("any3"))
+    return rounded(s.select("s_suppkey", T.binomial_tail("n", F.lit(0.3), "k").alias("binomial"), T.poisson_binomial_tail(p, 3).alias("any3")), 9)
 
 
 @query("st21_power")
@@ -217,11 +232,14 @@ def st25(spark, d):
     return rounded(T.westfall_young(o, x, "t", "p", "b"), 9)
 
 
-@query("st28_correlation_difference")
+@query(
+    "st28_correlation_difference",
+    f"WITH r AS (SELECT p_brand AS b, corr(p_size, p_retailprice) AS r, count(*) AS n FROM part GROUP BY 1), z AS (SELECT x.b AS b1, y.b AS b2, (atanh(x.r) - atanh(y.r)) / sqrt(1 / (x.n - 3) + 1 / (y.n - 3)) AS z FROM r x JOIN r y ON x.b < y.b) SELECT b1, b2, round(2 * {normal_cdf_sql('-abs(z)')}, 6) AS p FROM z",
+)
 def st28(spark, d):
     r = load(spark, d, "part").groupBy("p_brand").agg(F.corr("p_size", "p_retailprice").alias("r"), F.count(F.lit(1)).alias("n"))
     a, b = r.toDF("b1", "r1", "n1"), r.toDF("b2", "r2", "n2")
-    return a.join(b, F.col("b1") < F.col("b2")).select("b1", "b2", T.correlation_difference_p("r1", "n1", "r2", "n2").alias("p"))
+    return a.join(b, F.col("b1") < F.col("b2")).select("b1", "b2", F.round(T.correlation_difference_p("r1", "n1", "r2", "n2"), 6).alias("p"))
 
 
 # --- correlation
@@ -322,9 +340,9 @@ def ro4(spark, d):
     return rounded(S.roc_points(_scored(spark, d), "s", F.col("o")), 6, "threshold")
 
 
-@query("ro4_roc_thresholds")
+@query("ro4_roc_thresholds", f"WITH {_ROC_SQL}, e AS (SELECT min(s) AS lo, (max(s) - min(s)) / 20 AS w FROM r), b AS (SELECT least(19, floor((s - lo) / w))::INT AS k, o FROM r, e) SELECT round(lo + i * w, 9) AS threshold, count(*) FILTER (k >= i AND o) AS a, count(*) FILTER (k >= i AND NOT o) AS b, count(*) FILTER (k < i AND o) AS c, count(*) FILTER (k < i AND NOT o) AS d FROM b, e, range(1, 20) t(i) GROUP BY i, lo, w")
 def ro4_grid(spark, d):
-    return S.roc_thresholds(_scored(spark, d), "s", F.col("o"), 20)
+    return rounded(S.roc_thresholds(_scored(spark, d), "s", F.col("o"), 20), 9)
 
 
 _AUC = """c AS (SELECT g, s, count(*) FILTER (o) AS p, count(*) FILTER (NOT o) AS q FROM r GROUP BY 1, 2), x AS (SELECT *, sum(q) OVER (PARTITION BY g ORDER BY s ROWS UNBOUNDED PRECEDING) - q / 2 AS below, sum(p) OVER (PARTITION BY g) - sum(p) OVER (PARTITION BY g ORDER BY s ROWS UNBOUNDED PRECEDING) + p / 2 AS above, sum(p) OVER (PARTITION BY g) AS np, sum(q) OVER (PARTITION BY g) AS nq FROM c),
@@ -336,14 +354,22 @@ def ro5(spark, d):
     return S.auc(_scored(spark, d), "s", F.col("o"), ["g"]).select("g", "n_pos", "n_neg", F.round("auc", 6).alias("auc"), F.round("variance", 9).alias("variance"))
 
 
-@query("ro7_auc_interval")
+@query("ro7_auc_interval", f"WITH {_ROC_SQL}, {_AUC}, v AS (SELECT g, s10 / np AS auc, (q10 - s10 ** 2 / np) / (np - 1) / np + (q01 - s01 ** 2 / nq) / (nq - 1) / nq AS v FROM a) SELECT g, round(auc, 6) AS auc, round(greatest(0, auc - {Z} * sqrt(v)), 6) AS lo, round(least(1, auc + {Z} * sqrt(v)), 6) AS hi FROM v")
 def ro7(spark, d):
-    return S.auc_interval(S.auc(_scored(spark, d), "s", F.col("o"), ["g"]))
+    return rounded(S.auc_interval(S.auc(_scored(spark, d), "s", F.col("o"), ["g"])).select("g", "auc", "lo", "hi"), 6)
+
+
+def _score_interval(x: str, n: str) -> list[str]:
+    p = f"({x}::DOUBLE / ({n}))"
+    return [f"round(({p} + {Z}**2 / (2 * ({n})) {sign} {Z} * sqrt(({p} * (1 - {p}) + {Z}**2 / (4 * ({n}))) / ({n}))) / (1 + {Z}**2 / ({n})), 6)" for sign in "-+"]
 
 
-@query("ro8_roc_intervals")
+_TPR, _FPR = _score_interval("tp", "np"), _score_interval("fp", "nq")
+
+
+@query("ro8_roc_intervals", f"WITH {_ROC_SQL}, c AS (SELECT s, count(*) FILTER (o) AS p, count(*) FILTER (NOT o) AS q FROM r GROUP BY 1), x AS (SELECT s AS threshold, (sum(p) OVER w)::BIGINT AS tp, (sum(q) OVER w)::BIGINT AS fp, (sum(p) OVER ())::BIGINT AS np, (sum(q) OVER ())::BIGINT AS nq FROM c WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) SELECT threshold, tp, fp, {_TPR[0]} AS tpr_lo, {_TPR[1]} AS tpr_hi, {_FPR[0]} AS fpr_lo, {_FPR[1]} AS fpr_hi FROM x")
 def ro8(spark, d):
-    return S.roc_points_with_interval(_scored(spark, d), "s", F.col("o"))
+    return rounded(S.roc_points_with_interval(_scored(spark, d), "s", F.col("o")).select("threshold", "tp", "fp", "tpr_lo", "tpr_hi", "fpr_lo", "fpr_hi"), 6, "threshold")
 
 
 @query("st27_delong")
@@ -395,9 +421,12 @@ def sv3(spark, d):
     return rounded(E.incidence_contrast(_surv(spark, d), "dur", F.col("ev"), F.col("arm")).select("time", "i1", "i0", "ratio", "difference"), 6)
 
 
-@query("sv4_log_rank")
+@query(
+    "sv4_log_rank",
+    f"WITH {_SURV_SQL}, c AS (SELECT dur, count(*) AS l, count(*) FILTER (arm) AS l1, count(*) FILTER (ev) AS d, count(*) FILTER (ev AND arm) AS d1 FROM v WHERE dur IS NOT NULL GROUP BY 1), n AS (SELECT *, sum(l) OVER (ORDER BY dur DESC) AS n, sum(l1) OVER (ORDER BY dur DESC) AS n1 FROM c), s AS (SELECT sum(d1)::BIGINT AS o, sum(d * n1 / n) AS e, sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM n) SELECT o AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round((o - e) / sqrt(v), 6) AS z FROM s",
+)
 def sv4(spark, d):
-    return E.log_rank(_surv(spark, d), "dur", F.col("ev"), F.col("arm"))
+    return rounded(E.log_rank(_surv(spark, d), "dur", F.col("ev"), F.col("arm")), 6)
 
 
 # --- quantiles
