@@ -254,10 +254,12 @@ def _buckets(dealt: DataFrame, num: int, den: int) -> DataFrame:
     found = stage(dealt.groupBy("part").applyInArrow(meet, schema))
     columns = ["token", "key", "n", "pos", "c_key", "c_n", "c_pos"]
     if not found.where("shared").limit(1).count():
-        return found.select(columns)
+        return found
     one = found.where("shared").groupBy("token").agg(F.min(F.struct("c_mix", "c_key", "c_n", "c_pos")).alias("c"))
     shared = found.where("shared").drop("c_mix", "c_key", "c_n", "c_pos").join(one, "token").select("token", "key", "n", "pos", "c.c_key", "c.c_n", "c.c_pos")
-    return found.where("NOT shared").select(columns).unionByName(shared)
+    out = stage(found.where("NOT shared").select(columns).unionByName(shared))
+    discard(found)
+    return out
 
 
 def _may_link(n, pos, m, qos, num: int, den: int):
@@ -379,9 +381,9 @@ def _across(group: DataFrame, reps: DataFrame, docs: DataFrame, threshold: Fract
     """
     num, den = threshold.numerator, threshold.denominator
     sized = group.join(reps.select("key", "n"), "key")
-    parts = sized.groupBy("main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = sized.groupBy("main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.count(F.lit(1)).alias("size"))
     dealt = stage(
-        group.join(parts, "main")
+        join_classes(group, parts, "main", group.count())
         .withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("main", "key", "comp", "out", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -502,7 +504,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     hot += (4 * tokens >> bits).bit_length()  # over the mean count of the sketch
     ranges = max(shuffle_partitions(spark), -(-tokens // RANGE_TOKENS))
-    buckets = stage(_buckets(_deal(reps, ranges, logs, bits, hot), num, den))
+    buckets = _buckets(_deal(reps, ranges, logs, bits, hot), num, den)
 
     rows = buckets.where((F.col("key") != F.col("c_key")) & _may_link(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos"), num, den))
     star = rows.groupBy(F.col("c_key").alias("u"), F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
@@ -514,7 +516,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = components(links)
 
     known = stage(_labelled(_labelled(buckets.select("token", "key", "c_key"), comps, "key", "comp"), comps, "c_key", "main").select("token", "main", "key", "comp"))
-    discard(links)
+    discard(links, buckets)
     outside = known.where("comp <> main")
     inside = known.where("comp = main").join(outside.select("token").distinct(), "token", "left_semi")
     group = outside.select("main", "key", "comp", F.lit(True).alias("out")).unionByName(inside.select("main", "key", "comp", F.lit(False).alias("out"))).distinct()
@@ -529,6 +531,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = _labelled(comps.unionByName(alone), above, "component", "whole").join(reps.select(F.col("key").alias("id"), F.col("id").alias("rep"), "size"), "id")
     whole = labels.groupBy("whole").agg(F.min("rep").alias("component_id"))
     labels = stage(labels.join(whole, "whole").select(F.col("id").alias("key"), "component_id", "size"))
+    discard(reps, links, edges)
     found = join_classes(member.drop("size"), labels, "key", total)
     return found.select("id", "th", "n", F.coalesce("component_id", "rep", "id").alias("component_id"))
 
