@@ -113,11 +113,11 @@ def ro15(spark, d):
     return M.fit_dilutions(s.withColumn("y", y), ["s_suppkey"], "dose", "y")
 
 
-_K = "p AS (SELECT s_suppkey AS i, s_acctbal / 1000 AS x FROM supplier), d AS (SELECT a.i, b.i AS j, abs(a.x - b.x) AS d FROM p a, p b), k AS (SELECT i, j, -0.5 * (d * d - avg(d * d) OVER (PARTITION BY i) - avg(d * d) OVER (PARTITION BY j) + avg(d * d) OVER ()) AS k FROM d)"
+_K = "p AS (SELECT s_suppkey AS i, s_acctbal / 700 AS x FROM supplier), d AS (SELECT a.i, b.i AS j, abs(a.x - b.x) AS d FROM p a, p b), k AS (SELECT i, j, -0.5 * (d * d - avg(d * d) OVER (PARTITION BY i) - avg(d * d) OVER (PARTITION BY j) + avg(d * d) OVER ()) AS k FROM d)"
 
 
 def _distances(spark, d):
-    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 1000).alias("x"))
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 700).alias("x"))
     return s.crossJoin(s.toDF("j", "y")).select("i", "j", F.abs(F.col("x") - F.col("y")).alias("d"))
 
 
@@ -126,9 +126,9 @@ def ro17(spark, d):
     return rounded(M.gower_kernel(_distances(spark, d)), 5)
 
 
-@query("ro17_kernel_distance", f"WITH {_K} SELECT i, j, round(d, 3) AS d FROM d")
+@query("ro17_kernel_distance", f"WITH {_K} SELECT i, j, round(d, 6) AS d FROM d")
 def ro17_back(spark, d):
-    return rounded(M.kernel_distance(M.gower_kernel(_distances(spark, d))), 3)
+    return rounded(M.kernel_distance(M.gower_kernel(_distances(spark, d))), 6)
 
 
 @query("ro16_kernel_score", f"WITH {_K}, r AS (SELECT s_suppkey AS i, s_nationkey - (SELECT avg(s_nationkey) FROM supplier) AS r FROM supplier) SELECT round(sum(a.r * k * b.r) / (SELECT var_samp(r) FROM r), 3) AS q FROM k JOIN r a ON k.i = a.i JOIN r b ON k.j = b.i")

@@ -195,7 +195,7 @@ _SUMS = " + ".join(f"(CASE WHEN bit_count(m) >= 3 THEN {' * '.join(f'CASE WHEN m
 
 @query(
     "st20_tails",
-    f"WITH s AS (SELECT s_suppkey, s_suppkey % 20 + 5 AS n, s_nationkey % 5 + 2 AS k FROM supplier), e AS (SELECT sum({_SUMS}) AS e FROM (SELECT m::INT AS m FROM range(0, 128) t(m))) SELECT s_suppkey, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7))) FROM range(0, 25) t(i) WHERE i BETWEEN k AND n), 9) AS binomial, round(e, 9) AS any3 FROM s, e",
+    f"WITH s AS (SELECT s_suppkey, s_suppkey % 20 + 5 AS n, s_nationkey % 5 + 2 AS k FROM supplier), e AS (SELECT sum({_SUMS}) AS e FROM (SELECT m::INT AS m FROM range(0, 128) t(m))) SELECT s_suppkey, round(coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7))) FROM range(0, 25) t(i) WHERE i BETWEEN k AND n), 0), 9) AS binomial, round(e, 9) AS any3 FROM s, e",
 )
 def st20(spark, d):
     s = load(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 20 + 5).alias("n"), (F.col("s_nationkey") % 5 + 2).alias("k"))
