@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.distributions import log_choose_col, normal_cdf_col, z_value
 from quillon.operators.aggregates import gate_counts, marker_sign, response
-from quillon.operators.association import auc, confusion, partial_correlation
+from quillon.operators.association import auc, confusion, partial_correlation, relations
 from quillon.operators.estimators import centred_log_ratio, generalized_simpson, log_ratios, nelson_aalen
 from quillon.operators.filters import discard_low
 from quillon.operators.tests import adjust, fisher_exact, odds_ratio, rank_sum, wilson
@@ -59,6 +60,27 @@ def response_calls(p_values: DataFrame, row: str, combination: str, p: str, leas
     return p_values.select(row, *keep).distinct().join(lists, [row, *keep], "left").na.fill("", ["calls"])
 
 
+def merge_samples(batches: DataFrame, extract: Callable[[DataFrame, list[str]], DataFrame], metadata: DataFrame, key: str, filters: dict[str, list] | None = None) -> DataFrame:
+    """``extract(rows, [key])`` of the samples of many batches, in one job, with their metadata.
+
+    ``filters`` names the values allowed in columns of the metadata; other samples are not
+    read further. Samples without metadata keep nulls if there are no filters.
+    """
+    chosen = metadata
+    for c, values in (filters or {}).items():
+        chosen = chosen.where(F.col(c).isin(*values))
+    rows = batches.join(chosen.select(key).distinct(), key, "left_semi") if filters else batches
+    return extract(rows, [key]).join(chosen, key, "left")
+
+
+def relation_graph(df: DataFrame, row: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): values of the columns with their share of rows, and pairs that occur together with weight, odds ratio, p, q."""
+    n = df.count()
+    items = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns))
+    nodes = df.select(F.explode(items).alias("s")).select("s.*").where("v IS NOT NULL").groupBy("c", "v").agg((F.count(F.lit(1)) / n).alias("freq"))
+    return nodes, relations(df, row, columns, 0).withColumn("weight", F.col("a") / n)
+
+
 # --- correlations (CO3, CO6, CO7)
 
 

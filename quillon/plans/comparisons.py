@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillon.operators import aggregates as A
@@ -9,7 +11,8 @@ from quillon.operators import comparisons as C
 from quillon.operators import estimators as E
 from quillon.plans.registry import query
 from quillon.plans.statistics import Z, _OTU, _TAB_SQL, _WIDE_SQL, _otu, _table, _wide, fisher_sql, rounded
-from quillon.session import load
+from quillon.session import load, shared_dir
+from quillon.sources import readers
 
 
 # --- assay responses
@@ -68,6 +71,35 @@ def piv5(spark, d):
     return C.response_calls(t.groupBy((F.col("k") % 50).alias("r"), name.alias("c")).agg(F.min("p").alias("p")), "r", "c", "p", 0.4)
 
 
+_BATCH = "b AS (SELECT * FROM (SELECT 'batch_' || l_returnflag AS batch, l_discount > 0.05 AS disc, l_tax > 0.04 AS tax FROM lineitem WHERE l_quantity > 25) WHERE batch IN ('batch_A', 'batch_R')), g AS (SELECT DISTINCT batch, d.x AS disc, t.x AS tax FROM b, (VALUES (true), (false)) d(x), (VALUES (true), (false)) t(x))"
+
+
+@query("agg20_merge_batches", f"WITH {_BATCH} SELECT batch, {_SIGN('disc')} || {_SIGN('tax')} AS combination, (SELECT count(*) FROM b WHERE b.batch = g.batch AND b.disc = g.disc AND b.tax = g.tax) AS cytnum, (SELECT count(*) FROM b WHERE b.batch = g.batch) AS nsub, CASE batch WHEN 'batch_A' THEN 'one' ELSE 'two' END AS lab FROM g")
+def agg20(spark, d):
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    gates = load(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") > 25).alias("big"), (F.col("l_discount") > 0.05).alias("disc"), (F.col("l_tax") > 0.04).alias("tax"))
+    for flag in "ANR":
+        gates.where(F.col("l_returnflag") == flag).drop("l_returnflag").write.parquet(f"{path}/batch_{flag}")
+    labels = spark.createDataFrame([("batch_A", "one", "x"), ("batch_N", "one", "y"), ("batch_R", "two", "x")], "batch string, lab string, kind string")
+    extract = lambda rows, keys: A.gate_counts(rows, ["big"], ["disc", "tax"], keys)
+    out = C.merge_samples(readers.read_batches(spark, f"{path}/*"), extract, labels, "batch", {"kind": ["x"]})
+    return out.select("batch", "combination", "cytnum", "nsub", "lab")
+
+
+@query(
+    "st5_graph",
+    f"""WITH l AS (SELECT o_orderkey AS r, 'o_orderstatus' AS c, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders), n AS (SELECT count(*) AS n FROM orders), m AS (SELECT c, v, count(*) AS m FROM l GROUP BY 1, 2),
+    j AS (SELECT x.c AS c1, x.v AS v1, y.c AS c2, y.v AS v2, count(*) AS a FROM l x JOIN l y ON x.r = y.r AND x.c < y.c GROUP BY 1, 2, 3, 4),
+    t AS (SELECT c1, v1, c2, v2, a, greatest(m1.m - a, 1) AS b, greatest(m2.m - a, 1) AS c, greatest(n - m1.m - m2.m + a, 1) AS d, m1.m / n AS f1, m2.m / n AS f2, a / n AS w FROM n, j JOIN m m1 ON c1 = m1.c AND v1 = m1.v JOIN m m2 ON c2 = m2.c AND v2 = m2.v)
+    SELECT v1, v2, round(f1, 9) AS freq1, round(f2, 9) AS freq2, round(w, 9) AS weight, round(a * d / (b * c), 5) AS odds_ratio, round({fisher_sql('two-sided')}, 5) AS p FROM t""",
+)
+def st5(spark, d):
+    nodes, edges = C.relation_graph(load(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    side = lambda k: nodes.select(F.col("c").alias(f"c{k}"), F.col("v").alias(f"v{k}"), F.round("freq", 9).alias(f"freq{k}"))
+    out = edges.join(side(1), ["c1", "v1"]).join(side(2), ["c2", "v2"])
+    return out.select("v1", "v2", "freq1", "freq2", F.round("weight", 9).alias("weight"), F.round("odds_ratio", 5).alias("odds_ratio"), F.round("p", 5).alias("p"))
+
+
 # --- correlations
 
 _PAIR = "SELECT '{0}' AS a, '{1}' AS b, count(*) FILTER ({0} IS NOT NULL AND {1} IS NOT NULL) AS n, round((SELECT (corr({0}, {1}) - corr({0}, z) * corr({1}, z)) / sqrt((1 - corr({0}, z) ** 2) * (1 - corr({1}, z) ** 2)) FROM x WHERE {0} IS NOT NULL AND {1} IS NOT NULL), 6) AS rho FROM x"
