@@ -112,7 +112,6 @@ def correlation_distance(rho: Column, signed: bool = False) -> tuple[Column, Col
 def mutual_information(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """(h_x, h_y, h_xy, mi, normalised 2 mi / (h_x + h_y)) in bits, from counts."""
     cells = df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by))
 
     def entropy(keys: list[str], name: str) -> DataFrame:
         c = cells.groupBy(*by, *keys).agg(F.sum("n").alias("n"))
@@ -120,7 +119,6 @@ def mutual_information(df: DataFrame, x: str, y: str, by: list[str] = ()) -> Dat
         return c.withColumn("p", p).groupBy(*by).agg((-F.sum(F.col("p") * F.log2("p"))).alias(name))
 
     parts = [entropy([x], "h_x"), entropy([y], "h_y"), entropy([x, y], "h_xy")]
-    del total
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, list(by)) if by else out.join(p)

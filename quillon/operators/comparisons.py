@@ -14,6 +14,7 @@ from quillon.operators.association import auc, confusion, partial_correlation, r
 from quillon.operators.estimators import centred_log_ratio, generalized_simpson, log_ratios, nelson_aalen
 from quillon.operators.filters import discard_low
 from quillon.operators.tests import adjust, fisher_exact, odds_ratio, rank_sum, wilson
+from quillon.session import stage
 
 # --- assay responses (AGG7, AGG9, AGG16, ST6, PIV5)
 
@@ -404,3 +405,65 @@ def generated_sequences(frequencies: DataFrame, site: str, residue: str, share:
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col(site).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0
     drawn = ids.crossJoin(F.broadcast(table)).where((draw >= F.col("_lo")) & (draw < F.col("_hi")))  # sites times residues are few
     return drawn.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(site, residue))), lambda x: x[residue]), "").alias("seq"))
+
+
+# --- permutations and regressions of small tables (CO12, RO16, SV4), masks and exclusions (FLT8, SET6)
+
+
+def mutual_information_test(df: DataFrame, row: str, x: str, y: str, n: int = 100, seed: int = 0) -> DataFrame:
+    """(mi, p): mutual information in bits, and the share of shuffles of y that have as much. The table is laid out once a shuffle."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(row, x, y)
+    cells = shuffled_labels(known, row, y, n, seed).join(known.select(row, x), row).groupBy("replicate", x, y).agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda *by: F.sum("_n").over(Window.partitionBy("replicate", *by))
+    share = F.col("_n") / side()
+    each = cells.withColumn("_t", share * F.log2(F.col("_n") * side() / (side(x) * side(y)))).groupBy("replicate").agg(F.sum("_t").alias("s"))
+    seen = each.where("replicate = -1").select(F.col("s").alias("mi"))
+    return each.where("replicate >= 0").join(F.broadcast(seen)).groupBy("mi").agg(((F.count_if(F.col("s") >= F.col("mi") - 1e-12) + 1) / (n + 1)).alias("p"))
+
+
+def kernel_permutation_test(kernel: DataFrame, residuals: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
+    """(q, p): r' K r / s^2 of residuals (i, r) with a kernel (i, j, k), and the share of shuffles of r that have as much."""
+    shuffled = F.broadcast(shuffled_labels(residuals, "i", "r", n, seed))  # as many rows as the kernel is wide, a shuffle
+    left = kernel.join(shuffled.withColumnRenamed("r", "ri"), "i")
+    both = left.join(shuffled.withColumnsRenamed({"i": "j", "r": "rj"}), ["replicate", "j"])
+    s2 = residuals.agg(F.var_samp("r").alias("s2"))
+    each = both.groupBy("replicate").agg(F.sum(F.col("ri") * F.col("k") * F.col("rj")).alias("s")).join(s2).withColumn("s", F.col("s") / F.col("s2"))
+    seen = each.where("replicate = -1").select(F.col("s").alias("q"))
+    return each.where("replicate >= 0").join(F.broadcast(seen)).groupBy("q").agg(((F.count_if(F.col("s") >= F.col("q") * (1 - 1e-12)) + 1) / (n + 1)).alias("p"))
+
+
+def cox_two_arms(df: DataFrame, duration: str, event: Column, arm: Column, steps: int = 8, alpha: float = 0.05) -> DataFrame:
+    """(log_ratio, se, ratio, lo, hi, p) of the arm's hazard by Cox's partial likelihood (Breslow's ties), by Newton's method.
+
+    Risk sets are pre-aggregated by time; a step is one aggregation of two sums.
+    """
+    cells = df.withColumn("_arm", arm).where(F.col(duration).isNotNull() & F.col("_arm").isNotNull()).groupBy(F.col(duration).alias("time")).agg(
+        F.count(F.lit(1)).alias("l"), F.count_if("_arm").alias("l1"), F.count_if(event).alias("d"), F.count_if(event & F.col("_arm")).alias("d1")
+    )
+    w = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    risk = stage(cells.select("d", "d1", F.sum("l").over(w).alias("n"), F.sum("l1").over(w).alias("n1")).where("d > 0"))
+    state = risk.sparkSession.range(1).select(F.lit(0.0).alias("b"))
+    share = F.col("n1") * F.exp("b") / (F.col("n1") * F.exp("b") + F.col("n") - F.col("n1"))
+    sums = lambda: risk.join(F.broadcast(state)).groupBy("b").agg(F.sum(F.col("d1") - F.col("d") * share).alias("u"), F.sum(F.col("d") * share * (1 - share)).alias("i"))
+    value = 0.0
+    for _ in range(steps):
+        row = sums().first()
+        if row is None or not row["i"]:
+            break
+        value += row["u"] / row["i"]
+        state = risk.sparkSession.range(1).select(F.lit(value).alias("b"))
+    se = 1 / F.sqrt(F.nullif(F.col("i"), F.lit(0.0)))
+    z = z_value(alpha)
+    out = sums().select(F.col("b").alias("log_ratio"), se.alias("se"))
+    return out.select("log_ratio", "se", F.exp("log_ratio").alias("ratio"), F.exp(F.col("log_ratio") - z * F.col("se")).alias("lo"), F.exp(F.col("log_ratio") + z * F.col("se")).alias("hi"), (2 * normal_cdf_col(-F.abs(F.col("log_ratio") / F.col("se")))).alias("p"))
+
+
+def complete_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows in which both columns have a value that is a number."""
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return df.where(known(a) & known(b))
+
+
+def outside(df: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """Rows whose value is not listed; a null value is not, either."""
+    return df.join(listed.select(F.col(listed.columns[0]).alias(column)).distinct(), column, "left_anti").select(*df.columns)

@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillon.functions.distributions import normal_cdf_sql
 from quillon.operators import aggregates as A
 from quillon.operators import comparisons as C
 from quillon.operators import estimators as E
+from quillon.operators import models as M
+from quillon.plans.inference import _K, _distances
 from quillon.plans.registry import query
-from quillon.plans.statistics import Z, _OTU, _TAB_SQL, _WIDE_SQL, _otu, _table, _wide, fisher_sql, rounded
+from quillon.plans.statistics import Z, _OTU, _SURV_SQL, _TAB_SQL, _WIDE_SQL, _otu, _surv, _table, _wide, fisher_sql, rounded
 from quillon.session import load, shared_dir
-from quillon.sources import readers
+from quillon.sources import readers, sinks
 
 
 # --- assay responses
@@ -289,3 +292,51 @@ def sq8(spark, d):
 
     shares = f.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("site")))
     return C.generated_sequences(shares, "site", "r", "p", 500)
+
+
+# --- permutations, regressions, masks
+
+_MI = "l AS (SELECT s_suppkey AS i, s_nationkey % 3 AS x, (s_acctbal > 4000)::INT AS y, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier), r AS (SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY md5(i || ':' || rep || ':0'), i) AS k FROM l, range(0, 40) t(rep)), m AS (SELECT -1 AS rep, i, y FROM l UNION ALL SELECT rep, r.i, l.y FROM r JOIN l USING (k))"
+
+
+@query("co12_permutation", f"WITH {_MI}, c AS (SELECT rep, x, m.y, count(*) AS n FROM m JOIN l USING (i) GROUP BY 1, 2, 3), t AS (SELECT rep, n / sum(n) OVER (PARTITION BY rep) * log2(n * sum(n) OVER (PARTITION BY rep) / (sum(n) OVER (PARTITION BY rep, x) * sum(n) OVER (PARTITION BY rep, y))) AS t FROM c), s AS (SELECT rep, sum(t) AS s FROM t GROUP BY 1) SELECT round(b.s, 9) AS mi, round((count(*) FILTER (s.s >= b.s - 1e-12) + 1) / 41, 9) AS p FROM s, (SELECT s FROM s WHERE rep = -1) b WHERE rep >= 0 GROUP BY b.s")
+def co12_test(spark, d):
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") % 3).alias("x"), (F.col("s_acctbal") > 4000).cast("int").alias("y"))
+    return rounded(C.mutual_information_test(s, "i", "x", "y", 40), 9)
+
+
+@query("ro16_kernel_permutation", f"WITH {_K}, l AS (SELECT s_suppkey AS i, s_nationkey - (SELECT avg(s_nationkey) FROM supplier) AS r, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier), h AS (SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY md5(i || ':' || rep || ':0'), i) AS n FROM l, range(0, 20) t(rep)), m AS (SELECT -1 AS rep, i, r FROM l UNION ALL SELECT rep, h.i, l.r FROM h JOIN l USING (n)), s AS (SELECT a.rep, sum(a.r * k * b.r) / (SELECT var_samp(r) FROM l) AS s FROM k JOIN m a ON k.i = a.i JOIN m b ON k.j = b.i AND a.rep = b.rep GROUP BY 1) SELECT round(b.s, 3) AS q, round((count(*) FILTER (s.s >= b.s * (1 - 1e-12)) + 1) / 21, 9) AS p FROM s, (SELECT s FROM s WHERE rep = -1) b WHERE rep >= 0 GROUP BY b.s")
+def ro16_test(spark, d):
+    s = load(spark, d, "supplier")
+    m = s.agg(F.avg("s_nationkey")).first()[0]
+    out = C.kernel_permutation_test(M.gower_kernel(_distances(spark, d)), s.select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") - m).alias("r")), 20)
+    return out.select(F.round("q", 3).alias("q"), F.round("p", 9).alias("p"))
+
+
+_COX = "c AS (SELECT dur, count(*) AS l, count(*) FILTER (arm) AS l1, count(*) FILTER (ev) AS d, count(*) FILTER (ev AND arm) AS d1 FROM v GROUP BY 1), r AS (SELECT d, d1, sum(l) OVER (ORDER BY dur DESC) AS n, sum(l1) OVER (ORDER BY dur DESC) AS n1 FROM c), b0 AS (SELECT 0::DOUBLE AS b)" + "".join(
+    f", b{k + 1} AS (SELECT b + sum(d1 - d * n1 * exp(b) / (n1 * exp(b) + n - n1)) / sum(d * n1 * exp(b) / (n1 * exp(b) + n - n1) * (1 - n1 * exp(b) / (n1 * exp(b) + n - n1))) AS b FROM r, b{k} WHERE d > 0 GROUP BY b)" for k in range(8)
+)
+
+
+@query("sv4_cox", f"WITH {_SURV_SQL}, {_COX}, e AS (SELECT b, 1 / sqrt(sum(d * n1 * exp(b) / (n1 * exp(b) + n - n1) * (1 - n1 * exp(b) / (n1 * exp(b) + n - n1)))) AS se FROM r, b8 WHERE d > 0 GROUP BY b) SELECT round(b, 6) AS log_ratio, round(se, 6) AS se, round(exp(b), 6) AS ratio, round(exp(b - {Z} * se), 6) AS lo, round(exp(b + {Z} * se), 6) AS hi, round(2 * {normal_cdf_sql('-abs(b / se)')}, 6) AS p FROM e")
+def sv4_cox(spark, d):
+    return rounded(C.cox_two_arms(_surv(spark, d), "dur", F.col("ev"), F.col("arm")), 6)
+
+
+@query("flt8_complete_pairs", f"WITH {_WIDE_SQL} SELECT id, q, t FROM w WHERE q IS NOT NULL AND t IS NOT NULL")
+def flt8(spark, d):
+    return C.complete_pairs(_wide(spark, d), "q", "t").select("id", "q", "t")
+
+
+@query("set6_outside", "SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 13)")
+def set6(spark, d):
+    p = load(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return C.outside(p.select("p_partkey", "p_brand"), "p_brand", p.where("p_size = 13").select("p_brand"))
+
+
+@query("src8_fasta_records", "SELECT p_partkey::VARCHAR AS header, upper(md5(p_name)) AS seq FROM part")
+def src8(spark, d):
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    p = load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("n"), F.upper(F.md5("p_name")).alias("seq"))
+    sinks.write_fasta(p, path, "n", "seq")
+    return readers.read_fasta(spark, path, []).select("header", "seq")
