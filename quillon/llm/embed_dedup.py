@@ -27,6 +27,7 @@ ROTATIONS = 3
 BLOCK = 1024
 SMALL = 64  # classes of a bucket that shares a group with others
 SEED = 20
+CHUNK = 2000  # rows for each group of small buckets
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -136,9 +137,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     total = reps.agg(F.sum("size")).first()[0] or 0
     rows = stage(_bucket_rows(reps))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Small buckets share groups, so that a task handles many of them at once;
+    # Small buckets share groups, as many as the rows ask for, so that a task handles many of them at once;
     # a large bucket has groups of its own, one for each pair of its blocks.
-    chunks = 4 * shuffle_partitions(vectors.sparkSession)
+    chunks = max(4 * shuffle_partitions(vectors.sparkSession), total // CHUNK)
     large = F.col("n") > SMALL
     dealt = (
         rows.join(full, "bucket")
