@@ -593,7 +593,8 @@ def test_pipeline_stages(spark):
             assert docs.count() == given.count() and docs.where("text RLIKE '[0-9a-f]{24,}'").count() == 0
         if name == "mixing":
             rates = mixing.mixing_rates(given, load(spark, SF, "labels"), corpus_pipeline.TARGETS, corpus_pipeline.BUDGET, 1.0)
-            assert all(abs(x - corpus_pipeline.BUDGET * corpus_pipeline.TARGETS[d]) < 0.01 for d, x in mixing.shares(rates).items())
-            assert abs(docs.count() - rates.agg(F.sum("rate")).first()[0]) < 0.05 * given.count()
+            there = mixing.shares(rates.withColumn("rate", F.lit(1.0)))  # a domain over its target stays, as nothing is dropped
+            assert all(abs(x - max(there[d], corpus_pipeline.BUDGET * corpus_pipeline.TARGETS[d])) < 0.01 for d, x in mixing.shares(rates).items())
+            assert abs(docs.count() - rates.agg(F.sum("rate")).first()[0]) < 2 * given.count() ** 0.5  # four deviations of the rounding
             assert docs.count() >= given.count() and docs.select("doc_id").distinct().count() == given.select("doc_id").distinct().count()
     assert docs.count() >= 0.5 * before
