@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat
+from quillon.llm import chat, divergence, infill, url_rules
 from quillon.llm.embed_dedup import near_duplicates
 from quillon.llm.langid import predict_languages
 from quillon.llm.media import media_digests, media_table
@@ -67,6 +67,18 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(load(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(load(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing_rates": op2_mixing_rates,
@@ -78,8 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lossless_webp": op8_lossless_webp,
     "op9_chat_perspectives": op9_chat_perspectives,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_url_filter": op12_url_filter,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLES: dict[str, str] = {
+    "op9_chat_perspectives": chat.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_url_filter": url_rules.ORACLE,
+    "op13_fill_in_middle": infill.ORACLE,
 }
-ORACLES: dict[str, str] = {"op9_chat_perspectives": chat.ORACLE}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
