@@ -1,7 +1,9 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
+import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -150,6 +152,36 @@ def test_op1_battery_in_a_mostly_clean_corpus(spark, size):
     assert (hit >= 450).sum() >= {20: 25, 24: 30, 32: 40}[size] and (hit < 450).sum() <= 4
 
 
+def test_op1_reports_no_encoded_text(spark):
+    """A tenth of the candidates are base64 of words: at most 5 % of the reports are false."""
+    rng = np.random.default_rng(12)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    names = ["user", "table", "from", "load", "index", "value", "section", "manual", "total", "name", "report", "street"]
+    words = lambda k: [str(rng.choice(names)) for _ in range(k)]
+    plain = lambda k: ["_".join(words(5)) + str(k), "/".join(words(5)) + f"/{k}", "".join(x.title() for x in words(5)) + str(k)][k % 3]
+    encoded = [base64.b64encode((" ".join(words(int(rng.integers(4, 12)))) + (", é." if k % 5 == 0 else "")).encode()).decode() for k in range(60)]
+    encoded += [" ".join(words(8)).encode().hex().upper() for _ in range(10)] + [base64.urlsafe_b64encode(" ".join(words(7)).encode()).decode().rstrip("=")[: 20 + k] for k in range(20)]
+    keys = ["".join(rng.choice(alphabet, int(rng.choice([32, 40, 48])))) for _ in range(40)]
+    texts = [f"see {plain(k)} there" for k in range(800)] + [f"data {x} end" for x in encoded] + [f"key {x} end" for x in keys]
+    hit = np.array([r["doc_id"] for r in secrets.scan(documents(spark, texts)).collect() if r["extra"]])
+    assert (hit >= 890).sum() >= 32 and (hit < 890).sum() <= 0.05 * len(hit)
+
+
+def test_op1_one_text_of_many_matches(spark):
+    """Spans and redaction of 10,000 and 80,000 matches take time in proportion, and are right."""
+    took = {}
+    for n in (10_000, 80_000):
+        text = "é ".join(f"{k:024x}" for k in range(n))
+        docs = documents(spark, [text, "token=abcdef"])
+        began = time.monotonic()
+        rows = {r["doc_id"]: r for r in secrets.secret_digests(docs).collect()}
+        new = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+        took[n] = time.monotonic() - began
+        assert rows[0]["n_hex"] == n and rows[0]["spans"].startswith("hex:0:24,hex:26:50,") and rows[0]["spans"].endswith(f"hex:{26 * n - 26}:{26 * n - 2}")
+        assert new == {0: "é ".join(["[SECRET]"] * n), 1: "[SECRET]"}
+    assert took[80_000] < 16 * max(took[10_000], 1)
+
+
 def test_redact(spark):
     texts = ["a token = abcdef123456 b", None, "", "x " + "deadbeef" * 4, "token=" + "deadbeef" * 4 + " z", "clean text"]
     out = secrets.redact(documents(spark, texts))
