@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from quillon.operators.aggregates import gate_counts, marker_sign, response
 from quillon.operators.association import auc, confusion, partial_correlation, relations
 from quillon.operators.estimators import centred_log_ratio, generalized_simpson, log_ratios, nelson_aalen
 from quillon.operators.filters import discard_low
+from quillon.operators.regression import cox_regression
 from quillon.operators.tests import adjust, fisher_exact, odds_ratio, rank_sum, wilson
 from quillon.session import stage
 
@@ -220,13 +222,18 @@ def load_abundance(long: DataFrame, sample: str, feature: str, value: str, trunc
 
 
 def edge_test(df: DataFrame, a: Column, b: Column, weight: Column | None = None) -> DataFrame:
-    """(a, b, c, d, odds_ratio, p) of two conditions: weighted counts, zero cells as 1; rows with an unknown condition are left out."""
+    """(a, b, c, d, odds_ratio, p) of two conditions: sums of weights, zero cells as 1; rows with an unknown condition are left out.
+
+    Fisher's test is of counts: p is null where a cell is no whole number.
+    """
     w = weight if weight is not None else F.lit(1)
     rows = df.select(a.alias("_a"), b.alias("_b"), w.alias("_w")).na.drop()
     cell = lambda x, y: F.sum(F.when((F.col("_a") == x) & (F.col("_b") == y), F.col("_w")).otherwise(0))
     t = rows.agg(*(cell(x, y).alias(n) for n, x, y in (("a", True, True), ("b", True, False), ("c", False, True), ("d", False, False))))
-    t = t.select(*(F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 1).otherwise(F.col(c)).cast("long").alias(c) for c in "abcd"))
-    return t.withColumn("odds_ratio", odds_ratio("a", "b", "c", "d")).withColumn("p", fisher_exact("a", "b", "c", "d"))
+    t = t.select(*(F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 1).otherwise(F.col(c)).cast("long" if weight is None else "double").alias(c) for c in "abcd"))
+    whole = reduce(lambda x, y: x & y, (F.col(c) == F.floor(c) for c in "abcd"))
+    counts = t.select("*", *(F.floor(c).cast("long").alias(f"_{c}") for c in "abcd"))
+    return counts.select("a", "b", "c", "d", odds_ratio("a", "b", "c", "d").alias("odds_ratio"), F.when(whole, fisher_exact("_a", "_b", "_c", "_d")).alias("p"))
 
 
 def risk_score_interval(x1, n1, x2, n2, alpha: float = 0.05, corrected: bool = True, steps: int = 100) -> tuple[Column, Column, Column]:
@@ -432,30 +439,10 @@ def kernel_permutation_test(kernel: DataFrame, residuals: DataFrame, n: int = 10
     return each.where("replicate >= 0").join(F.broadcast(seen)).groupBy("q").agg(((F.count_if(F.col("s") >= F.col("q") * (1 - 1e-12)) + 1) / (n + 1)).alias("p"))
 
 
-def cox_two_arms(df: DataFrame, duration: str, event: Column, arm: Column, steps: int = 8, alpha: float = 0.05) -> DataFrame:
-    """(log_ratio, se, ratio, lo, hi, p) of the arm's hazard by Cox's partial likelihood (Breslow's ties), by Newton's method.
-
-    Risk sets are pre-aggregated by time; a step is one aggregation of two sums.
-    """
-    cells = df.withColumn("_arm", arm).where(F.col(duration).isNotNull() & F.col("_arm").isNotNull()).groupBy(F.col(duration).alias("time")).agg(
-        F.count(F.lit(1)).alias("l"), F.count_if("_arm").alias("l1"), F.count_if(event).alias("d"), F.count_if(event & F.col("_arm")).alias("d1")
-    )
-    w = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = stage(cells.select("d", "d1", F.sum("l").over(w).alias("n"), F.sum("l1").over(w).alias("n1")).where("d > 0"))
-    state = risk.sparkSession.range(1).select(F.lit(0.0).alias("b"))
-    share = F.col("n1") * F.exp("b") / (F.col("n1") * F.exp("b") + F.col("n") - F.col("n1"))
-    sums = lambda: risk.join(F.broadcast(state)).groupBy("b").agg(F.sum(F.col("d1") - F.col("d") * share).alias("u"), F.sum(F.col("d") * share * (1 - share)).alias("i"))
-    value = 0.0
-    for _ in range(steps):
-        row = sums().first()
-        if row is None or not row["i"]:
-            break
-        value += row["u"] / row["i"]
-        state = risk.sparkSession.range(1).select(F.lit(value).alias("b"))
-    se = 1 / F.sqrt(F.nullif(F.col("i"), F.lit(0.0)))
-    z = z_value(alpha)
-    out = sums().select(F.col("b").alias("log_ratio"), se.alias("se"))
-    return out.select("log_ratio", "se", F.exp("log_ratio").alias("ratio"), F.exp(F.col("log_ratio") - z * F.col("se")).alias("lo"), F.exp(F.col("log_ratio") + z * F.col("se")).alias("hi"), (2 * normal_cdf_col(-F.abs(F.col("log_ratio") / F.col("se")))).alias("p"))
+def cox_two_arms(df: DataFrame, duration: str, event: Column, arm: Column, alpha: float = 0.05) -> DataFrame:
+    """(log_ratio, se, ratio, lo, hi, p) of the arm's hazard by Cox's partial likelihood; see cox_regression()."""
+    rows = df.select(F.col(duration).alias("_t"), event.alias("_e"), arm.cast("double").alias("_a"))
+    return cox_regression(rows, "_t", F.col("_e"), ["_a"], alpha=alpha).drop("term", "naive_se")
 
 
 def complete_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -18,16 +18,20 @@ from quillon.session import discard, stage
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 0.0, firth: bool = False, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients with intercept first, standard errors). L1 by proximal gradient, else Newton; Firth adds the Jeffreys score."""
+    """(coefficients with intercept first, standard errors). L1 by proximal gradient, else Newton; Firth adds the Jeffreys score.
+
+    Errors are NaN where the steps did not settle: predictions may still serve, the coefficients do not.
+    """
     x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
+    beta, settled = np.zeros(x.shape[1]), False
     sig = lambda b: 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
     if l1:
         size = 4 / max(np.linalg.norm(x, 2) ** 2, 1e-9)
         for _ in range(20 * steps):
             new = beta - size * (x.T @ (sig(beta) - y))
             new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - size * l1, 0)
-            if np.max(np.abs(new - beta)) < 1e-8:
+            settled = np.max(np.abs(new - beta)) < 1e-8
+            if settled:
                 break
             beta = new
     else:
@@ -42,11 +46,14 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 0.0,
                 score = x.T @ (y - p + h * (0.5 - p))
             move = np.linalg.solve(info, score)
             beta = beta + move / max(1.0, np.max(np.abs(move)) / 5)
-            if np.max(np.abs(move)) < 1e-9:
+            settled = np.max(np.abs(move)) < 1e-9
+            if settled:
                 break
     p = sig(beta)
     info = x.T @ ((p * (1 - p))[:, None] * x) + 1e-10 * np.eye(len(beta))
-    return beta, np.sqrt(np.diag(np.linalg.inv(info)))
+    # probabilities clipped at the ends have lost their information: what seems settled there is a runaway
+    settled = settled and float(np.min(np.diag(info))) > 1e-8
+    return beta, np.sqrt(np.diag(np.linalg.inv(info))) if settled else np.full(len(beta), np.nan)
 
 
 def logistic_predict(beta: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -236,17 +243,20 @@ def cross_validate(df: DataFrame, row: str, outcome: str, features: list[str], k
 
 
 def grouped_logistic(df: DataFrame, by: list[str], outcome: str, features: list[str], firth: bool = False, l2: float = 0.0) -> DataFrame:
-    """(by, term, coefficient, error) of a logistic fit in each group."""
+    """(by, term, coefficient, error, settled) of a logistic fit in each group; ``settled`` is false where the steps did not end at a peak (a feature
+    that separates the outcomes, an outcome alone), and the numbers are then null. A ridge or Firth's score always have a peak. A group must fit a task;
+    ``regression.logistic_fits`` has no such bound."""
     types = dict(df.dtypes)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         beta, se = logistic_fit(pdf[features].to_numpy(float), pdf[outcome].to_numpy(float), l2=l2, firth=firth)
-        out = pd.DataFrame({"term": ["intercept", *features], "coefficient": beta, "error": se})
+        good = bool(np.isfinite(se).all())
+        out = pd.DataFrame({"term": ["intercept", *features], "coefficient": beta if good else None, "error": se if good else None, "settled": good})
         for c in by:
             out[c] = pdf[c].iloc[0]
-        return out[[*by, "term", "coefficient", "error"]]
+        return out[[*by, "term", "coefficient", "error", "settled"]]
 
-    return df.select(*by, outcome, *features).na.drop().groupBy(*by).applyInPandas(fit, ", ".join([*(f"{c} {types[c]}" for c in by), "term string, coefficient double, error double"]))
+    return df.select(*by, outcome, *features).na.drop().groupBy(*by).applyInPandas(fit, ", ".join([*(f"{c} {types[c]}" for c in by), "term string, coefficient double, error double, settled boolean"]))
 
 
 def stacked_scores(df: DataFrame, row: str, outcome: str, learners: dict[str, list[str]], k: int = 5, seed: int = 0) -> DataFrame:

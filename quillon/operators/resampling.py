@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.distributions import NORMAL
+from quillon.functions.distributions import NORMAL, normal_cdf_col
 
 Stat = Callable[[Column], dict[str, Column]]
 
@@ -67,9 +67,8 @@ def bootstrap_ci(df: DataFrame, row: str, stat: Stat, n: int = 500, alpha: float
         below = ranked.groupBy(*keys).agg(F.avg((F.col("value") < F.col("estimate")).cast("double")).alias("share"))
         fixed = below.join(accel, keys)
         inv = F.udf(lambda p: NORMAL.inv_cdf(min(max(p, 1e-9), 1 - 1e-9)), "double")  # one row a statistic
-        cdf = F.udf(lambda z: NORMAL.cdf(z), "double")
         z0, acc = inv("share"), F.coalesce(F.col("acc"), F.lit(0.0))
-        shift = lambda q: cdf(z0 + (z0 + NORMAL.inv_cdf(q)) / (1 - acc * (z0 + NORMAL.inv_cdf(q))))
+        shift = lambda q: normal_cdf_col(z0 + (z0 + NORMAL.inv_cdf(q)) / (1 - acc * (z0 + NORMAL.inv_cdf(q))))
         limits = ranked.join(fixed.select(*keys, shift(alpha / 2).alias("a"), shift(1 - alpha / 2).alias("b")), keys)
     at = lambda q: F.max(F.when(F.col("k") == F.round((F.col("n") - 1) * F.col(q)), F.col("value")))
     return limits.groupBy(*keys).agg(F.first("estimate").alias("estimate"), at("a").alias("lo"), at("b").alias("hi"))
@@ -118,12 +117,24 @@ def two_sample_bootstrap(df: DataFrame, row: str, value: str, group: Column, n:
     return boot.join(observed).groupBy("t").agg(F.avg((F.abs("s") >= F.abs("t")).cast("double")).alias("p")).select(F.lit(means["a"] - means["b"]).alias("difference"), "t", "p")
 
 
-def rejection_sample(spark, density: Callable[[Column], Column], envelope: float, low: float, high: float, n: int, seed: int = 0) -> DataFrame:
-    """n draws from a density on [low, high] under a constant envelope; twice the expected candidates are tried."""
+def rejection_sample(spark, density: Callable[[Column], Column], envelope: float, low: float, high: float, n: int, seed: int = 0, rounds: int = 4) -> DataFrame:
+    """n draws from a density, known up to a factor, on [low, high] under a constant envelope.
+
+    Candidates are tried until n are accepted, each round as many as the acceptance so far asks for. Raises where the density exceeds the
+    envelope, or where ``rounds`` do not give n.
+    """
     width = high - low
-    tries = int(2 * n * envelope * width) + 100
-    c = spark.range(tries).select("id", (low + width * uniform("id", F.lit(seed))).alias("x"), uniform("id", F.lit(seed + 1)).alias("u"))
-    return c.where(F.col("u") < density(F.col("x")) / envelope).orderBy("id").limit(n).select("id", "x")
+    tries = int(2 * n * max(1.0, envelope * width)) + 100
+    for _ in range(rounds):
+        c = spark.range(tries).select("id", (low + width * uniform("id", F.lit(seed))).alias("x"), uniform("id", F.lit(seed + 1)).alias("u"))
+        c = c.withColumn("_d", density(F.col("x")) / envelope)
+        seen = c.agg(F.count_if(F.col("u") < F.col("_d")).alias("n"), F.max("_d").alias("top")).first()
+        if seen["top"] is not None and seen["top"] > 1 + 1e-9:
+            raise ValueError("the density exceeds its envelope")
+        if seen["n"] >= n:
+            return c.where(F.col("u") < F.col("_d")).orderBy("id").limit(n).select("id", "x")
+        tries = int(min(1.2 * tries * n / seen["n"], 20 * tries) if seen["n"] else 20 * tries) + 100
+    raise ValueError(f"fewer than {n} draws were accepted")
 
 
 def normal_draws(spark, n: int, covariance: list[list[float]], seed: int = 0) -> DataFrame:
