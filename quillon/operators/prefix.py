@@ -41,8 +41,8 @@ def running(df: DataFrame, by: list[str], order: list[str], columns: list[str],
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with row numbers from 0 in ``order``, of which ties are broken anyhow."""
-    one = range_parts(df.withColumn("_one", F.lit(1)), *order)
+    one = range_parts(df, *order)
     w = Window.partitionBy(PART).orderBy(*order)
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = one.groupBy(PART).agg(F.count(F.lit(1)).alias("_n")).select(PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return one.withColumn("_at", F.row_number().over(w) - 1).join(starts, PART).withColumn(name, F.col("_at") + F.col("_start")).drop("_one", "_at", "_start", PART)
+    return one.withColumn("_own", F.row_number().over(w) - 1).join(starts, PART).withColumn(name, F.col("_own") + F.col("_start")).drop("_own", "_start", PART)

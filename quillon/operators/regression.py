@@ -67,7 +67,7 @@ def _newton(state: list, ll: float, score: np.ndarray, info: np.ndarray, tol: fl
     b, base, base_ll, step, cov, _, steps, _ = state
     p = len(b)
     if not (np.isfinite(ll) and np.isfinite(score).all() and np.isfinite(info).all()) or ll < base_ll - 1e-9 * (1 + abs(base_ll)):
-        if not np.isfinite(base_ll) or np.abs(step).max(initial=0) < 1e-12:
+        if not np.isfinite(base_ll) or np.abs(step).max(initial=0) < 1e-8:
             return [base, base, base_ll, step, cov, base_ll, steps + 1, "stuck"]
         step = step / 2
         return [base + step, base, base_ll, step, cov, base_ll, steps + 1, ""]
@@ -92,13 +92,13 @@ def _newton(state: list, ll: float, score: np.ndarray, info: np.ndarray, tol: fl
     return [b + move, b, ll, move, cov, ll, steps + 1, ""]
 
 
-def grouped_newton(rows: DataFrame, keys: list[str], start: Column, likelihood: Callable[[DataFrame, Column], tuple[DataFrame, Column, list[Column], list[list[Column]]]], size: int, steps: int = 60, tol: float = PEAK) -> DataFrame:
+def grouped_newton(rows: DataFrame, keys: list[str], start: Column, likelihood: Callable[[Column], tuple[list[dict[str, Column]], Column, list[Column], list[list[Column]]]], size: int, steps: int = 60, tol: float = PEAK, least: dict[int, float] | None = None) -> DataFrame:
     """(keys, b, cov, ll, steps, state) of the maximum-likelihood fit of each group of ``rows``.
 
-    ``likelihood`` maps rows, with a Column of their group's ``size`` coefficients, to rows with columns of its own, a row's log-likelihood, its
+    ``likelihood`` maps a Column of ``size`` coefficients to layers of columns to add, one projection each, and by them a row's log-likelihood, its
     gradient and the lower triangle of its negative Hessian (or expected information). ``start`` is an aggregate of a group, an array. ``state`` is ``yes`` for a peak; ``infinite``
     where coefficients run away, ``flat`` where they are not determined, ``stuck`` where no step helps and ``steps`` where none was reached
-    in time; those groups' b is where they stopped. Groups that have settled are not evaluated again.
+    in time; those groups' b is where they stopped. A coefficient that falls below its ``least`` is taken to run away. Groups that have settled are not evaluated again.
     """
     kinds = dict(rows.dtypes)
     key_kinds = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -118,20 +118,23 @@ def grouped_newton(rows: DataFrame, keys: list[str], start: Column, likelihood:
                         info[i, j] = info[j, i] = np.nan if v is None else v
                     score = np.array([np.nan if v is None else v for v in r["_g"] or [None] * size], float)
                     new = _newton(at, np.nan if r["_l"] is None else r["_l"], score, info, tol)
-                    new[7] = new[7] or ("steps" if new[6] >= steps else "")
+                    gone = any(new[0][k] < v for k, v in (least or {}).items())
+                    new[7] = "infinite" if gone else new[7] or ("steps" if new[6] >= steps else "")
                     r |= {n: v.tolist() if n in lists else v for n, v in zip(names, new)}
                 out.append({k: r[k] for k in (*keys, *names)})
             if out:
                 schema = pa.schema([batch.schema.field(k) for k in (*keys, *names)])
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
+    layers, ll, grad, hess = likelihood(F.col("_b"))
     empty = F.array().cast("array<double>")
     never = F.lit(float("-inf"))
     state = stage(rows.groupBy(*keys).agg(start.alias("b")).select(*keys, "b", F.col("b").alias("base"), never.alias("base_ll"), empty.alias("step"), empty.alias("cov"), never.alias("ll"), F.lit(0).alias("steps"), F.lit("").alias("state")))
     while state.where("state = ''").limit(1).count():
         at = state.where("state = ''").select(*keys, F.col("b").alias("_b"))
         at_rows = rows.join(at, keys) if keys else rows.join(F.broadcast(at))
-        at_rows, ll, grad, hess = likelihood(at_rows, F.col("_b"))
+        for layer in layers:
+            at_rows = at_rows.withColumns(layer)
         each = {f"_g{k}": g for k, g in enumerate(grad)} | {f"_h{k}": hess[i][j] for k, (i, j) in enumerate(tri)}
         sums = at_rows.select(*keys, ll.alias("_l"), *(v.alias(n) for n, v in each.items())).groupBy(*keys).agg(F.sum("_l").alias("_l"), *(F.sum(n).alias(n) for n in each))
         sums = sums.select(*keys, "_l", F.array(*(f"_g{k}" for k in range(size))).alias("_g"), F.array(*(f"_h{k}" for k in range(len(tri)))).alias("_h"))
@@ -162,18 +165,17 @@ def logistic(features: list[str], outcome: str, weight: Column | None = None, of
     """The likelihood of a logistic regression, intercept first. ``l2`` is a ridge for each row of the other coefficients."""
     w = weight if weight is not None else F.lit(1.0)
 
-    def at(df: DataFrame, b: Column):
+    def at(b: Column):
         x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
-        df = df.withColumn("_eta", sum((b[k] * x[k] for k in range(len(x))), offset if offset is not None else F.lit(0.0)))
-        df = df.withColumn("_e", F.exp(-F.abs("_eta")))
-        df = df.withColumn("_p", F.when(F.col("_eta") > 0, 1 / (1 + F.col("_e"))).otherwise(F.col("_e") / (1 + F.col("_e"))))
+        eta = sum((b[k] * x[k] for k in range(len(x))), offset if offset is not None else F.lit(0.0))
+        layers = [{"_eta": eta}, {"_e": F.exp(-F.abs("_eta"))}, {"_p": F.when(F.col("_eta") > 0, 1 / (1 + F.col("_e"))).otherwise(F.col("_e") / (1 + F.col("_e")))}]
         y, p = F.col(outcome).cast("double"), F.col("_p")
         soft = F.greatest("_eta", F.lit(0.0)) + F.log1p("_e")
         ridge = [0.0] + [l2] * len(features)
         ll = w * (y * F.col("_eta") - soft) - sum((r / 2 * b[k] * b[k] for k, r in enumerate(ridge) if r), F.lit(0.0))
         grad = [w * (y - p) * x[k] - (ridge[k] * b[k] if ridge[k] else F.lit(0.0)) for k in range(len(x))]
         hess = [[w * p * (1 - p) * x[i] * x[j] + (ridge[i] if i == j else 0.0) for j in range(i + 1)] for i in range(len(x))]
-        return df, ll, grad, hess
+        return layers, ll, grad, hess
 
     return at
 
@@ -234,34 +236,31 @@ def beta_binomial(df: DataFrame, keys: list[str], count: str, total: str, featur
     p = len(features) + 1
     y, m = F.col(count).cast("double"), F.col(total).cast("double")
 
-    def at(df: DataFrame, b: Column):
-        # a projection for each layer, so that no expression is written out more than once
+    def at(b: Column):
+        # layers, so that no expression is written out more than once
         x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
-        df = df.withColumns({"_mu": 1 / (1 + F.exp(-sum((b[k] * x[k] for k in range(p)), F.lit(0.0)))), "_s": F.exp(-b[p]), "_y": y, "_m": m})  # s = (1 - f) / f
+        layers = [{"_mu": 1 / (1 + F.exp(-sum((b[k] * x[k] for k in range(p)), F.lit(0.0)))), "_s": F.exp(-b[p]), "_y": y, "_m": m}]  # s = (1 - f) / f
         mu, s, c = F.col("_mu"), F.col("_s"), F.col
-        df = df.withColumns({"_a1": mu * s, "_a2": (1 - mu) * s, "_z": c("_m") - c("_y"), "_sm": s + c("_m")})
-        df = df.withColumns({"_b1": c("_a1") + c("_y"), "_b2": c("_a2") + c("_z")})
+        layers += [{"_a1": mu * s, "_a2": (1 - mu) * s, "_z": c("_m") - c("_y"), "_sm": s + c("_m")}, {"_b1": c("_a1") + c("_y"), "_b2": c("_a2") + c("_z")}]
         d = {"_d1": digamma(c("_b1")) - digamma(c("_a1")), "_d2": digamma(c("_b2")) - digamma(c("_a2")), "_d0": digamma(s) - digamma(c("_sm"))}
         t = {"_t1": trigamma(c("_b1")) - trigamma(c("_a1")), "_t2": trigamma(c("_b2")) - trigamma(c("_a2")), "_t0": trigamma(s) - trigamma(c("_sm"))}
         choose = log_gamma(c("_m") + 1) - log_gamma(c("_y") + 1) - log_gamma(c("_z") + 1)
         ll = choose + log_gamma(c("_b1")) + log_gamma(c("_b2")) - log_gamma(c("_sm")) - log_gamma(c("_a1")) - log_gamma(c("_a2")) + log_gamma(s)
-        df = df.withColumns(d | t | {"_ll": ll, "_dm": mu * (1 - mu)})  # dm = d mu / d eta
+        layers.append(d | t | {"_ll": ll, "_dm": mu * (1 - mu)})  # dm = d mu / d eta
         d1, d2, t1, t2, dm = (c(n) for n in ("_d1", "_d2", "_t1", "_t2", "_dm"))
-        df = df.withColumns({
+        layers.append({
             "_gm": s * (d1 - d2), "_gs": mu * d1 + (1 - mu) * d2 + c("_d0"), "_hm": s * s * (t1 + t2),
             "_hx": (d1 - d2) + s * (mu * t1 - (1 - mu) * t2), "_hs": mu * mu * t1 + (1 - mu) * (1 - mu) * t2 + c("_t0"),
         })
         # second derivatives in eta and in the dispersion's logit, of which s is exp(-.)
-        df = df.withColumns({"_he": c("_hm") * dm * dm + c("_gm") * dm * (1 - 2 * mu), "_hc": -c("_hx") * dm * s, "_hf": c("_hs") * s * s + c("_gs") * s})
+        layers.append({"_he": c("_hm") * dm * dm + c("_gm") * dm * (1 - 2 * mu), "_hc": -c("_hx") * dm * s, "_hf": c("_hs") * s * s + c("_gs") * s})
         grad = [c("_gm") * dm * x[k] for k in range(p)] + [-c("_gs") * s]
         hess = [[-c("_he") * x[i] * x[j] for j in range(i + 1)] for i in range(p)] + [[-c("_hc") * x[j] for j in range(p)] + [-c("_hf")]]
-        return df, c("_ll"), grad, hess
+        return layers, c("_ll"), grad, hess
 
     share = (F.sum(y) + 0.5) / (F.sum(m) + 1)
     start = F.array(F.log(share / (1 - share)), *[F.lit(0.0)] * len(features), F.lit(-2.0))
-    fits = grouped_newton(rows, keys, start, at, p + 1)
-    # below this the differences of the gamma functions are all rounding
-    return fits.withColumn("state", F.when((F.col("state") == "yes") & (F.col("b")[p] < -12), "infinite").otherwise(F.col("state")))
+    return grouped_newton(rows, keys, start, at, p + 1, least={p: -12.0})  # below, the differences of the gamma functions are all rounding
 
 
 # --- Cox (SV4, RO19)

@@ -236,10 +236,10 @@ def j8(spark, d):
     return C.join_strata_weights(c, w, ["c_mktsegment", "c_nationkey"], i, ["c_nationkey"]).select("c_custkey", F.round("weight", 6).alias("weight"), F.col("stratum").cast("long").alias("stratum"))
 
 
-@query("j17_common_times", "WITH x AS (SELECT p_size AS t, p_partkey % 3 = 0 AS e, p_partkey % 2 AS arm FROM part WHERE p_size % 2 = p_partkey % 2), c AS (SELECT arm, t, count(*) AS n, count(*) FILTER (e) AS k FROM x GROUP BY 1, 2), r AS (SELECT arm, t, k, sum(n) OVER (PARTITION BY arm ORDER BY t DESC) AS risk FROM c), h AS (SELECT arm, t, sum(k / risk) OVER (PARTITION BY arm ORDER BY t) AS hazard, sum(k / (risk * risk)) OVER (PARTITION BY arm ORDER BY t) AS variance FROM r) SELECT a.arm, g.t AS time, round(coalesce((SELECT arg_max(hazard, h.t) FROM h WHERE h.arm = a.arm AND h.t <= g.t), 0), 9) AS hazard, round(coalesce((SELECT arg_max(variance, h.t) FROM h WHERE h.arm = a.arm AND h.t <= g.t), 0), 9) AS variance FROM (SELECT DISTINCT arm FROM x) a, (SELECT DISTINCT t FROM x) g")
+@query("j17_common_times", "WITH x AS (SELECT 2 * p_size + p_partkey % 2 AS t, p_partkey % 3 = 0 AS e, p_partkey % 2 AS arm FROM part), c AS (SELECT arm, t, count(*) AS n, count(*) FILTER (e) AS k FROM x GROUP BY 1, 2), r AS (SELECT arm, t, k, sum(n) OVER (PARTITION BY arm ORDER BY t DESC) AS risk FROM c), h AS (SELECT arm, t, sum(k / risk) OVER (PARTITION BY arm ORDER BY t) AS hazard, sum(k / (risk * risk)) OVER (PARTITION BY arm ORDER BY t) AS variance FROM r) SELECT a.arm, g.t AS time, round(coalesce((SELECT arg_max(hazard, h.t) FROM h WHERE h.arm = a.arm AND h.t <= g.t), 0), 9) AS hazard, round(coalesce((SELECT arg_max(variance, h.t) FROM h WHERE h.arm = a.arm AND h.t <= g.t), 0), 9) AS variance FROM (SELECT DISTINCT arm FROM x) a, (SELECT DISTINCT t FROM x) g")
 def j17(spark, d):
     k = F.col("p_partkey")
-    x = load(spark, d, "part").select(F.col("p_size").alias("t"), (k % 3 == 0).alias("e"), (k % 2).alias("arm")).where(F.col("t") % 2 == F.col("arm"))
+    x = load(spark, d, "part").select((2 * F.col("p_size") + k % 2).alias("t"), (k % 3 == 0).alias("e"), (k % 2).alias("arm"))
     return rounded(C.hazards_on_common_times(x, "t", F.col("e"), ["arm"]), 9)
 
 
@@ -313,16 +313,6 @@ def ro16_test(spark, d):
     return out.select(F.round("q", 3).alias("q"), F.round("p", 9).alias("p"))
 
 
-_COX = "c AS (SELECT dur, count(*) AS l, count(*) FILTER (arm) AS l1, count(*) FILTER (ev) AS d, count(*) FILTER (ev AND arm) AS d1 FROM v GROUP BY 1), r AS (SELECT d, d1, sum(l) OVER (ORDER BY dur DESC) AS n, sum(l1) OVER (ORDER BY dur DESC) AS n1 FROM c), b0 AS (SELECT 0::DOUBLE AS b)" + "".join(
-    f", b{k + 1} AS (SELECT b + sum(d1 - d * n1 * exp(b) / (n1 * exp(b) + n - n1)) / sum(d * n1 * exp(b) / (n1 * exp(b) + n - n1) * (1 - n1 * exp(b) / (n1 * exp(b) + n - n1))) AS b FROM r, b{k} WHERE d > 0 GROUP BY b)" for k in range(8)
-)
-
-
-@query("sv4_cox", f"WITH {_SURV_SQL}, {_COX}, e AS (SELECT b, 1 / sqrt(sum(d * n1 * exp(b) / (n1 * exp(b) + n - n1) * (1 - n1 * exp(b) / (n1 * exp(b) + n - n1)))) AS se FROM r, b8 WHERE d > 0 GROUP BY b) SELECT round(b, 6) AS log_ratio, round(se, 6) AS se, round(exp(b), 6) AS ratio, round(exp(b - {Z} * se), 6) AS lo, round(exp(b + {Z} * se), 6) AS hi, round(2 * {normal_cdf_sql('-abs(b / se)')}, 6) AS p FROM e")
-def sv4_cox(spark, d):
-    return rounded(C.cox_two_arms(_surv(spark, d), "dur", F.col("ev"), F.col("arm")), 6)
-
-
 @query("flt8_complete_pairs", f"WITH {_WIDE_SQL} SELECT id, q, t FROM w WHERE q IS NOT NULL AND t IS NOT NULL")
 def flt8(spark, d):
     return C.complete_pairs(_wide(spark, d), "q", "t").select("id", "q", "t")

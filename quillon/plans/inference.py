@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import models as M
@@ -168,11 +169,13 @@ def rs7(spark, d):
 
 @query(
     "clu5_components",
-    "WITH RECURSIVE e AS (SELECT p_partkey AS u, p_partkey + (p_partkey % 16 <> 0)::INT AS v FROM part), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(id, x) AS (SELECT u, u FROM b UNION SELECT r.id, b.v FROM r JOIN b ON r.x = b.u) SELECT id, min(x) AS component FROM r GROUP BY 1",
+    "SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey % 40) AS component FROM orders",
 )
 def clu5(spark, d):
-    e = load(spark, d, "part").select(F.col("p_partkey").alias("u"), (F.col("p_partkey") + (F.col("p_partkey") % 16 != 0).cast("int")).alias("v"))
-    return M.components(e)
+    """Forty graphs of orders: in half of them a path through all, in the others all joined with a hub, the largest id."""
+    group = Window.partitionBy(F.col("o_custkey") % 40)
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("u"), (F.col("o_custkey") % 40).alias("g"), F.lag("o_orderkey").over(group.orderBy("o_orderkey")).alias("before"), F.max("o_orderkey").over(group).alias("hub"))
+    return M.components(o.select("u", F.when(F.col("g") < 20, F.coalesce("before", "u")).otherwise(F.col("hub")).alias("v")))
 
 
 @query("em1_pca")

@@ -413,9 +413,9 @@ def agg13(spark, d):
     return A.histogram(load(spark, d, "events"), "event_type", share=True).withColumn("share", F.round("share", 9))
 
 
-@query("agg13_expand", "SELECT event_type, i::INT AS copy FROM (SELECT event_type, count(*) // 100 AS n FROM events GROUP BY 1), range(1, 100000) r(i) WHERE i <= n")
+@query("agg13_expand", "SELECT event_type, unnest(range(1, n + 1))::INT AS copy FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def agg13_expand(spark, d):
-    h = A.histogram(load(spark, d, "events"), "event_type").withColumn("n", F.floor(F.col("n") / 100).cast("int")).where("n > 0")
+    h = A.histogram(load(spark, d, "events"), "event_type").withColumn("n", F.col("n").cast("int"))
     return A.expand(h, "event_type", "n")
 
 

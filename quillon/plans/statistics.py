@@ -147,12 +147,12 @@ def st11_exact(spark, d):
 
 @query(
     "st13_risk_ratio",
-    f"""WITH {_TAB_SQL}, x AS (SELECT k, (a / (a + b)) / (c / (c + d)) AS rr, sqrt(1/a - 1/(a+b) + 1/c - 1/(c+d)) AS se FROM t WHERE a > 0 AND c > 0)
+    f"""WITH {_TAB_SQL}, x AS (SELECT k, (nullif(a, 0) / (a + b)) / (nullif(c, 0) / (c + d)) AS rr, sqrt(1/nullif(a, 0) - 1/nullif(a+b, 0) + 1/nullif(c, 0) - 1/nullif(c+d, 0)) AS se FROM t)
     SELECT k, round(rr, 6) AS rr, round(exp(ln(rr) - {Z} * se), 6) AS lo, round(exp(ln(rr) + {Z} * se), 6) AS hi FROM x""",
 )
 def st13(spark, d):
     rr, lo, hi, _ = T.risk_ratio("a", F.col("a") + F.col("b"), "c", F.col("c") + F.col("d"))
-    return rounded(_table(spark, d).where("a > 0 AND c > 0").select("k", rr.alias("rr"), lo.alias("lo"), hi.alias("hi")), 6)
+    return rounded(_table(spark, d).select("k", rr.alias("rr"), lo.alias("lo"), hi.alias("hi")), 6)
 
 
 @query("st15_difference_interval")

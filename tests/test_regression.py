@@ -261,3 +261,52 @@ def test_rejection_draws_are_as_many_as_asked_for(spark):
         resampling.rejection_sample(spark, lambda x: F.lit(0.0) * x, 1.0, 0.0, 1.0, 5)
     with pytest.raises(ValueError):
         resampling.rejection_sample(spark, lambda x: F.lit(2.0) + 0 * x, 1.0, 0.0, 1.0, 5)
+
+
+# --- the gap statistic
+
+
+def lloyd(x, centres, steps=200):
+    before = np.inf
+    for _ in range(steps):
+        far = ((x[:, None] - centres[None]) ** 2).sum(2)
+        near = far.argmin(1)
+        total = far[np.arange(len(x)), near].sum()
+        if before - total <= 1e-9 * (1 + total):
+            return total
+        before = total
+        centres = np.stack([x[near == j].mean(0) if (near == j).any() else c for j, c in enumerate(centres)])
+    raise AssertionError
+
+
+def test_gap_statistic_equals_numpy(spark):
+    from quillon.operators import gap
+
+    rng = np.random.default_rng(21)
+    n, most, reps = 120, 5, 4
+    x = np.round(np.concatenate([rng.normal(c, 0.5, (40, 2)) for c in ((0, 0), (6, 0), (0, 6))]), 3)
+    df = frame(spark, id=np.arange(n), a=x[:, 0], b=x[:, 1])
+    points = gap.column_resample(df, "id", ["a", "b"], reps, seed=2)
+    tables = {r: np.array(list(points.where(F.col("replicate") == r).orderBy("row").toPandas().x)) for r in range(reps + 1)}
+    assert (tables[0] == x).all()
+    for r in range(1, reps + 1):
+        assert tables[r].shape == x.shape and all(set(tables[r][:, c]) <= set(x[:, c]) for c in range(2)) and not (tables[r] == x).all()
+        assert len({tuple(v) for v in tables[r]} - {tuple(v) for v in x}) > n // 2  # columns are drawn apart
+    hashes = {r["id"]: r["h"] for r in spark.range(n).select("id", F.xxhash64("id", F.lit(2)).alias("h")).collect()}
+    logs = {}
+    for r, t in tables.items():
+        low = {}
+        for k, p in enumerate(map(tuple, t)):
+            low[p] = min(low.get(p, hashes[k]), hashes[k])
+        start = np.array([p for p, _ in sorted(low.items(), key=lambda v: (v[1], v[0]))])
+        for k in range(1, most + 1):
+            logs[r, k] = math.log(lloyd(t, start[:k]))
+    rows = {r["k"]: r for r in gap.gap_statistic(df, "id", ["a", "b"], most, reps, seed=2).collect()}
+    for k in range(1, most + 1):
+        null = [logs[r, k] for r in range(1, reps + 1)]
+        assert rows[k]["log_w"] == pytest.approx(logs[0, k], abs=1e-9) and rows[k]["null_mean"] == pytest.approx(np.mean(null), abs=1e-9)
+        assert rows[k]["error"] == pytest.approx(np.std(null) * math.sqrt(1 + 1 / reps), abs=1e-9)
+        assert rows[k]["gap"] == pytest.approx(np.mean(null) - logs[0, k], abs=1e-9)
+    want = next((k for k in range(1, most) if rows[k]["gap"] >= rows[k + 1]["gap"] - rows[k + 1]["error"]), None)
+    assert [k for k in rows if rows[k]["chosen"]] == [want]
+    assert gap.gap_statistic(df.limit(0), "id", ["a", "b"], most, reps).count() == 0
