@@ -58,17 +58,23 @@ def co8(spark, d):
 
 @query("rs8_rejection")
 def rs8(spark, d):
-    return R.rejection_sample(spark, lambda x: 6 * x * (1 - x), 1.5, 0.0, 1.0, 500)
+    """As many draws as there are parts, of a parabola that peaks at their mean price."""
+    p = load(spark, d, "part").agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s")).first()
+    return R.rejection_sample(spark, lambda x: 1 - ((x - p["m"]) / (3 * p["s"])) ** 2, 1.0, p["m"] - 3 * p["s"], p["m"] + 3 * p["s"], p["n"])
 
 
 @query("rs9_normal")
 def rs9(spark, d):
-    return R.normal_draws(spark, 1000, [[1.0, 0.6], [0.6, 2.0]])
+    """As many draws as there are parts, of the covariance of their sizes and prices."""
+    p = load(spark, d, "part").select(F.col("p_size") / 10, F.col("p_retailprice") / 100).toDF("a", "b").agg(F.count(F.lit(1)).alias("n"), F.var_samp("a").alias("a"), F.var_samp("b").alias("b"), F.covar_samp("a", "b").alias("c")).first()
+    return R.normal_draws(spark, p["n"], [[p["a"], p["c"]], [p["c"], p["b"]]])
 
 
 @query("rs9_binary")
 def rs9_binary(spark, d):
-    return R.binary_draws(spark, 1000, [0.3, 0.5, 0.7], 0.3)
+    """As many draws as there are lines, of the shares of three of their flags."""
+    li = load(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), *(F.avg((F.col("l_quantity") > q).cast("double")).alias(f"p{q}") for q in (15, 25, 35))).first()
+    return R.binary_draws(spark, li["n"], [li["p15"], li["p25"], li["p35"]], 0.3)
 
 
 @query("dv8_draws")

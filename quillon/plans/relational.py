@@ -611,9 +611,14 @@ def j15(spark, d):
     return out.select("g1", "g2", "shared", F.round("share", 9).alias("share"), F.round("index", 9).alias("index"))
 
 
-@query("cmb1_sign_vectors", "SELECT combo FROM (SELECT concat('IFNg', a.x, 'IL2', b.x, 'TNFa', c.x) AS combo FROM (VALUES ('+'), ('-')) a(x), (VALUES ('+'), ('-')) b(x), (VALUES ('+'), ('-')) c(x))")
+@query("cmb1_sign_vectors", "WITH g AS (SELECT concat('F', a.x, 'O', b.x, 'P', c.x) AS combo FROM (VALUES ('+'), ('-')) a(x), (VALUES ('+'), ('-')) b(x), (VALUES ('+'), ('-')) c(x)), o AS (SELECT concat('F', CASE WHEN bool_or(o_orderstatus = 'F') THEN '+' ELSE '-' END, 'O', CASE WHEN bool_or(o_orderstatus = 'O') THEN '+' ELSE '-' END, 'P', CASE WHEN bool_or(o_orderstatus = 'P') THEN '+' ELSE '-' END) AS combo FROM orders GROUP BY o_custkey) SELECT combo, count(o.combo) AS n FROM g LEFT JOIN o USING (combo) GROUP BY 1")
 def cmb1(spark, d):
-    return spark.createDataFrame([(s,) for s in C.sign_vectors(MARKERS)], "combo string")
+    """Customers by the statuses that their orders have, over all vectors of signs."""
+    status = ["F", "O", "P"]
+    grid = spark.createDataFrame([(s,) for s in C.sign_vectors(status)], "combo string")
+    sign = lambda s: F.concat(F.lit(s), F.when(F.bool_or(F.col("o_orderstatus") == s), "+").otherwise("-"))
+    have = load(spark, d, "orders").groupBy("o_custkey").agg(F.concat(*map(sign, status)).alias("combo")).groupBy("combo").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(have, "combo", "left").select("combo", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("lbl_subset_labels", f"WITH {_COMBO_SQL} SELECT sample, combo, regexp_replace(combo, '(IFNg|IL2|TNFa)-', '', 'g') AS positives FROM m")

@@ -205,9 +205,10 @@ def st20(spark, d):
 
 @query("st21_power")
 def st21(spark, d):
-    grid = spark.range(1, 11).crossJoin(spark.range(10, 101, 10).toDF("n"))
+    """A study for each supplier, of a size and an effect by its key and nation."""
+    grid = load(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10 + 1).alias("id"), (10 * (F.col("s_nationkey") + 1)).alias("n"))
     return grid.select(
-        (F.col("id") / 10).alias("effect"), "n", T.power_two_means(F.col("id") / 10, "n", "n").alias("power"),
+        "s_suppkey", (F.col("id") / 10).alias("effect"), "n", T.power_two_means(F.col("id") / 10, "n", "n").alias("power"),
         T.endpoints_required(0.3 + F.col("id") / 20, 0.0, 1.0).alias("endpoints"), T.case_control_size(F.lit(0.3), 1.2 + F.col("id") / 5).alias("cases"),
     )
 
