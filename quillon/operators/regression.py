@@ -82,13 +82,13 @@ def _newton(state: list, ll: float, score: np.ndarray, info: np.ndarray, tol: fl
     gain = 0.5 * float(score @ move)
     flat, still = gain < tol, (np.abs(move) / errors).max(initial=0) < STILL
     # An infinite peak: the likelihood hardly rises, yet moves do not shrink as they do before a peak.
-    endless = peaked and 1e-18 < gain < 1e-6 and np.abs(move).max() > 0.3 * np.abs(step).max(initial=0) > 0
+    endless = 1e-18 < gain < 1e-6 and np.abs(move).max() > 0.3 * np.abs(step).max(initial=0) > 0
     cov = inverse.ravel() if peaked else np.full(p * p, np.nan)
     if flat and still and not endless:
         return [b, b, ll, np.zeros(p), cov, ll, steps + 1, "yes" if peaked else "flat"]
     if endless:
         return [b, b, ll, move, cov, ll, steps + 1, "infinite"]
-    move = move / max(1.0, np.abs(move).max() / 5)
+    move = move / max(1.0, np.abs(move).max() / max(5.0, np.abs(b).max()))
     return [b + move, b, ll, move, cov, ll, steps + 1, ""]
 
 
