@@ -6,11 +6,15 @@ task; sums that a formula needs come from Spark aggregates first.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.reduce import covariance, double_centred, upright
 from quillon.session import discard, stage
 
 
@@ -298,9 +302,7 @@ def fit_dilutions(df: DataFrame, by: list[str], dose: str, response: str, parame
 
 def gower_kernel(distances: DataFrame) -> DataFrame:
     """(i, j, k): -1/2 J D^2 J of a full (i, j, d) table, by means of rows, columns and all."""
-    d = distances.withColumn("_q", F.col("d") ** 2)
-    row, col, whole = Window.partitionBy("i"), Window.partitionBy("j"), Window.partitionBy()
-    return d.select("i", "j", (-0.5 * (F.col("_q") - F.avg("_q").over(row) - F.avg("_q").over(col) + F.avg("_q").over(whole))).alias("k"))
+    return double_centred(distances, -0.5 * F.col("d") ** 2)
 
 
 def kernel_distance(kernel: DataFrame) -> DataFrame:
@@ -379,17 +381,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 def principal_components(df: DataFrame, row: str, features: list[str], k: int) -> DataFrame:
     """(row, pc1...): scores on the covariance's leading axes; the matrix comes from one aggregation, signs make the largest loading positive."""
-    s = df.agg(*(F.avg(c).alias(f"m_{c}") for c in features)).first()
-    # One group for each pair of features, as a plan of so many aggregates at once would not compile.
-    left = df.select(F.array(*features).alias("v")).select("v", F.posexplode("v").alias("i", "x"))
-    pairs = left.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 1, F.size("v") - F.col("i"))).alias("k", "y"))
-    m = np.empty((len(features), len(features)))
-    for r in pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.covar_samp("x", "y").alias("c")).collect():
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = np.nan if r["c"] is None else r["c"]
-    _, axes = np.linalg.eigh(m)
-    axes = axes[:, ::-1][:, :k]
-    axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), range(axes.shape[1])])
-    return df.select(row, *(sum((float(axes[i, j]) * (F.col(c) - s[f"m_{c}"]) for i, c in enumerate(features)), F.lit(0.0)).alias(f"pc{j + 1}") for j in range(axes.shape[1])))
+    means, m = covariance(df, features)
+    axes = upright(np.linalg.eigh(m)[1][:, ::-1][:, :k])
+    return df.select(row, *(sum((float(axes[i, j]) * (F.col(c) - float(means[i])) for i, c in enumerate(features)), F.lit(0.0)).alias(f"pc{j + 1}") for j in range(axes.shape[1])))
 
 
 def hypercube_distances(pairs: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
@@ -404,6 +398,85 @@ def hypercube_distances(pairs: DataFrame, a: str, b: str, keep: list[str]) -> Da
     return pairs.mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "distance double"]))
 
 
+def _potentials(k: int) -> np.ndarray:
+    """Every whole function on the sign vectors of ``k`` markers that is 0 at none positive and differs by at most 1 between neighbours (rows)."""
+    n = 2**k
+    some = np.zeros((1, 1), int)
+    for v in range(1, n):
+        near = [v ^ (1 << bit) for bit in range(k) if v >> bit & 1]  # these come before v
+        tall = np.stack([np.hstack([some, some[:, near[:1]] + step]) for step in (-1, 0, 1)]).reshape(-1, v + 1)
+        some = tall[(np.abs(tall[:, near] - tall[:, v:]) <= 1).all(1)]
+    return some
+
+
+def cube_distances(pairs: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
+    """Earth mover's distances of pairs of shares of three markers' sign vectors.
+
+    By duality the distance is the largest mean difference of a function whose neighbours differ by at most 1. The whole ones suffice, and
+    of three markers there are few: a product of matrices for each Arrow batch.
+    """
+    types = dict(pairs.dtypes)
+    potentials = _potentials(3).T.astype(float)
+
+    def run(batches):
+        for pdf in batches:
+            pdf["distance"] = ((np.stack(pdf[a]) - np.stack(pdf[b])) @ potentials).max(1) if len(pdf) else 0.0
+            yield pdf[[*keep, "distance"]]
+
+    return pairs.mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "distance double"]))
+
+
+def cell_marginals(cells: DataFrame, sample: str, cell: str, value: str, markers: list[str], ways: int) -> DataFrame:
+    """(sample, parts): for each combination of up to ``ways`` markers the shares of its sign vectors, by one aggregation.
+
+    ``cell`` is the number of a sign vector whose bit k is set where marker k is positive. ``parts`` is an array of structs
+    (way, markers, p) in the order of way and markers, ``p`` by the number of the shorter sign vector; a sample without mass has nulls.
+    """
+    m = len(markers)
+    combos = [c for way in range(1, min(ways, m) + 1) for c in combinations(range(m), way)]
+    code = lambda c: sum((F.shiftleft(F.shiftright(F.col(cell), k).bitwiseAND(1), at) for at, k in enumerate(c)), F.lit(0)).cast("int")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("part"), code(c).alias("code")) for n, c in enumerate(combos))))
+    long = cells.groupBy(sample, cell).agg(F.sum(value).cast("double").alias("_v")).select(sample, "_v", each.alias("_c")).select(sample, "_v", "_c.*")
+    sums = long.groupBy(sample, "part").agg(F.sum("_v").alias("_n"), F.array(*(F.sum(F.when(F.col("code") == k, F.col("_v")).otherwise(0.0)) for k in range(2 ** min(ways, m)))).alias("_p"))
+    names = F.array(*(F.struct(F.lit(len(c)).alias("way"), F.lit("|".join(markers[k] for k in c)).alias("markers")) for c in combos))
+    one = sums.select(sample, "part", F.get(names, F.col("part")).alias("_name"), F.transform("_p", lambda x: x / F.nullif("_n", F.lit(0.0))).alias("_p"))
+    one = one.select(sample, F.struct("part", "_name.way", "_name.markers", F.slice("_p", 1, F.pow(F.lit(2), F.col("_name.way")).cast("int")).alias("p")).alias("_s"))
+    return one.groupBy(sample).agg(F.transform(F.array_sort(F.collect_list("_s")), lambda x: F.struct(x["way"].alias("way"), x["markers"].alias("markers"), x["p"].alias("p"))).alias("parts"))
+
+
+def decomposed_distances(cells: DataFrame, pairs: DataFrame, a: str, b: str, sample: str, cell: str, value: str, markers: list[str], ways: int = 3) -> DataFrame:
+    """(a, b, markers, nmarkers, distance): transport distances of the marginals of up to ``ways`` markers, for given pairs of samples.
+
+    A distance is divided by the number of combinations of its order that hold one marker. Marginals are taken once a sample. One marker: the difference of
+    shares. Two: a flow round a ring of four, whose cost is the spread of its running differences about their median. Three: cube_distances().
+    More: the hypercube's flow, pair by pair, with masses in whole hundred-thousandths. A sample without mass has null distances; pairs of
+    samples without cells are absent.
+    """
+    parts = cell_marginals(cells, sample, cell, value, markers, ways)
+    both = pairs.select(a, b).join(parts.select(F.col(sample).alias(a), F.col("parts").alias("_x")), a).join(parts.select(F.col(sample).alias(b), F.col("parts").alias("_y")), b)
+    long = both.select(a, b, F.explode(F.arrays_zip("_x", "_y")).alias("_z")).select(a, b, F.col("_z._x.markers").alias("markers"), F.col("_z._x.way").alias("nmarkers"), F.col("_z._x.p").alias("_p"), F.col("_z._y.p").alias("_q"))
+    share = F.get(F.array(*(F.lit(1.0 / comb(len(markers) - 1, k)) for k in range(len(markers)))), F.col("nmarkers") - 1)
+    d = lambda k: F.get("_p", F.lit(k)) - F.get("_q", F.lit(k))
+    ring = F.array_sort(F.array(F.lit(0.0), d(0), d(0) + d(1), d(0) + d(1) + d(3)))
+    at = lambda k: F.get(ring, F.lit(k))
+    closed = F.when(F.col("nmarkers") == 1, F.abs(d(1))).otherwise(F.when(d(0).isNotNull(), at(3) + at(2) - at(1) - at(0)))
+    keys = [a, b, "markers", "nmarkers"]
+    out = long.where("nmarkers <= 2").select(*keys, (closed * share).alias("distance"))
+    if min(ways, len(markers)) < 3:
+        return out
+    there = F.get("_p", F.lit(0)).isNotNull() & F.get("_q", F.lit(0)).isNotNull()
+    high = cube_distances(long.where((F.col("nmarkers") == 3) & there), "_p", "_q", keys)
+    if min(ways, len(markers)) > 3:
+        high = high.unionByName(hypercube_distances(long.where((F.col("nmarkers") > 3) & there), "_p", "_q", keys))
+    none = long.where((F.col("nmarkers") > 2) & ~there).select(*keys, F.lit(None).cast("double").alias("distance"))
+    return out.unionByName(high.withColumn("distance", F.col("distance") * share)).unionByName(none)
+
+
+def distances_by_order(parts: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, nmarkers, distance): the sum of a pair's distances of one order."""
+    return parts.groupBy(a, b, "nmarkers").agg(F.sum("distance").alias("distance"))
+
+
 def response_of_dose(dose: Column, top: Column, slope: Column, mid: Column, bottom: Column, skew: Column) -> Column:
     """The dilution curve as a Column expression."""
     return bottom + (top - bottom) / F.pow(1 + F.pow(dose / mid, -slope), skew)

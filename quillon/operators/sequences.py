@@ -12,6 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.prefix import range_parts, running
+from quillon.session import stage
+
 
 def kmers(df: DataFrame, key: str, seq: str, k: int, step: int = 1, final: bool = False, keep: list[str] = ()) -> DataFrame:
     """(key, start, kmer) of every window; ``step`` skips, ``final`` adds the last window if the steps miss it."""
@@ -293,6 +296,39 @@ def hotspots(kmer_scores: DataFrame, protein: str, start: str, score: str, k: in
     return spread.groupBy(protein, "site").agg(F.sum(score).alias("score"))
 
 
+def hotspot_test(weights: DataFrame, protein: str, allele: str, start: str, weight: str, k: int, n: int = 100, seed: int = 0) -> DataFrame:
+    """(protein, kind, position, share, p): shares of binding by k-mer ("kmer") and by site ("site"), against k-mers in random order.
+
+    ``weights`` has the binders of a k-mer's start, by allele, times the allele's frequency; starts from 0 without a row weigh 0 up to the
+    protein's last. In each of ``n`` replicates the starts of every allele are put in the order of a hash, so that alleles keep what they
+    bind and lose where. A site's share is that of the k-mers that cover it, and the null of sites leaves out the first k - 1, which
+    fewer cover. p = (null values of the protein above the share + 1) / (all + 1), of shares to 12 places. Rows with a null start or weight
+    count nothing; a protein without weight has null shares and is left out.
+    """
+    w = weights.where(F.col(start).isNotNull() & F.col(weight).isNotNull()).groupBy(protein, allele, F.col(start).cast("long").alias(start)).agg(F.sum(weight).alias("_w"))
+    w = stage(w)
+    size = w.groupBy(protein).agg((F.max(start) + 1).alias("_n"), F.sum("_w").cast("double").alias("_t")).where("_t > 0")
+    grid = w.select(protein, allele).distinct().join(size, protein).select(protein, allele, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(start))
+    full = grid.join(w, [protein, allele, start], "left").na.fill(0, ["_w"])
+    draw = F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in (protein, allele, start, "replicate")), F.lit(str(seed))))
+    order = Window.partitionBy(protein, allele, "replicate").orderBy(draw, start)  # a protein's starts
+    mixed = full.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate")).select(protein, "replicate", (F.row_number().over(order) - 1).cast("long").alias("position"), "_w")
+    placed = full.select(protein, F.lit(0).alias("replicate"), F.col(start).alias("position"), "_w").unionByName(mixed).groupBy(protein, "replicate", "position").agg(F.sum("_w").cast("double").alias("_w"))
+    tail = size.select(protein, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("replicate"), F.explode(F.sequence(F.col("_n"), F.col("_n") + k - 2)).alias("position")) if k > 1 else None
+    sites = placed if tail is None else placed.unionByName(tail.withColumn("_w", F.lit(0.0)))
+    cover = Window.partitionBy(protein, "replicate").orderBy("position").rangeBetween(-(k - 1), 0)
+    sites = sites.select(protein, "replicate", "position", (F.sum("_w").over(cover) / k).alias("_w"))
+    both = placed.select(protein, F.lit("kmer").alias("kind"), "replicate", "position", "_w").unionByName(sites.select(protein, F.lit("site").alias("kind"), "replicate", "position", "_w"))
+    shares = stage(both.join(size.select(protein, "_t"), protein).select(protein, "kind", "replicate", "position", F.round(F.col("_w") / F.col("_t"), 12).alias("share")))
+    null = (F.col("replicate") > 0) & ((F.col("kind") == "kmer") | (F.col("position") >= k - 1))
+    counts = shares.groupBy(protein, "kind", "share").agg(F.count_if(null).alias("_null"), F.count_if(F.col("replicate") == 0).alias("_seen"))
+    total = counts.groupBy(protein, "kind").agg(F.sum("_null").alias("_all"))
+    above = running(range_parts(counts, "share"), [protein, "kind"], ["share"], ["_null"], descending=True).where("_seen > 0")
+    p = above.select(protein, "kind", "share", (F.col("run__null") - F.col("_null") + 1).alias("_above")).join(total, [protein, "kind"])
+    p = p.select(protein, "kind", "share", (F.col("_above") / (F.col("_all") + 1)).alias("p"))
+    return shares.where("replicate = 0").join(p, [protein, "kind", "share"]).select(protein, "kind", "position", "share", "p")
+
+
 def population_binding(binding: DataFrame, frequencies: DataFrame, mer: str, allele: str, threshold: float) -> DataFrame:
     """Share of a population that carries a binding allele: 1 - prod(1 - f)^2 over the alleles below the threshold."""
     hits = binding.where(F.col("ic50") < threshold).join(frequencies, allele).groupBy(mer).agg((1 - F.exp(2 * F.sum(F.ln(1 - F.col("freq"))))).alias("share"), F.count(F.lit(1)).alias("alleles"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "agg10_grouping_sets"
-_MODULES = ("relational", "statistics", "sequence", "inference", "comparisons", "regressions", "connectors")
+_MODULES = ("relational", "statistics", "sequence", "inference", "comparisons", "regressions", "connectors", "reductions")
 
 
 def query(name: str, sql: str | None = None):
