@@ -14,6 +14,7 @@ from quillon.operators.aggregates import gate_counts, marker_sign, response
 from quillon.operators.association import auc, confusion, partial_correlation, relations
 from quillon.operators.estimators import centred_log_ratio, generalized_simpson, log_ratios, nelson_aalen
 from quillon.operators.filters import discard_low
+from quillon.operators.prefix import numbered, range_parts, running
 from quillon.operators.regression import cox_regression
 from quillon.operators.tests import adjust, fisher_exact, odds_ratio, rank_sum, wilson
 from quillon.session import stage
@@ -129,17 +130,35 @@ def condensed_correlations(correlations: DataFrame, columns: list[str]) -> DataF
 def shuffled_labels(labels: DataFrame, sample: str, label: str, n: int, seed: int = 0) -> DataFrame:
     """(replicate, sample, label): the labels as they are (replicate -1) and ``n`` times shuffled.
 
-    A sample's place in a replicate is the rank of a hash of both. The table is of samples
-    times replicates.
+    A sample's place in a replicate is the rank of a hash of both, by ranges of both, so that
+    no task holds a replicate. The table is of samples times replicates.
     """
-    given = labels.select(sample, label).withColumn("_k", F.row_number().over(Window.orderBy(sample)))  # of samples, a few
-    reps = given.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    given = stage(numbered(labels.select(sample, label), [sample], "_k"))
+    size = given.count()
     draw = F.md5(F.concat_ws(":", F.col(sample).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
-    reps = reps.select("replicate", sample, F.row_number().over(Window.partitionBy("replicate").orderBy(draw, sample)).alias("_k"))
-    shuffled = reps.join(F.broadcast(given.select("_k", label)), "_k").select("replicate", sample, label)
+    reps = given.select(sample, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).select("replicate", sample, draw.alias("_draw"))
+    placed = numbered(reps, ["replicate", "_draw", sample], "_at").select("replicate", sample, (F.col("_at") - F.col("replicate") * size).alias("_k"))
+    shuffled = placed.join(given.select("_k", label), "_k").select("replicate", sample, label)
     return given.select(F.lit(-1).alias("replicate"), sample, label).unionByName(shuffled)
 
 
+def _ranked_labels(labels: DataFrame, sample: str, label: str) -> DataFrame:
+    """(sample, label) with tie-averaged ranks for the labels, from running counts of the distinct ones."""
+    counts = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running(range_parts(counts, label), [], [label], ["_n"]).select(label, (F.col("run__n") - (F.col("_n") - 1) / 2).alias("_rank"))
+    return labels.join(ranks, label).select(sample, F.col("_rank").alias(label))
+
+
+def _shuffled_statistics(values: DataFrame, sample: str, features: list[str], value: str, labels: DataFrame, label: str, n: int, statistic: str, seed: int) -> DataFrame:
+    """(replicate, features..., s): each feature's statistic under the labels as they are (-1) and shuffled."""
+    if statistic == "rho":
+        each = Window.partitionBy(*features)
+        values = values.withColumn(value, F.rank().over(each.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*features, value)) - 1) / 2)
+        labels = _ranked_labels(labels, sample, label)
+    s = F.corr(F.col(value).cast("double"), F.col(label).cast("double")) if statistic == "rho" else _label_statistic(statistic, value, label)
+    return values.join(shuffled_labels(labels, sample, label, n, seed), sample).groupBy("replicate", *features).agg(s.alias("s"))
+
+
 def _label_statistic(kind: str, value: str, label: str) -> Column:
     one, two = F.when(F.col(label), F.col(value)), F.when(~F.col(label), F.col(value))
     gap = F.avg(one) - F.avg(two)
@@ -156,13 +175,7 @@ def label_permutation_tests(values: DataFrame, sample: str, features: list[str],
     ``statistic`` is dmean or t (pooled) for boolean labels, rho (Spearman's) for
     numeric ones. p = (count at least as far from zero + 1) / (n + 1).
     """
-    shuffled = shuffled_labels(labels, sample, label, n, seed)
-    if statistic == "rho":
-        rank = lambda c, by: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-        values = values.withColumn(value, rank(value, features))
-        shuffled = shuffled.withColumn(label, rank(label, ["replicate"]))
-    s = F.corr(F.col(value).cast("double"), F.col(label).cast("double")) if statistic == "rho" else _label_statistic(statistic, value, label)
-    each = values.join(F.broadcast(shuffled), sample).groupBy("replicate", *features).agg(s.alias("s"))
+    each = _shuffled_statistics(values, sample, features, value, labels, label, n, statistic, seed)
     far = F.abs("s") >= F.abs("observed") - 1e-12
     w = Window.partitionBy(*features)
     each = each.withColumn("observed", F.max(F.when(F.col("replicate") == -1, F.col("s"))).over(w))
@@ -171,10 +184,9 @@ def label_permutation_tests(values: DataFrame, sample: str, features: list[str],
 
 
 def global_label_test(values: DataFrame, sample: str, features: list[str], value: str, labels: DataFrame, label: str, n: int = 200, statistic: str = "dmean", summary: str = "sum", seed: int = 0) -> DataFrame:
-    """(observed, p) of one summary over all features: the sum or greatest of squares (dmean) or of absolute values (t)."""
-    s = _label_statistic(statistic, value, label)
-    each = values.join(F.broadcast(shuffled_labels(labels, sample, label, n, seed)), sample).groupBy("replicate", *features).agg(s.alias("s"))
-    size = F.col("s") * F.col("s") if statistic == "dmean" else F.abs("s")
+    """(observed, p) of one summary over all features: the sum or greatest of squares (dmean, or rho of numeric labels) or of absolute values (t)."""
+    each = _shuffled_statistics(values, sample, features, value, labels, label, n, statistic, seed)
+    size = F.abs("s") if statistic == "t" else F.col("s") * F.col("s")
     whole = each.groupBy("replicate").agg((F.sum(size) if summary == "sum" else F.max(size)).alias("s"))
     seen = whole.where("replicate = -1").select(F.col("s").alias("observed"))
     return whole.where("replicate >= 0").join(F.broadcast(seen)).groupBy("observed").agg(((F.count_if(F.col("s") >= F.col("observed") - 1e-12) + 1) / (n + 1)).alias("p"))
@@ -430,11 +442,10 @@ def mutual_information_test(df: DataFrame, row: str, x: str, y: str, n: int = 10
 
 def kernel_permutation_test(kernel: DataFrame, residuals: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
     """(q, p): r' K r / s^2 of residuals (i, r) with a kernel (i, j, k), and the share of shuffles of r that have as much."""
-    shuffled = F.broadcast(shuffled_labels(residuals, "i", "r", n, seed))  # as many rows as the kernel is wide, a shuffle
-    left = kernel.join(shuffled.withColumnRenamed("r", "ri"), "i")
-    both = left.join(shuffled.withColumnsRenamed({"i": "j", "r": "rj"}), ["replicate", "j"])
-    s2 = residuals.agg(F.var_samp("r").alias("s2"))
-    each = both.groupBy("replicate").agg(F.sum(F.col("ri") * F.col("k") * F.col("rj")).alias("s")).join(s2).withColumn("s", F.col("s") / F.col("s2"))
+    shuffled = shuffled_labels(residuals, "i", "r", n, seed)
+    image = kernel.join(shuffled.withColumnsRenamed({"i": "j"}), "j").groupBy("replicate", "i").agg(F.sum(F.col("k") * F.col("r")).alias("_kr"))
+    s2 = residuals.agg(F.var_samp("r").alias("s2"))  # one row
+    each = image.join(shuffled, ["replicate", "i"]).groupBy("replicate").agg(F.sum(F.col("r") * F.col("_kr")).alias("s")).join(s2).withColumn("s", F.col("s") / F.col("s2"))
     seen = each.where("replicate = -1").select(F.col("s").alias("q"))
     return each.where("replicate >= 0").join(F.broadcast(seen)).groupBy("q").agg(((F.count_if(F.col("s") >= F.col("q") * (1 - 1e-12)) + 1) / (n + 1)).alias("p"))
 

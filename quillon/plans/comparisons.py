@@ -147,6 +147,18 @@ def cp4(spark, d):
     return rounded(C.clr_label_tests(_otu(spark, d), "s", "f", "v", _labels(spark, d), "lab", 60), 9)
 
 
+_RHO = _SHUFFLED.replace("s % 2 = 0 AS lab,", "rank() OVER (ORDER BY s % 7) + (count(*) OVER (PARTITION BY s % 7) - 1) / 2 AS lab,")
+
+
+@query(
+    "cp3_global_rho",
+    f"WITH {_OTU}, {_RHO}, v AS (SELECT s, f, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2 AS x FROM o), z AS (SELECT rep, f, corr(x, lab) AS d FROM v JOIN m USING (s) GROUP BY 1, 2), w AS (SELECT rep, sum(d * d) AS d FROM z GROUP BY 1) SELECT round(b.d, 9) AS observed, round((count(*) FILTER (w.d >= b.d - 1e-12) + 1) / 61, 9) AS p FROM w, (SELECT d FROM w WHERE rep = -1) b WHERE rep >= 0 GROUP BY b.d",
+)
+def cp3_rho(spark, d):
+    otu = _otu(spark, d)
+    return rounded(C.global_label_test(otu, "s", ["f"], "v", otu.select("s").distinct().withColumn("lab", F.col("s") % 7), "lab", 60, "rho"), 9)
+
+
 @query("cp3_global_test", f"WITH {_OTU}, {_SHUFFLED}, {_CLR}, z AS (SELECT rep, f, {_DMEAN} AS d FROM v JOIN m USING (s) GROUP BY 1, 2), w AS (SELECT rep, sum(d * d) AS d FROM z GROUP BY 1) SELECT round(b.d, 9) AS observed, round((count(*) FILTER (w.d >= b.d - 1e-12) + 1) / 61, 9) AS p FROM w, (SELECT d FROM w WHERE rep = -1) b WHERE rep >= 0 GROUP BY b.d")
 def cp3(spark, d):
     values = E.centred_log_ratio(_otu(spark, d), "s", "f", "v")
