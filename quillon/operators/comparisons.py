@@ -450,6 +450,25 @@ def kernel_permutation_test(kernel: DataFrame, residuals: DataFrame, n: int = 10
     return each.where("replicate >= 0").join(F.broadcast(seen)).groupBy("q").agg(((F.count_if(F.col("s") >= F.col("q") * (1 - 1e-12)) + 1) / (n + 1)).alias("p"))
 
 
+def kernel_omnibus_test(kernels: DataFrame, kernel: str, residuals: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
+    """(kernel, q, p, omnibus): kernel_permutation_test() of several kernels (kernel, i, j, k) under the same shuffles of r, and one p of all.
+
+    The labels as they are count as one of n + 1: a score's p is the share of its kernel's scores that are no less, the omnibus the share of the
+    labellings whose least p over the kernels is no greater than the given one's. Scores within 1e-12 of the kernel's greatest are ties.
+    """
+    shuffled = shuffled_labels(residuals, "i", "r", n, seed)
+    image = kernels.join(shuffled.withColumnRenamed("i", "j"), "j").groupBy(kernel, "replicate", "i").agg(F.sum(F.col("k") * F.col("r")).alias("_kr"))
+    s2 = residuals.agg(F.var_samp("r").alias("s2"))  # one row
+    scores = image.join(shuffled, ["replicate", "i"]).groupBy(kernel, "replicate").agg(F.sum(F.col("r") * F.col("_kr")).alias("s")).join(s2)
+    own = Window.partitionBy(kernel)  # a number a labelling
+    steps = scores.select(kernel, "replicate", (F.col("s") / F.col("s2")).alias("q")).withColumn("_q", F.round(F.col("q") / F.nullif(F.max(F.abs("q")).over(own), F.lit(0.0)), 12))
+    each = stage(steps.withColumn("p", F.count(F.lit(1)).over(own.orderBy(F.desc("_q")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) / (n + 1)))
+    least = each.groupBy("replicate").agg(F.min("p").alias("_least"))
+    best = least.where("replicate = -1").select(F.col("_least").alias("_best"))
+    omnibus = least.join(F.broadcast(best)).agg((F.count_if(F.col("_least") <= F.col("_best")) / (n + 1)).alias("omnibus"))
+    return each.where("replicate = -1").select(kernel, "q", "p").join(F.broadcast(omnibus))  # one row
+
+
 def cox_two_arms(df: DataFrame, duration: str, event: Column, arm: Column, alpha: float = 0.05) -> DataFrame:
     """(log_ratio, se, ratio, lo, hi, p) of the arm's hazard by Cox's partial likelihood; see cox_regression()."""
     rows = df.select(F.col(duration).alias("_t"), event.alias("_e"), arm.cast("double").alias("_a"))

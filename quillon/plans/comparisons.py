@@ -325,6 +325,29 @@ def ro16_test(spark, d):
     return out.select(F.round("q", 3).alias("q"), F.round("p", 9).alias("p"))
 
 
+@query(
+    "ro16_omnibus",
+    f"""WITH {_K}, x AS (SELECT s_suppkey AS i, s_acctbal / 700 + s_nationkey AS v FROM supplier),
+    ks AS (SELECT 'distance' AS kernel, i, j, k FROM k UNION ALL SELECT 'linear', a.i, b.i, a.v * b.v FROM x a, x b),
+    l AS (SELECT s_suppkey AS i, s_nationkey - (SELECT avg(s_nationkey) FROM supplier) AS r, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier),
+    h AS (SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY md5(i || ':' || rep || ':0'), i) AS n FROM l, range(0, 20) t(rep)),
+    m AS (SELECT -1 AS rep, i, r FROM l UNION ALL SELECT rep, h.i, l.r FROM h JOIN l USING (n)),
+    s AS (SELECT kernel, a.rep, sum(a.r * k * b.r) / (SELECT var_samp(r) FROM l) AS q FROM ks JOIN m a ON ks.i = a.i JOIN m b ON ks.j = b.i AND a.rep = b.rep GROUP BY 1, 2),
+    z AS (SELECT *, round(q / max(abs(q)) OVER (PARTITION BY kernel), 12) AS z FROM s),
+    pv AS (SELECT a.kernel, a.rep, a.q, count(*) / 21 AS p FROM z a JOIN z b ON a.kernel = b.kernel AND b.z >= a.z GROUP BY 1, 2, 3),
+    e AS (SELECT rep, min(p) AS p FROM pv GROUP BY 1)
+    SELECT kernel, round(q, 3) AS q, round(p, 9) AS p, (SELECT round(count(*) / 21, 9) FROM e WHERE p <= (SELECT p FROM e WHERE rep = -1)) AS omnibus FROM pv WHERE rep = -1""",
+)
+def ro16_omnibus(spark, d):
+    s = load(spark, d, "supplier")
+    m = s.agg(F.avg("s_nationkey")).first()[0]
+    x = s.select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 700 + F.col("s_nationkey")).alias("v"))
+    linear = x.crossJoin(x.toDF("j", "w")).select(F.lit("linear").alias("kernel"), "i", "j", (F.col("v") * F.col("w")).alias("k"))  # a kernel is a table of all pairs
+    kernels = linear.unionByName(M.gower_kernel(_distances(spark, d)).withColumn("kernel", F.lit("distance")))
+    out = C.kernel_omnibus_test(kernels, "kernel", s.select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") - m).alias("r")), 20)
+    return out.select("kernel", F.round("q", 3).alias("q"), F.round("p", 9).alias("p"), F.round("omnibus", 9).alias("omnibus"))
+
+
 @query("flt8_complete_pairs", f"WITH {_WIDE_SQL} SELECT id, q, t FROM w WHERE q IS NOT NULL AND t IS NOT NULL")
 def flt8(spark, d):
     return C.complete_pairs(_wide(spark, d), "q", "t").select("id", "q", "t")
