@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.distributions import NORMAL, normal_cdf_col
+from quillon.session import shuffle_partitions
 
 Stat = Callable[[Column], dict[str, Column]]
 
@@ -91,13 +92,24 @@ def permutation_test(df: DataFrame, row: str, group: Column, stat: Callable[[Col
 
 
 def permuted_correlation(df: DataFrame, row: str, x: str, y: str, n: int = 500, seed: int = 0) -> DataFrame:
-    """(rho, p) of a correlation under permutations of y: ranks of two hashes are matched, one join a run."""
+    """(rho, p) of a correlation under permutations of y: ranks of two hashes are matched, one join a run.
+
+    Ranks are taken in ranges of the hash, so that no task holds a replicate. The join is of rows times replicates on both sides, whose
+    size Spark takes for that of the rows: it is told to merge, not to broadcast one.
+    """
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(row, x, y)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")
-    rank = lambda s: F.row_number().over(Window.partitionBy("replicate").orderBy(F.xxhash64(row, "replicate", F.lit(s)), row))
-    a = d.select(row, x, reps).select("replicate", x, rank(seed).alias("k"))
-    b = d.select(row, y, reps).select("replicate", y, rank(seed + 1).alias("k"))
-    s = a.join(b, ["replicate", "k"]).groupBy("replicate").agg(F.corr(x, y).alias("s"))
+    parts = shuffle_partitions(df.sparkSession)
+    d = d.repartition(parts)  # a file of few rows is one task's otherwise
+
+    def ranked(value: str, s: int) -> DataFrame:
+        rows = d.select(row, value, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).withColumn("_h", F.xxhash64(row, "replicate", F.lit(s)))
+        rows = rows.withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
+        before = Window.partitionBy("replicate").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        starts = rows.groupBy("replicate", "_b").agg(F.count(F.lit(1)).alias("_n")).select("replicate", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        own = rows.select("replicate", "_b", value, F.row_number().over(Window.partitionBy("replicate", "_b").orderBy("_h", row)).alias("_own"))
+        return own.join(F.broadcast(starts), ["replicate", "_b"]).select("replicate", value, (F.col("_own") + F.col("_start")).alias("k"))
+
+    s = ranked(x, seed).join(ranked(y, seed + 1).hint("merge"), ["replicate", "k"]).groupBy("replicate").agg(F.corr(x, y).alias("s"))
     return s.join(d.agg(F.corr(x, y).alias("rho"))).groupBy("rho").agg(((F.sum((F.abs("s") >= F.abs("rho")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
