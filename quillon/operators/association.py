@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.distributions import normal_cdf_col, t_p_col, z_value
 from quillon.operators.aggregates import mid_rank
+from quillon.operators.prefix import range_parts, running
 from quillon.operators.tests import adjust, fisher_exact, wilson
+from quillon.session import stage
 
 
 def _long(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
@@ -217,13 +219,24 @@ def auc_interval(areas: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def delong_test(df: DataFrame, row: str, score_a: str, score_b: str, observed: Column) -> DataFrame:
-    """Difference of two paired AUCs with its DeLong z and two-sided p."""
+    """Difference of two paired AUCs with its DeLong z and two-sided p.
+
+    A row's component is its place among the rows of the other outcome: running counts of the distinct scores, by ranges of them.
+    """
     d = df.withColumn("_o", observed).where(F.col("_o").isNotNull() & F.col(score_a).isNotNull() & F.col(score_b).isNotNull())
-    own = Window.partitionBy("_o")
-    r = d.select("_o", *(c for s, x in (("a", score_a), ("b", score_b)) for c in (mid_rank(x).alias(f"all_{s}"), mid_rank(x, ["_o"]).alias(f"own_{s}"))), F.count(F.lit(1)).over(own).alias("mine"), F.count(F.lit(1)).over(Window.partitionBy()).alias("every"))
-    other = F.col("every") - F.col("mine")
-    comp = lambda s: F.when(F.col("_o"), (F.col(f"all_{s}") - F.col(f"own_{s}")) / other).otherwise(1 - (F.col(f"all_{s}") - F.col(f"own_{s}")) / other)
-    v = r.withColumn("va", comp("a")).withColumn("vb", comp("b")).groupBy("_o").agg(F.avg("va").alias("ma"), F.avg("vb").alias("mb"), ((F.var_samp("va") + F.var_samp("vb") - 2 * F.covar_samp("va", "vb")) / F.count(F.lit(1))).alias("v"))
+    cells = stage(d.groupBy("_o", F.col(score_a).alias("_x"), F.col(score_b).alias("_y")).agg(F.count(F.lit(1)).alias("_n")))
+    size = cells.agg(F.sum(F.when(F.col("_o"), F.col("_n"))).alias("_np"), F.sum(F.when(~F.col("_o"), F.col("_n"))).alias("_nq"))  # one row
+
+    def component(score: str, name: str) -> DataFrame:
+        n = cells.groupBy(score).agg(F.sum(F.when(F.col("_o"), F.col("_n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("_o"), F.col("_n")).otherwise(0)).alias("q"))
+        at = running(range_parts(n, score), [], [score], ["p", "q"]).join(F.broadcast(size))
+        return at.select(score, ((F.col("run_q") - F.col("q") / 2) / F.col("_nq")).alias(f"{name}1"), (1 - (F.col("run_p") - F.col("p") / 2) / F.col("_np")).alias(f"{name}0"))
+
+    r = cells.join(component("_x", "a"), "_x").join(component("_y", "b"), "_y")
+    r = r.select("_o", "_n", *(F.when(F.col("_o"), F.col(f"{s}1")).otherwise(F.col(f"{s}0")).alias(f"v{s}") for s in "ab"))
+    sums = r.withColumn("_d", F.col("va") - F.col("vb")).groupBy("_o").agg(F.sum("_n").alias("_m"), *((F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(m) for c, m in (("va", "ma"), ("vb", "mb"), ("_d", "md"))))
+    off = r.join(F.broadcast(sums), "_o").withColumn("_e", F.col("va") - F.col("vb") - F.col("md"))  # two rows
+    v = off.groupBy("_o", "_m", "ma", "mb").agg(F.try_divide(F.sum(F.col("_n") * F.col("_e") * F.col("_e")), (F.col("_m") - 1) * F.col("_m")).alias("v"))
     s = v.agg(F.max(F.when(F.col("_o"), F.col("ma"))).alias("auc_a"), F.max(F.when(F.col("_o"), F.col("mb"))).alias("auc_b"), F.sum("v").alias("variance"))
     s = s.withColumn("z", F.try_divide(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")))
     return s.withColumn("p", 2 * normal_cdf_col(-F.abs("z")))
