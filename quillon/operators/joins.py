@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import stage
+
 
 def left_suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     """Left equi-join; the right side's other columns get the suffix."""
@@ -45,12 +47,18 @@ def paired(df: DataFrame, unit: str, category: str, value: str) -> DataFrame:
 def match_substring(files: DataFrame, samples: DataFrame, file: str, sample: str) -> DataFrame:
     """Files with the sample whose name they contain; only where the match is one to one.
 
-    A nested-loop join, as no key exists: it is for file listings, whose length
-    is that of the sample table.
+    A file meets a sample by its substrings as long as some sample's name, so the join has a key; equal files and equal samples meet once,
+    with their number of rows.
     """
-    hits = files.join(samples, F.col(file).contains(F.col(sample)))
-    one = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
-    return hits.withColumn("_a", one(file)).withColumn("_b", one(sample)).where("_a AND _b").drop("_a", "_b")
+    f = files.where(F.col(file).isNotNull()).groupBy(F.col(file).alias("_f")).agg(F.count(F.lit(1)).alias("_nf"))
+    s = samples.where(F.col(sample).isNotNull()).groupBy(F.col(sample).alias("_s")).agg(F.count(F.lit(1)).alias("_ns"))
+    lengths = F.broadcast(s.select(F.length("_s").alias("_l")).distinct())  # as many as names have lengths
+    places = F.when(F.col("_l") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_f") - F.col("_l") + 1))
+    cut = f.join(lengths, F.length("_f") >= F.col("_l")).select("_f", "_nf", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_f"), i, F.col("_l"))))).alias("_s"))
+    hits = stage(cut.join(s, "_s").select("_f", "_s", (F.col("_nf") * F.col("_ns")).alias("_n")))
+    one = lambda c: hits.groupBy(c).agg(F.sum("_n").alias("_all")).where("_all = 1").select(c)
+    pairs = hits.join(one("_f"), "_f").join(one("_s"), "_s").select("_f", "_s")
+    return files.join(pairs, F.col(file) == F.col("_f")).join(samples, F.col("_s") == F.col(sample)).select(*(files[c] for c in files.columns), *(samples[c] for c in samples.columns))
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], bin_size: int) -> DataFrame:
