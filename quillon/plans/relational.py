@@ -606,8 +606,7 @@ def set4(spark, d):
     SELECT h.g1, h.g2, h.shared, round(h.shared / s1.n, 9) AS share, round((h.shared + coalesce(k.shared, 0)) / (s1.n + s2.n), 9) AS "index" FROM h LEFT JOIN h k ON h.g1 = k.g2 AND h.g2 = k.g1 JOIN s s1 ON h.g1 = s1.g JOIN s s2 ON h.g2 = s2.g""")
 def j15(spark, d):
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") % 5).alias("g"), "s_acctbal")
-    near = J.near_pairs(s, "i", "s_acctbal", 100).select("i", F.col("i_b").alias("j"), "d")
-    out = A.radius_shared(s, "i", "g", near, 100)
+    out = A.radius_shared_values(s, "i", "g", "s_acctbal", 100)
     return out.select("g1", "g2", "shared", F.round("share", 9).alias("share"), F.round("index", 9).alias("index"))
 
 
