@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import association, comparisons, joins, models, resampling, sequences
+from quillon.operators import aggregates, association, comparisons, joins, models, resampling, sequences
 
 
 def plan(df) -> str:
@@ -100,3 +100,20 @@ def test_kmers_and_sites_are_not_sorted(spark):
     for out in (got, sequences.assemble(df.withColumn("g", F.lit(1)), "g", "st", "seq")):
         below = plan(out).split("Generate")[0]  # what lies above the rows that are laid out
         assert "HashAggregate" in below.rsplit("Exchange", 1)[1]
+
+
+def test_nearness_of_numbers_needs_no_pairs_of_items(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(g), None if i == 7 else float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 4, 60), rng.uniform(-50, 50, 60).round(1)))]
+    df = spark.createDataFrame(rows, "i long, g int, v double")
+    near = joins.near_pairs(df, "i", "v", 3).select("i", F.col("i_b").alias("j"), "d")
+    want = aggregates.radius_shared(df, "i", "g", near, 3)
+    assert sorted(map(tuple, aggregates.radius_shared_values(df, "i", "g", "v", 3).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_coverage_of_one_mismatch(spark):
+    rng = np.random.default_rng(5)
+    t, p = (["".join(rng.choice(list("AC"), rng.integers(0, 7))) for _ in range(n)] for n in (60, 6))
+    got = sequences.coverage(*(spark.createDataFrame([(s,) for s in x], "seq string") for x in (p, t)), "seq", 1, 3).first()
+    close = [any(len(s) == len(q) and sum(c != d for c, d in zip(s, q)) <= 1 for q in p) for s in sorted(set(t))]
+    assert got["n"] == len(close) and abs(got["coverage"] - np.mean(close)) < 1e-12
