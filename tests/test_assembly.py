@@ -82,3 +82,32 @@ def test_no_rows(spark):
     assert assemble_overlapping(empty, "g", "k", "s").count() == 0
     with pytest.raises(ValueError):
         placements(empty, "g", "k", "s", 0)
+
+
+def test_query_and_sql_where_texts_meet(spark, tmp_path):
+    """Equal texts, overlaps by chance and rings, of which the SQL once knew nothing."""
+    import duckdb
+    from compare import plain as common
+    from compare import spark_rows
+
+    from quillon.plans import registry
+
+    registry.load_all()
+    sql = registry.ORACLES["sq16_overlaps"]
+    assert "md5(p_name || p_partkey)" in sql
+
+    def rows_of_sql(text, path):
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW part AS SELECT * FROM '{path}/part.parquet/*.parquet'")
+        return sorted(tuple(map(common, r)) for r in c.execute(f"SELECT contig, g, peptides, seq FROM ({sql.replace('md5(p_name || p_partkey)', text)})").fetchall())
+
+    names = "p_brand string, p_partkey long, p_name string"
+    spark.createDataFrame([("u", 2, "x1"), ("u", 12, "x"), ("u", 3, "y"), ("v", 2, "x1"), ("v", 4, None)], names).write.parquet(f"{tmp_path}/a/part.parquet")
+    got = spark_rows(registry.QUERIES["sq16_overlaps"](spark, f"{tmp_path}/a"))[1]
+    assert sorted(got) == rows_of_sql("md5(p_name || p_partkey)", tmp_path / "a") and sorted(r[2] for r in got) == [6, 6, 12]
+    rng = random.Random(3)
+    texts = ["ABCDEFGHIJKLMNOP" * 2, "HIJKLMNOPABCDEFG" * 2, "CDEFGHIJKLMNOPAB" * 2, *("".join(rng.choice("ABC") for _ in range(32)) for _ in range(20)), *("".join(rng.choice("AB") for _ in range(8)) * 4 for _ in range(6))]
+    spark.createDataFrame([("uv"[k % 2], k, t) for k, t in enumerate(texts)], names).write.parquet(f"{tmp_path}/b/part.parquet")
+    pieces = spark.read.parquet(f"{tmp_path}/b/part.parquet").selectExpr("p_brand AS g", "p_name AS t", "p_partkey", "explode(sequence(0, 20, 4)) AS at").selectExpr("g", "p_partkey * 100 + at AS k", "substring(t, at + 1, 12) AS s")
+    got = spark_rows(assemble_overlapping(pieces, "g", "k", "s", 8))[1]
+    assert sorted(got) == rows_of_sql("p_name", tmp_path / "b") and len(got) < len(texts)
