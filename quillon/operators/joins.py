@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import stage
+from quillon.session import shuffle_partitions, stage
 
 
 def left_suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
@@ -82,11 +82,37 @@ def near_pairs(df: DataFrame, key: str, value: str, radius: float, by: list[str]
     return left.join(right, [*by, "_c"]).withColumn("d", F.abs(F.col("_v") - F.col("_w"))).where((F.col("d") <= radius) & (F.col(key) != F.col(key + "_b"))).select(*by, key, key + "_b", "d")
 
 
+#: Rows of a group that block_pairs() joins with as many at a time.
+BLOCK = 2048
+
+
+def block_pairs(df: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Pairs of rows of equal ``by`` with key < key_b; right columns get ``_b``.
+
+    A group's rows fall into blocks of about BLOCK by a hash of the key, and each two blocks meet in a task of their own: a row is sent once for
+    each block of its group, no task gets a whole group, and few rows that make many pairs are spread over all tasks.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    rows = df.where(F.col(key).isNotNull())
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    rows = rows.join(sizes, by) if by else rows.crossJoin(F.broadcast(sizes))
+    rows = rows.withColumn("_k", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o")
+    at = [*by, "_p", "_q"]
+    names = [c for c in df.columns if c not in by]
+    left = rows.select(*by, *names, "_k", other).where("_k <= _o").select(*by, *names, F.col("_k").alias("_p"), F.col("_o").alias("_q")).repartition(n, *at)
+    right = rows.select(*by, *(F.col(c).alias(c + "_b") for c in names), "_k", other).where("_o <= _k").select(*by, *(c + "_b" for c in names), F.col("_o").alias("_p"), F.col("_k").alias("_q")).repartition(n, *at)
+    met = left.hint("merge").join(right, at).where((F.col("_p") < F.col("_q")) & (F.col(key) != F.col(key + "_b")) | (F.col(key) < F.col(key + "_b")))
+    swap = F.col(key) > F.col(key + "_b")  # of two blocks either may hold the lesser key
+    return met.select(*by, *(F.when(swap, F.col(c + "_b")).otherwise(F.col(c)).alias(c) for c in names), *(F.when(swap, F.col(c)).otherwise(F.col(c + "_b")).alias(c + "_b") for c in names))
+
+
 def all_pairs(df: DataFrame, key: str, by: list[str], symmetric: bool = True) -> DataFrame:
     """Pairs of rows within a group (all of it if ``by`` is empty), i < j if symmetric; right columns get ``_b``."""
+    if symmetric:
+        return block_pairs(df, key, by)
     right = df.select(*(F.col(c).alias(c if c in by else c + "_b") for c in df.columns))
-    cond = F.col(key) < F.col(key + "_b") if symmetric else F.lit(True)
-    return (df.join(right, by) if by else df.crossJoin(right)).where(cond)
+    return df.join(right, by) if by else df.crossJoin(right)
 
 
 def maximal_sets(sets: DataFrame, key: str, items: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import sequences as Q
+from quillon.operators.joins import block_pairs
 from quillon.plans.registry import query
 from quillon.plans.statistics import rounded
-from quillon.session import load, shuffle_partitions
+from quillon.session import load
 
 _S = "s AS (SELECT p_partkey AS id, translate(substr(md5(p_name || p_partkey), 1, 16), '0123456789abcdef', 'AACDEFGHIKAACC-A') AS seq, p_brand || '/' || p_size AS g FROM part)"
 
@@ -18,9 +19,8 @@ def _seqs(spark, d):
 
 
 def _pairs(spark, d):
-    """Pairs of a group's sequences; few rows make many, and are spread over the tasks first."""
-    s = _seqs(spark, d)
-    return s.repartition(shuffle_partitions(spark)).join(s.select("g", F.col("id").alias("id_b"), F.col("seq").alias("seq_b")), "g").where("id < id_b")
+    """Pairs of a group's sequences."""
+    return block_pairs(_seqs(spark, d), "id", ["g"])
 
 
 @query("sq1_kmers", f"WITH {_S} SELECT id, i::INT AS start, substr(seq, i::INT + 1, 9) AS kmer FROM s, range(0, 8) r(i)")
@@ -88,7 +88,7 @@ def sq7(spark, d):
 
 @query("sq10_hamming", f"WITH {_S} SELECT a.id, b.id AS id_b, hamming(a.seq, b.seq)::INT AS d FROM s a JOIN s b ON a.g = b.g AND a.id < b.id")
 def sq10(spark, d):
-    return Q.distance_table(_seqs(spark, d), "id", "seq", Q.hamming, ["g"]).select("id", "id_b", "d")
+    return Q.hamming_table(_seqs(spark, d), "id", "seq", ["g"]).select("id", "id_b", "d")
 
 
 @query("sq9_coverage", f"WITH {_S}, t AS (SELECT DISTINCT substr(seq, 1, 6) AS seq FROM s), p AS (SELECT DISTINCT substr(seq, 11, 6) AS seq FROM s WHERE id % 2 = 0) SELECT avg((EXISTS (SELECT 1 FROM p WHERE hamming(p.seq, t.seq) <= 1))::INT) AS coverage, count(*) AS n FROM t")

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import aggregates, association, comparisons, joins, models, resampling, sequences
+from quillon.operators import aggregates, association, comparisons, joins, models, regression, resampling, sequences
+from quillon.plans import registry
 
 
 def plan(df) -> str:
@@ -117,3 +118,22 @@ def test_coverage_of_one_mismatch(spark):
     got = sequences.coverage(*(spark.createDataFrame([(s,) for s in x], "seq string") for x in (p, t)), "seq", 1, 3).first()
     close = [any(len(s) == len(q) and sum(c != d for c, d in zip(s, q)) <= 1 for q in p) for s in sorted(set(t))]
     assert got["n"] == len(close) and abs(got["coverage"] - np.mean(close)) < 1e-12
+
+
+def test_pairs_meet_in_blocks(spark, monkeypatch):
+    """No task gets a whole group, and few rows are spread over all tasks."""
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, int(g), "".join(rng.choice(list("ACD-"), rng.integers(0, 17)))) for i, g in enumerate(rng.integers(0, 3, 120))]
+    rows += [(200, 0, None), (201, None, "AC"), (202, None, "A")]
+    df = spark.createDataFrame(rows, "id long, g int, seq string").repartition(3)
+    want = sorted((a[1], a[0], b[0], sum(x != y for x, y in zip(a[2], b[2]))) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] is not None and b[2] is not None)
+    out = sequences.hamming_table(df, "id", "seq", ["g"])
+    assert sorted(map(tuple, out.collect())) == want
+    assert "distinct" not in plan(out).lower() and "_p" in plan(out)
+    odd = df.withColumn("seq", F.regexp_replace("seq", "C", "é"))
+    assert sorted(map(tuple, sequences.hamming_table(odd, "id", "seq", ["g"]).collect())) == want
+    ones = joins.all_pairs(df.where("g = 1").select("id", "seq"), "id", [])
+    assert sorted((r["id"], r["id_b"], r["seq"], r["seq_b"]) for r in ones.collect()) == sorted((a[0], b[0], a[2], b[2]) for a in rows for b in rows if a[1] == b[1] == 1 and a[0] < b[0])
+    sizes = [r["n"] for r in joins.block_pairs(df, "id", ["g"]).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 4
