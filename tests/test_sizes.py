@@ -249,3 +249,19 @@ def test_cross_validation_by_sums(spark):
         beta = models.logistic_fit(z[fold != h], y[fold != h], l1=penalty)[0]
         p = models.logistic_predict(beta, z[fold == h])
         assert abs(r["auc"] - models.auc(y[fold == h] > 0.5, p)) < 1e-9 and abs(r["accuracy"] - ((p > 0.5) == (y[fold == h] > 0.5)).mean()) < 1e-9
+
+
+def test_scores_of_replicates_are_counted_in_many_tasks(spark, monkeypatch):
+    """A task explodes SCORES rows and replicates, not all of the one file that holds the rows."""
+    monkeypatch.setattr(regression, "SCORES", 200)
+    seen = []
+
+    def stage(df, plain=regression.stage):
+        seen.append(plan(df))
+        return plain(df)
+
+    monkeypatch.setattr(regression, "stage", stage)
+    rng = np.random.default_rng(10)
+    rows = [(i, int(rng.random() < 0.3 + 0.4 * (i % 2)), float(rng.normal() + i % 2)) for i in range(80)]
+    got = regression.optimism_bootstrap(spark.createDataFrame(rows, "id long, y int, x double").coalesce(1), "id", "y", ["x"], n=9).first()
+    assert got["used"] == 9 and any("_row" in p and ", 4), REPARTITION_BY_NUM" in p for p in seen)
