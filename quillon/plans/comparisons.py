@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions.distributions import normal_cdf_sql
@@ -11,10 +12,11 @@ from quillon.operators import aggregates as A
 from quillon.operators import comparisons as C
 from quillon.operators import estimators as E
 from quillon.operators import models as M
+from quillon.operators.blocks import PairTable, points
 from quillon.plans.inference import _K, _distances
 from quillon.plans.registry import query
 from quillon.plans.statistics import Z, _OTU, _SURV_SQL, _TAB_SQL, _WIDE_SQL, _otu, _surv, _table, _wide, fisher_sql, rounded
-from quillon.session import load, shared_dir, shuffle_partitions
+from quillon.session import load, shared_dir
 from quillon.sources import readers, sinks
 
 
@@ -341,9 +343,8 @@ def ro16_test(spark, d):
 def ro16_omnibus(spark, d):
     s = load(spark, d, "supplier")
     m = s.agg(F.avg("s_nationkey")).first()[0]
-    x = s.select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 700 + F.col("s_nationkey")).alias("v"))
-    linear = x.repartition(shuffle_partitions(spark)).crossJoin(F.broadcast(x.toDF("j", "w"))).select(F.lit("linear").alias("kernel"), "i", "j", (F.col("v") * F.col("w")).alias("k"))  # a kernel is a table of all pairs
-    kernels = linear.unionByName(M.gower_kernel(_distances(spark, d)).withColumn("kernel", F.lit("distance")))
+    linear = PairTable(points(s, "s_suppkey", F.col("s_acctbal") / 700 + F.col("s_nationkey")), lambda x, y: np.outer(x, y))  # of one coordinate
+    kernels = {"linear": linear, "distance": M.gower_kernel(_distances(spark, d))}
     out = C.kernel_omnibus_test(kernels, "kernel", s.select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") - m).alias("r")), 20)
     return out.select("kernel", F.round("q", 3).alias("q"), F.round("p", 9).alias("p"), F.round("omnibus", 9).alias("omnibus"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import blocks, models
+from quillon.operators import blocks, comparisons, models, reduce
 from quillon.plans import registry
 
 registry.load_all()
@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture
 def small_blocks(monkeypatch):
     """Blocks of some seven rows, so that small tables make many."""
-    monkeypatch.setattr(blocks.paired_blocks, "__defaults__", (7,))
+    monkeypatch.setattr(blocks.paired_blocks, "__defaults__", (7, None))
 
 
 def plan(df):
@@ -61,6 +61,56 @@ def test_poly1_pairs_meet_in_blocks(spark):
     assert "MapInPandas" not in text and "MapInArrow" in text
 
 
+def test_pair_tables(spark):
+    rng = np.random.default_rng(3)
+    xy = rng.normal(size=(30, 2)).round(1)
+    xy[5] = xy[6]
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(xy)], "id long, x double, y double")
+    table = blocks.PairTable(blocks.points(df, "id", F.col("x"), F.col("y")), blocks.plane_distance, 7)
+    d = np.sqrt(((xy[:, None] - xy) ** 2).sum(2))
+    full = lambda t: np.array(sorted((r.i, r.j, r.v) for r in t.pairs("v").collect())).reshape(30, 30, 3)
+    assert np.allclose(full(table)[..., 2], d) and (full(table)[..., 0] == np.arange(30)[:, None]).all()
+    centre = np.eye(30) - 1 / 30
+    want = -0.5 * centre @ d**2 @ centre
+    kernel = models.gower_kernel(table)
+    assert np.allclose(full(kernel)[..., 2], want) and np.allclose(full(models.kernel_distance(kernel))[..., 2], d, atol=1e-7)
+    assert kernel.trace() == pytest.approx(np.trace(want))
+    w = rng.normal(size=(30, 3))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(w)], "i long, w array<double>")
+    assert np.allclose([r.w for r in kernel.image(vectors, 3).orderBy("i").collect()], want @ w)
+    assert np.allclose([r.s for r in kernel.forms(vectors, 3).orderBy("n").collect()], np.diag(w.T @ want @ w))
+    scores, values, trace = reduce.classical_scaling(table, 2)
+    got = np.array([(r.kpc1, r.kpc2) for r in scores.orderBy("i").collect()])
+    assert np.allclose(np.sqrt(((got[:, None] - got) ** 2).sum(2)), d, atol=1e-6) and sum(values) == pytest.approx(trace)
+
+
+def test_kernel_tests_of_a_table_and_of_its_rows(spark):
+    s = spark.range(40).select("id", (F.col("id") * 7 % 11).cast("double").alias("x"))
+    r = s.select(F.col("id").alias("i"), ((F.col("id") * 5 % 13) - 5.8).alias("r"))
+    kernel = models.gower_kernel(blocks.PairTable(blocks.points(s, "id", F.col("x")), blocks.line_distance, 9))
+    rows = kernel.pairs("k")
+    one, two = (comparisons.kernel_permutation_test(k, r, 150).first() for k in (kernel, rows))
+    assert one.q == pytest.approx(two.q) and one.p == two.p
+    one, two = (comparisons.kernel_omnibus_test(k, "kernel", r, 20).first() for k in ({"a": kernel}, rows.withColumn("kernel", F.lit("a"))))
+    assert one.q == pytest.approx(two.q) and one[2:] == two[2:] and one.kernel == "a"
+
+
+def test_pairs_of_like_points_are_written_together(spark):
+    """Two of three neighbouring rows of a table of few distinct coordinates are alike, whatever the order of the keys."""
+    s = spark.range(600).select("id", (F.col("id") * 7 % 11).cast("double").alias("x"))
+    d = [r.d for r in blocks.PairTable(blocks.points(s, "id", F.col("x")), blocks.line_distance).pairs("d").collect()]
+    assert np.mean(np.diff(d) == 0) > 2 / 3
+
+
+@pytest.mark.parametrize("query", ["ro16_kernel_permutation", "ro16_omnibus", "em1_classical_scaling"])
+def test_kernels_are_not_rows(spark, query, monkeypatch):
+    """No stage of the query reads or aggregates a row for each pair."""
+    monkeypatch.setattr(blocks.PairTable, "pairs", None)
+    monkeypatch.setattr(reduce, "double_centred", None)
+    monkeypatch.setattr(models, "double_centred", None)
+    assert registry.QUERIES[query](spark, SF).count()
+
+
 def test_nearest_rounds_as_duckdb(spark):
     from quillon.plans.statistics import nearest
 
