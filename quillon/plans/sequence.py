@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import sequences as Q
-from quillon.operators.joins import block_pairs
 from quillon.plans.registry import query
 from quillon.plans.statistics import rounded
 from quillon.session import load
@@ -18,11 +17,6 @@ def _seqs(spark, d):
     return p.select(F.col("p_partkey").alias("id"), F.translate(F.substring(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), 1, 16), "0123456789abcdef", "AACDEFGHIKAACC-A").alias("seq"), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("g"))
 
 
-def _pairs(spark, d):
-    """Pairs of a group's sequences."""
-    return block_pairs(_seqs(spark, d), "id", ["g"])
-
-
 @query("sq1_kmers", f"WITH {_S} SELECT id, i::INT AS start, substr(seq, i::INT + 1, 9) AS kmer FROM s, range(0, 8) r(i)")
 def sq1(spark, d):
     return Q.kmers(_seqs(spark, d), "id", "seq", 9)
@@ -102,12 +96,12 @@ SCORES = {(a, b): (4.0 if a == b else 1.0 if {a, b} <= set("ACD") else -1.0) for
 
 @query("sq11_similarity", f"WITH {_S}, x AS (SELECT id, g, i, substr(seq, i::INT, 1) AS r FROM s, range(1, 17) t(i)), c AS (SELECT a.id, b.id AS id_b, sum(CASE WHEN a.r = '-' OR b.r = '-' THEN 0 WHEN a.r = b.r THEN 4 WHEN a.r IN ('A', 'C', 'D') AND b.r IN ('A', 'C', 'D') THEN 1 ELSE -1 END) AS ab, sum(CASE WHEN a.r <> '-' THEN 4 ELSE 0 END) AS aa, sum(CASE WHEN b.r <> '-' THEN 4 ELSE 0 END) AS bb FROM x a JOIN x b ON a.g = b.g AND a.i = b.i AND a.id < b.id GROUP BY 1, 2) SELECT id, id_b, round(2 * ab / (aa + bb), 6) AS similarity FROM c")
 def sq11(spark, d):
-    return rounded(Q.substitution_similarity(_pairs(spark, d), ["id", "id_b"], "seq", "seq_b", SCORES), 6)
+    return Q.similarity_table(_seqs(spark, d), "id", "seq", SCORES, ["g"], digits=6)
 
 
 @query("sq13_alignment")
 def sq13(spark, d):
-    return Q.alignment_distances(_pairs(spark, d), "seq", "seq_b", lambda x, y: SCORES.get((x, y), -1.0), ["id", "id_b"])
+    return Q.alignment_table(_seqs(spark, d), "id", "seq", lambda x, y: SCORES.get((x, y), -1.0), ["g"])
 
 
 @query("sq15_find_peptide", f"WITH {_S}, f AS (SELECT id, seq, substr(replace(seq, '-', ''), 3, 4) AS p, instr(replace(seq, '-', ''), substr(replace(seq, '-', ''), 3, 4)) AS pos FROM s), m AS (SELECT f.*, list_filter(list_transform(range(0, 16), lambda i: CASE WHEN substr(seq, i::INT + 1, 1) <> '-' THEN i END), lambda x: x IS NOT NULL) AS places FROM f) SELECT id, places[pos]::INT AS start, (places[pos + 3] + 1)::INT AS \"end\" FROM m WHERE pos > 0 AND length(p) = 4")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import blocks, comparisons, models, reduce
+from quillon.operators import blocks, comparisons, joins, models, reduce, sequences
 from quillon.plans import registry
 
 registry.load_all()
@@ -111,12 +111,50 @@ def test_kernels_are_not_rows(spark, query, monkeypatch):
     assert registry.QUERIES[query](spark, SF).count()
 
 
-def test_nearest_rounds_as_duckdb(spark):
-    from quillon.plans.statistics import nearest
+SCORE = lambda x, y: 4.0 if x == y else 1.0 if {x, y} <= set("AC") else -1.0
+
+
+@pytest.mark.parametrize("gaps", [(3, 3), (0, 0), (4, 1), (2.5, 2.5)])
+def test_every_alignment_of_two_blocks(gaps):
+    rng = np.random.default_rng(4)
+    text = lambda: "".join(rng.choice(list("ACDX-"), rng.integers(0, 9)))
+    a, b = [text() for _ in range(25)], [text() for _ in range(30)]
+    got = sequences.cross_alignment_scores(a, b, SCORE, *gaps)
+    assert got.tolist() == [[sequences.needleman_wunsch(x, y, SCORE, *gaps) for y in b] for x in a]
+    assert sequences.cross_alignment_scores(a, [], SCORE).shape == (25, 0) and sequences.cross_alignment_scores([], b, SCORE).shape == (0, 30)
+
+
+def test_tables_of_pairs_of_sequences(spark, small_blocks):
+    rng = np.random.default_rng(5)
+    text = lambda: "".join(rng.choice(list("ACDX-"), rng.integers(0, 9)))
+    given = [(k, "uvw"[k % 3], text()) for k in range(50)] + [(50, "u", None), (51, "one", "ACD"), (52, "none", None), (53, "none", "")]
+    df = spark.createDataFrame(given, "id long, g string, seq string")
+    known = {k: (g, t) for k, g, t in given}
+    want = {(i, j) for i, j in combinations(known, 2) if known[i][0] == known[j][0]}
+    own = lambda t: sequences.needleman_wunsch(t, t, SCORE)
+    got = {(r.id, r.id_b): r.distance for r in sequences.alignment_table(df, "id", "seq", SCORE, ["g"]).collect()}
+    assert got.keys() == want
+    for (i, j), v in got.items():
+        s, t = known[i][1], known[j][1]
+        assert v == (None if s is None or t is None else own(s) + own(t) - 2 * sequences.needleman_wunsch(s, t, SCORE))
+    scores = {(x, y): SCORE(x, y) for x in "ACD" for y in "ACD"}
+    for table in (scores, {k: v / 3 for k, v in scores.items()}, scores | {("A", "D"): 2.0}):
+        pairs = joins.block_pairs(df, "id", ["g"])
+        plain = {(r.id, r.id_b): r.similarity for r in sequences.substitution_similarity(pairs, ["id", "id_b"], "seq", "seq_b", table).collect()}
+        seen = {(r.id, r.id_b): r.similarity for r in sequences.similarity_table(df, "id", "seq", table, ["g"]).collect()}
+        assert seen == {k: v if v is None else pytest.approx(v) for k, v in plain.items()} and seen.keys() == want
+
+
+@pytest.mark.parametrize("query", ["sq11_similarity", "sq13_alignment"])
+def test_pairs_of_sequences_meet_in_blocks(spark, query):
+    text = plan(registry.QUERIES[query](spark, SF))
+    assert "MapInPandas" not in text and "MapInArrow" in text
+
 
-    x = [1 / 128, -1 / 128, 0.1234565, -2.5e-7, 0.0, 1e300, float("inf"), None]
-    got = [r.x for r in nearest(spark.createDataFrame([(v,) for v in x], "x double"), 6).collect()]
+def test_nearest_rounds_as_duckdb():
     import duckdb
 
     con = duckdb.connect()
-    assert got == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in x]
+    x = [1 / 128, -1 / 128, 0.1234565, -2.5e-7, 0.0, 1e300, float("inf")]
+    assert blocks.nearest(np.array(x), 6).tolist() == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in x]
+    assert np.isnan(blocks.nearest(np.array([np.nan]), 6)[0]) and blocks.nearest(np.array(x), None).tolist() == x
