@@ -221,6 +221,31 @@ def test_beta_binomial_against_a_search(spark):
     assert regression.beta_binomial(flat, ["g"], "y", "m", []).first()["state"] != "yes"
 
 
+def test_beta_binomial_tables_are_whole(spark):
+    """Groups without dispersion have the binomial fit's means, and every coefficient its test."""
+    rng = np.random.default_rng(17)
+    n = 300
+    x, g = np.round(rng.normal(size=n), 2), np.arange(n) % 2
+    m = np.where(np.arange(n) % 5 == 0, 90, rng.integers(1, 8, n))
+    mu = 1 / (1 + np.exp(-(-0.4 + 0.6 * x)))
+    y = np.where(g == 1, rng.binomial(m, rng.beta(mu * 6, (1 - mu) * 6)), np.round(m * mu)).astype(int)  # of group 0 hardly any spread
+    fits = regression.beta_binomial(frame(spark, g=g, x=x, y=y, m=m), ["g"], "y", "m", ["x"])
+    assert {r["g"]: (r["state"], r["n"]) for r in fits.collect()} == {0: ("binomial", 150), 1: ("yes", 150)}
+    own = g == 0
+    ll = lambda b: (y[own] * (b[0] + b[1] * x[own]) - m[own] * np.log1p(np.exp(b[0] + b[1] * x[own]))).sum()
+    want, cov = newton(ll, np.zeros(2))
+    rows = {(r["g"], r["term"]): r for r in regression.wald_tests(fits, ["g"], ["one", "x", "dispersion"]).collect()}
+    assert len(rows) == 6 and rows[0, "dispersion"]["coefficient"] is None
+    assert [rows[0, t]["coefficient"] for t in ("one", "x")] == pytest.approx(want, abs=1e-5)
+    assert rows[0, "x"]["error"] == pytest.approx(math.sqrt(cov[1, 1]), rel=1e-3)
+    for r in rows.values():
+        if r["coefficient"] is not None:
+            assert r["t"] == pytest.approx(r["coefficient"] / r["error"])
+    from quillon.functions.distributions import t_sf
+
+    assert rows[1, "x"]["p"] == pytest.approx(float(t_sf(np.array([rows[1, "x"]["t"]]), np.array([147.0]))[0]))
+
+
 def test_two_phase_logistic(spark):
     rng = np.random.default_rng(15)
     n = 900
